@@ -142,21 +142,27 @@ def fit(labelled: DataFrame, own: float = 0.7, ridge: float = 0.02) -> Model:
     return Model(tuple(prior.tolist()), mean, np.stack([np.linalg.inv(x) for x in chol]), tuple(float(np.log(np.diag(x)).sum()) for x in chol))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
-    stats = checkpoint(features(docs))
+def train(stats: DataFrame, labels: DataFrame) -> Model:
+    """A calibrated model from ``features`` of documents and their labels (doc_id, quality)."""
     y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    train = checkpoint(stats.where(~held_out()).join(y, "doc_id"))
-    model = fit(train)
+    known = checkpoint(stats.where(~held_out()).join(y, "doc_id"))
+    model = fit(known)
 
     def rated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"quality": f["quality"], "bin": np.round(model.ratio(f[list(NAMES)].to_numpy()) * 20).astype(int)})
 
-    bins = train.mapInPandas(rated, "quality int, bin int").groupBy("quality", "bin").count().orderBy("quality", "bin").toPandas()
-    if len(bins):
-        slope, offset = calibrate(bins["bin"].to_numpy() / 20, bins["quality"].to_numpy(), bins["count"].to_numpy())
-        model = replace(model, slope=slope, offset=offset)
+    bins = known.mapInPandas(rated, "quality int, bin int").groupBy("quality", "bin").count().orderBy("quality", "bin").toPandas()
+    if not len(bins):
+        return model
+    slope, offset = calibrate(bins["bin"].to_numpy() / 20, bins["quality"].to_numpy(), bins["count"].to_numpy())
+    return replace(model, slope=slope, offset=offset)
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
+    stats = checkpoint(features(docs))
+    model = train(stats, labels)
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -166,5 +172,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are predicted 1, judged where they lie: nothing is shuffled for it."""
+    model = train(checkpoint(features(docs)), labels)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, D)
+        return pd.Series(model.score(x) >= THRESHOLD)
+
+    return docs.where(good(text_bytes()))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

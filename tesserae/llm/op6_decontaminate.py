@@ -24,6 +24,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,20 +122,24 @@ class Benchmark:
         return sorted(out, key=lambda x: (x[0] is None, x[0]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_ids, coverage (the most of any item), n_tiles and n_words of the contaminated documents."""
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about BLOCK_BYTES / 2, no block over BLOCK_BYTES plus its longest item."""
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // (BLOCK_BYTES // 2)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    parts = []
-    for k in range(blocks):
-        mine = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    n = 1 + (b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (BLOCK_BYTES // 2)
+    for k in range(n):
+        mine = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         size = mine.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
         if (size[0] or 0) > BLOCK_BYTES + (size[1] or 0):
             raise ValueError(f"a block of the benchmark has {size[0]} bytes")
-        rows = sorted(mine.collect(), key=lambda r: (r.item_id is None, r.item_id, r.text))
-        sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
+        yield [(r.item_id, r.text) for r in sorted(mine.collect(), key=lambda r: (r.item_id is None, r.item_id, r.text))]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """doc_id, item_ids, coverage (the most of any item), n_tiles and n_words of the contaminated documents."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hits = None
+    for items in blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def tiled(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value)
@@ -145,14 +150,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "coverage", "n_tiles", "n_words"])
 
-        parts.append(d.mapInArrow(tiled, "doc_id long, item_id long, coverage double, n_tiles long, n_words long"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+        part = d.mapInArrow(tiled, "doc_id long, item_id long, coverage double, n_tiles long, n_words long")
+        hits = part if hits is None else hits.unionByName(part)
     return hits.groupBy("doc_id").agg(
         F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("n_tiles").alias("n_tiles"), F.sum("n_words").alias("n_words")
     )
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of docs that cover no item, judged where they lie: nothing is shuffled for it."""
+    for items in blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
+
+        @F.pandas_udf("boolean")
+        def fine(texts: pd.Series, sent=sent) -> pd.Series:
+            bench = _bench(sent)
+            return pd.Series([not bench.leaks(t, coverage) for t in texts], dtype=bool)
+
+        docs = docs.where(fine(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs
+
+
+_benches: dict[int, Benchmark] = {}
+
+
+def _bench(sent) -> Benchmark:
+    """The indexed block of a broadcast, built once in each worker."""
+    key = id(sent.value)
+    if key not in _benches:
+        _benches.clear()
+        _benches[key] = Benchmark(sent.value)
+    return _benches[key]
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
