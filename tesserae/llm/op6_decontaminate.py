@@ -159,14 +159,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that cover no item, judged where they lie: nothing is shuffled for it."""
-    for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
 
+    def covers_none(sent):
         @F.pandas_udf("boolean")
-        def fine(texts: pd.Series, sent=sent) -> pd.Series:
+        def fine(texts: pd.Series) -> pd.Series:
             bench = _bench(sent)
             return pd.Series([not bench.leaks(t, coverage) for t in texts], dtype=bool)
 
+        return fine
+
+    for items in blocks(benchmark):
+        fine = covers_none(docs.sparkSession.sparkContext.broadcast(items))
         docs = docs.where(fine(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return docs
 
