@@ -1,11 +1,13 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-1. Each record's payload is hashed and compressed once, to a gzip member with regenerated
-   headers (no clock, host or random id enters). Of equal payloads of at least ``MIN_BYTES``
-   the least page_id stays a response; the others become revisit records.
-2. Members are range-sorted by page_id; sizes of the partitions (one number each) give
+1. A first pass makes each record (a gzip member with regenerated headers: no clock, host or
+   random id enters) and keeps its sizes and digest only. Of equal payloads of at least
+   ``MIN_BYTES`` the least page_id stays a response; the others become revisit records.
+2. This listing is range-sorted by page_id; sums of the ranges (one number each) give
    offsets, so that every record knows the compressed bytes before it. Its file is that
    number divided by ``roll_bytes``: files are the same however Spark splits the range.
+   A file begins at a page_id that the tasks get (``MAX_FILES`` at most), so that a second pass over the
+   pages deals compressed records to their files: payloads are shuffled once, compressed.
 3. Each file is written by one task under a temporary name that carries the attempt, and
    listed with its size and SHA-256 in a manifest. After the manifest is stored, tasks
    rename the listed files to their final names (a rename that was done already is
@@ -24,6 +26,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, fresh_path, partitions, read_table
 
-MIN_BYTES, ROLL_BYTES, DATE = 100, 64 << 20, "2024-01-01T00:00:00Z"
+MIN_BYTES, ROLL_BYTES, MAX_FILES, LEVEL, DATE = 100, 64 << 20, 1_000_000, 4, "2024-01-01T00:00:00Z"
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -44,7 +47,7 @@ def _opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def _member(data: bytes, level: int = 6) -> bytes:
+def _member(data: bytes, level: int = LEVEL) -> bytes:
     """A gzip member with no time or name in its header."""
     c = zlib.compressobj(level, zlib.DEFLATED, 31)
     return c.compress(data) + c.flush()
@@ -65,40 +68,49 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, size: i
     return "\r\n".join(lines).encode() + payload + b"\r\n\r\n"
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            out: list[list] = [[], [], []]
-            for i, u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                data = h.as_py()
-                digest = hashlib.sha256(data).hexdigest()
-                for col, v in zip(out, (len(data), digest, _member(record("response", i, u, digest, len(data), data))), strict=True):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.binary())], ["page_id", "url", "size", "digest", "member"])
+def _packer(keep: bool):
+    """Response records; with their members, or with the members' sizes only."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                size, digests, members = [], [], []
+                for i, u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    data = h.as_py()
+                    digests.append(hashlib.sha256(data).hexdigest())
+                    m = _member(record("response", i, u, digests[-1], len(data), data))
+                    size.append(len(data))
+                    members.append(m if keep else len(m))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digests, pa.string()), pa.array(members, pa.binary() if keep else pa.int64())], ["page_id", "url", "size", "digest", "member" if keep else "bytes"]
+                )
+
+    return packed
 
 
 def _revisited(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         for i in f.index[f["first"].notna()]:
             r = f.loc[i]
-            f.at[i, "member"] = _member(record("revisit", int(r["page_id"]), r["url"], r["digest"], int(r["size"]), b"", int(r["first"])))
-        yield f.assign(bytes=f["member"].map(len))[["page_id", "url", "digest", "member", "bytes"]]
+            f.at[i, "bytes"] = len(_member(record("revisit", int(r["page_id"]), r["url"], r["digest"], int(r["size"]), b"", int(r["first"]))))
+        yield f
 
 
-def members(pages: DataFrame) -> DataFrame:
-    """page_id, url, digest, member (compressed record), bytes; in page order over the partitions."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    packed = checkpoint(p.mapInArrow(_packed, "page_id long, url string, size long, digest string, member binary"))
-    first = packed.where((F.col("size") >= MIN_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = packed.join(first, "digest", "left").select("page_id", "url", "size", "digest", "member", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("first"))
-    ready = joined.mapInPandas(_revisited, "page_id long, url string, digest string, member binary, bytes long")
-    n = partitions(pages.sparkSession)
-    return checkpoint(ready.repartitionByRange(n, "page_id", "digest", "url").sortWithinPartitions("page_id", "digest", "url"))
+_META = "page_id long, url string, size long, digest string, bytes long, first long"
+
+
+def listing(pages: DataFrame) -> DataFrame:
+    """page_id, url, size, digest, bytes (of the compressed record), first (of revisits); range-sorted, without payloads."""
+    small = checkpoint(pages.mapInArrow(_packer(False), "page_id long, url string, size long, digest string, bytes long"))
+    first = small.where((F.col("size") >= MIN_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    joined = small.join(first, "digest", "left").withColumn("first", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    ready = joined.select("page_id", "url", "size", "digest", "bytes", "first").mapInPandas(_revisited, _META)
+    return checkpoint(ready.repartitionByRange(partitions(pages.sparkSession), "page_id", "digest", "url").sortWithinPartitions("page_id", "digest", "url"))
 
 
-def with_files(sorted_members: DataFrame, roll_bytes: int) -> DataFrame:
-    """Adds file_no: the compressed bytes of all records before, divided by roll_bytes."""
+def with_files(listed: DataFrame, roll_bytes: int) -> DataFrame:
+    """Adds file_no to a listing: the compressed bytes of all records before, divided by roll_bytes."""
 
     def sums(batches):
         total = 0
@@ -107,7 +119,7 @@ def with_files(sorted_members: DataFrame, roll_bytes: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total], pa.int64())], ["p", "total"])
 
     start, at = {}, 0
-    for r in sorted(sorted_members.select("bytes").mapInArrow(sums, "p long, total long").collect()):
+    for r in sorted(listed.select("bytes").mapInArrow(sums, "p long, total long").collect()):
         start[r.p], at = at, at + r.total
 
     def numbered(batches):
@@ -119,31 +131,54 @@ def with_files(sorted_members: DataFrame, roll_bytes: int) -> DataFrame:
                 before += n
             yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), *b.columns], ["file_no", *b.schema.names])
 
-    return sorted_members.mapInArrow(numbered, "file_no long, page_id long, url string, digest string, member binary, bytes long")
+    return listed.mapInArrow(numbered, "file_no long, " + _META)
+
+
+def _place(page_id: int | None, digest: str, url: str | None) -> tuple:
+    return (page_id is not None, page_id or 0, digest, url is not None, url or "")
 
 
 def write_archive(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes and commits the archive in folder ``out`` (a URI that executors reach); returns its manifest."""
     spark = pages.sparkSession
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
+    filed = with_files(listing(p), roll_bytes)
+    begin = filed.groupBy("file_no").agg(F.min(F.struct("page_id", "digest", "url")).alias("k")).limit(MAX_FILES + 1).collect()
+    if len(begin) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files: raise roll_bytes")
+    begin = sorted((_place(*r.k), r.file_no) for r in begin)
+    starts = spark.sparkContext.broadcast(([k for k, _ in begin], [n for _, n in begin]))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, numbers = starts.value
+        for b in _packer(True)(batches):
+            at = [numbers[max(0, bisect_right(keys, _place(*k)) - 1)] for k in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns, pa.nulls(b.num_rows, pa.int64())], ["file_no", *b.schema.names, "first"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows by file, page and digest; a row without a member says of which page those after it are revisits."""
         store, root = _opened(out)
         store.create_dir(f"{root}/_temporary", recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        no, sink, rows, digest, name = None, None, 0, None, ""
+        no, sink, rows, digest, name, revisit = None, None, 0, None, "", None
 
         def closed():
             sink.close()
             return pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([name]), pa.array([rows], pa.int64()), pa.array([store.get_file_info(f"{root}/{name}").size], pa.int64()), pa.array([digest.hexdigest()])], ["file_no", "temporary", "records", "bytes", "sha256"])
 
         for b in batches:
-            for k, m in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for k, i, u, n, d, m, f in zip(*(b.column(c).to_pylist() if c != 5 else b.column(c) for c in range(7)), strict=True):
+                data = m.as_py()
+                if data is None:
+                    revisit = (i, d, f)
+                    continue
                 if k != no:
                     if sink:
                         yield closed()
                     no, rows, digest, name = k, 0, hashlib.sha256(), f"_temporary/part-{k:08d}-{attempt}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(f"{root}/{name}")
-                data = m.as_py()
+                if revisit and revisit[:2] == (i, d):
+                    data = _member(record("revisit", i, u, d, n, b"", revisit[2]))
                 sink.write(data)
                 digest.update(data)
                 rows += 1
@@ -160,9 +195,12 @@ def write_archive(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES) -> D
                     raise OSError(f"{name} was not committed")
             yield f.drop(columns="temporary")
 
-    filed = with_files(members(pages), roll_bytes).select("file_no", "member", "page_id", "digest", "url")
-    filed = filed.repartition(partitions(spark), "file_no").sortWithinPartitions("file_no", "page_id", "digest", "url").select("file_no", "member")
-    listed = filed.mapInArrow(write, "file_no long, temporary string, records long, bytes long, sha256 string")
+    kind = "file_no long, page_id long, url string, size long, digest string, member binary, first long"
+    marks = filed.where("first IS NOT NULL").groupBy("file_no", "page_id", "digest").agg(F.min("first").alias("first"))
+    marks = marks.select("file_no", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("size"), "digest", F.lit(None).cast("binary").alias("member"), "first")
+    rows = p.mapInArrow(numbered, kind).unionByName(marks)
+    order = ["file_no", "page_id", "digest", F.col("first").isNull(), "url"]
+    listed = rows.repartition(partitions(spark), "file_no").sortWithinPartitions(*order).mapInArrow(write, "file_no long, temporary string, records long, bytes long, sha256 string")
     listed = listed.withColumn("name", F.format_string("part-%08d.warc.gz", "file_no"))
     listed.write.parquet(f"{out}/_manifest")
     listed = spark.read.parquet(f"{out}/_manifest")
