@@ -121,14 +121,17 @@ def signatures(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(_signed, "doc_id long, n_shingles long, key binary, " + ", ".join(f"{c} long" for c in _SIG))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows u, v and their texts, the pairs whose full sets are similar enough."""
     for b in batches:
-        for i in range(0, b.num_rows, 500):
-            part = b.slice(i, 500)
-            h = [shingles(x.as_py()).view(np.int64) for x in part.column(1)]
-            flat = np.concatenate([np.zeros(0, np.int64), *h])
-            at = np.cumsum([0, *map(len, h)], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rep", "h"])
+        keep, last, s1 = [], None, None
+        for i, u in enumerate(b.column(0).to_pylist()):
+            if u != last:
+                last, s1 = u, shingles(b.column(2)[i].as_py())
+            s2 = shingles(b.column(3)[i].as_py())
+            n = len(np.intersect1d(s1, s2, assume_unique=True))
+            keep.append(100 * n >= PERCENT * (len(s1) + len(s2) - n))
+        yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components_within(a: list[np.ndarray], b: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
@@ -184,7 +187,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done()
                 key, ids, sets = g, [], []
             ids.append(b.column(4)[r].as_py())
-            sets.append(b.column(5)[r].values.to_numpy())
+            sets.append(shingles(b.column(5)[r].as_py()))
     if len(ids) > 1:
         yield done()
 
@@ -232,18 +235,15 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     hot = hot.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     hot = hot.select("c", "v", "rep", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     hot = hot.select("c", "v", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "rep")
-    hot = hot.join(hot.groupBy("c", "v", "i", "j").agg(F.count("*").alias("k")).where("k > 1").drop("k"), ["c", "v", "i", "j"])
 
     wanted = pairs.select("rep").unionByName(pairs.select(F.col("rep2").alias("rep"))).unionByName(posts.where(F.col("m") > SHORT).select("rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text"))
-    sets = checkpoint(texts.join(wanted, "rep", "left_semi").mapInArrow(_sets, "rep long, h array<long>"))
+    texts = checkpoint(texts.join(wanted, "rep", "left_semi"))
 
-    a = pairs.join(sets, "rep").withColumnRenamed("h", "h1")
-    b = a.join(sets.select(F.col("rep").alias("rep2"), F.col("h").alias("h2")), "rep2")
-    both = F.size(F.array_intersect("h1", "h2"))
-    confirmed = b.where(100 * both >= PERCENT * (F.size("h1") + F.size("h2") - both)).select(F.col("rep").alias("u"), F.col("rep2").alias("v"))
+    both = pairs.join(texts, "rep").withColumnRenamed("text", "text1").join(texts.select(F.col("rep").alias("rep2"), F.col("text").alias("text2")), "rep2")
+    confirmed = both.select(F.col("rep").alias("u"), F.col("rep2").alias("v"), "text1", "text2").mapInArrow(_confirmed, "u long, v long")
 
-    met = hot.join(sets, "rep").select("c", "v", "i", "j", "rep", "h").repartition(n, "c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j")
+    met = hot.join(texts, "rep").select("c", "v", "i", "j", "rep", "text").repartition(n, "c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j")
     return confirmed.unionByName(met.mapInArrow(_blocks, "u long, v long"))
 
 
