@@ -37,6 +37,7 @@ def same(result, expected) -> None:
     """Equal pandas frames but for the order of rows and columns."""
     cols = sorted(expected.columns)
     assert sorted(result.columns) == cols
+    expected = expected.astype({c: "float64" for c in cols if str(expected[c].dtype) == "Int64"})  # integers with nulls, as toPandas() has them
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (result, expected))
     assert len(a) == len(b)
     for c in cols:
