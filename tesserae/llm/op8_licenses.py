@@ -78,7 +78,7 @@ class Scanner:
                 self.known.setdefault(x, []).append(i)
         self.words = {w for x in self.known for w in x}
         sizes = [len(b) for _, b in self.templates]
-        self.least, self.most = min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+        self.least, self.most = min(sizes) * threshold / (2 - threshold) - 1e-9, max(sizes) * (2 - threshold) / threshold + 1e-9
 
     def unit(self, words: list[str]) -> tuple[str, float] | None:
         """The best template at or above the threshold."""
@@ -94,7 +94,7 @@ class Scanner:
         best = None
         for i, n in sorted(hits.items()):
             name, b = self.templates[i]
-            if len(b) * self.t <= len(a) * (2 - self.t) and len(a) * self.t <= len(b) * (2 - self.t):
+            if len(b) * self.t <= len(a) * (2 - self.t) + 1e-9 and len(a) * self.t <= len(b) * (2 - self.t) + 1e-9:
                 dice = 2 * n / (len(a) + len(b))
                 if dice >= self.t and (best is None or dice > best[1]):
                     best = (name, dice)
