@@ -29,4 +29,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES = {"op1_quality_rules": op1.ORACLE, "op5_warc": op5.ORACLE, "op9_mix": op9.ORACLE}
+ORACLES = {"op1_quality_rules": op1.ORACLE, "op2_minhash_dedup": op2.ORACLE, "op5_warc": op5.ORACLE, "op9_mix": op9.ORACLE}

@@ -51,9 +51,6 @@ def test_query_equals_sql(spark, duck, name):
     same(registry.QUERIES[name](spark, SF).toPandas(), duck.sql(registry.ORACLES[name]).df())
 
 
-def test_op2_equals_sql(spark, duck):
-    same(op2.op2_minhash_dedup(spark, SF).toPandas(), duck.sql(op2.ORACLE).df())
-
 
 def test_registry_has_eleven_queries():
     assert [re.match(r"op(\d+)_", k)[1] for k in registry.QUERIES if k != "pipeline"] == [str(i) for i in range(1, 11)]
