@@ -47,3 +47,8 @@ def adaptive_weight(g1: Column, g2: Column, eps: float = 1e-4) -> Column:
 def total(recon: Column, codebook: Column, perceptual: Column, adversarial: Column, step: Column, start: int = 30_000, l_perceptual: float = 1.0, l_adversarial: float = 0.1) -> Column:
     """Weighted sum; the adversarial term counts from the start step on."""
     return recon + codebook + l_perceptual * perceptual + l_adversarial * F.when(step >= start, adversarial).otherwise(0.0)
+
+
+def clip_factor(gradient: Column, most: float = 1.0) -> Column:
+    """What a gradient is multiplied by so that its norm stays at most ``most``."""
+    return F.least(F.lit(1.0), F.lit(most) / (norm(gradient) + 1e-6))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,44 +15,60 @@ MIN_IMAGES, MIN_USAGE, DECIBEL_PLACES = 20, 0.5, 2
 PARTS, MAX_DIM = 64, 4096
 
 
-def moments(features: DataFrame, column: str = "z", by: str | None = None) -> dict:
-    """group -> (n, mean, covariance with n - 1), from sums of x and x x' that at most PARTS tasks return for each group.
+def moment_sums(features: DataFrame, columns: list[str], by: str | None = None) -> dict[tuple[str | None, str], np.ndarray]:
+    """(group, column) -> sums of (1, x) (1, x)' over its rows, in one pass over all columns.
 
-    ``by`` should have few values (buckets). A group of one row has a NaN covariance.
+    Each task adds up its own rows; PARTS tasks add up what those found, and only they report
+    to the driver. ``by`` should have few values (buckets).
     """
-    d = features.select((F.col(by) if by else F.lit(0)).cast("string").alias("g"), F.col(column).cast("array<double>").alias("x"))
+    d = features.select((F.col(by) if by else F.lit(0)).cast("string").alias("g"), *(F.col(c).cast("array<double>").alias(c) for c in columns))
+    kind = "p int, g string, c string, m array<double>"
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(total: dict) -> Iterator[pa.RecordBatch]:
+        for (g, c), m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([g], pa.string()), pa.array([c]), pa.array([m.ravel()], pa.list_(pa.float64()))], ["p", "g", "c", "m"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            if x.shape[1] > MAX_DIM:
-                raise ValueError(f"features of more than {MAX_DIM} dimensions")
-            x = np.column_stack([np.ones(len(x)), x])
             g = np.array(b.column(0).to_pylist(), object)
-            for k in dict.fromkeys(g.tolist()):
-                y = x[g == k]
-                total[k] = total.get(k, 0) + y.T @ y
-        for k, m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.string()), pa.array([m.ravel()], pa.list_(pa.float64()))], ["g", "m"])
+            for c in columns:
+                x = b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                if x.shape[1] > MAX_DIM:
+                    raise ValueError(f"features of more than {MAX_DIM} dimensions")
+                x = np.column_stack([np.ones(len(x)), x])
+                for k in dict.fromkeys(g.tolist()):
+                    y = x[g == k]
+                    total[k, c] = total.get((k, c), 0) + y.T @ y
+        yield from rows(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            for g, c, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                total[g, c] = total.get((g, c), 0) + m.values.to_numpy()
+        yield from rows(total)
 
+    found = d.mapInArrow(own, kind).repartition(PARTS, "p").sortWithinPartitions("p", "g", "c").mapInArrow(add, kind).collect()
     out: dict = {}
-    for r in sorted(d.coalesce(PARTS).mapInArrow(part, "g string, m array<double>").collect(), key=lambda r: (r.g or "", r.m)):
+    for r in sorted(found, key=lambda r: r.p):
         m = np.array(r.m)
         side = int(round(len(m) ** 0.5))
-        out[r.g] = out.get(r.g, 0) + m.reshape(side, side)
-    result = {}
-    for g, m in out.items():
-        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-        with np.errstate(invalid="ignore", divide="ignore"):
-            result[g] = (int(n), mean, (m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1))
-    return result
+        out[r.g, r.c] = out.get((r.g, r.c), 0) + m.reshape(side, side)
+    return out
+
+
+def moments(m: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and covariance (n - 1) from sums; of one row the covariance is NaN."""
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return int(n), mean, (m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
 
 
 def covariance(features: DataFrame, column: str = "z") -> DataFrame:
     """i, j, cov of all features."""
-    m = moments(features, column)
-    cov = m["0"][2] if m else np.zeros((0, 0))
+    m = moment_sums(features, [column])
+    cov = moments(m["0", column])[2] if m else np.zeros((0, 0))
     rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(len(cov))]
     return features.sparkSession.createDataFrame(rows, "i bigint, j bigint, cov double")
 
@@ -67,13 +84,13 @@ def frechet_distance(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.nd
 
 def frechet(pairs: DataFrame, by: str = "label", least: int = MIN_IMAGES) -> DataFrame:
     """bucket (null: all), num_images, rfid between features x and y; null below ``least`` images."""
+    sums = moment_sums(pairs, ["x", "y"], by)
+    groups = sorted({g for g, _ in sums}, key=str)
     rows = []
-    for group in (None, by):
-        real, fake = moments(pairs, "x", group), moments(pairs, "y", group)
-        for g in sorted(real, key=str):
-            (n, mu1, s1), (_, mu2, s2) = real[g], fake[g]
-            few = n < (least if group else 2)
-            rows.append((g if group else None, n, None if few else frechet_distance(mu1, s1, mu2, s2)))
+    for members, name, few in [(groups, None, 2), *(([g], g, least) for g in groups)]:
+        if members:
+            (n, mu1, s1), (_, mu2, s2) = (moments(sum(sums[g, c] for g in members)) for c in ("x", "y"))
+            rows.append((name, n, None if n < few else frechet_distance(mu1, s1, mu2, s2)))
     return pairs.sparkSession.createDataFrame(rows, "bucket string, num_images bigint, rfid double")
 
 

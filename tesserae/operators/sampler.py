@@ -32,6 +32,13 @@ def shard(plan: DataFrame, world: int) -> DataFrame:
     return d.withColumns({"rank": (F.col("batch_no") % world).cast("bigint"), "local_no": F.floor(F.col("batch_no") / world)})
 
 
+def load(plan: DataFrame, catalog: DataFrame, key: str = "image_id") -> DataFrame:
+    """The catalog's rows in plan order: a batch lies whole in one partition, ready for Arrow batches."""
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = plan.join(catalog.drop(*(c for c in plan.columns if c != key)), key)
+    return rows.repartitionByRange(n, "batch_no").sortWithinPartitions("batch_no", "pos")
+
+
 def resume(sharded: DataFrame, rank: int, offset: int) -> DataFrame:
     """The rank's batches from its own offset on."""
     return sharded.where((F.col("rank") == rank) & (F.col("local_no") >= offset))

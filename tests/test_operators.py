@@ -60,6 +60,13 @@ def test_ranks_are_equal_and_disjoint(spark):
     assert not {x for v in a.values() for x in v} & {x for v in b.values() for x in v}
 
 
+def test_loader_keeps_batches_whole(spark):
+    i = items(spark, 20, 17)
+    d = sampler.load(sampler.plan(i, 4), i.withColumn("path", F.concat(F.lit("p"), "image_id")))
+    parts = d.withColumn("p", F.spark_partition_id()).groupBy("batch_no").agg(F.count_distinct("p").alias("n"), F.count("path").alias("k")).collect()
+    assert len(parts) == 9 and all((r.n, r.k) == (1, 4) for r in parts)
+
+
 def test_empty_plan(spark):
     assert sampler.plan(items(spark), 4).count() == 0
     with pytest.raises(ValueError):
@@ -161,6 +168,11 @@ def test_losses_reject_unknown_kinds():
             f()
 
 
+def test_clip_factor(spark):
+    g = spark.createDataFrame([([3.0, 4.0],), ([0.3, 0.4],)], "g array<double>")
+    assert [round(r[0], 4) for r in g.select(losses.clip_factor(F.col("g"))).collect()] == [0.2, 1.0]
+
+
 def test_retention(spark):
     c = spark.createDataFrame([(s,) for s in range(1000, 13000, 1000)], "step bigint")
     steps = lambda *a: sorted(r.step for r in telemetry.retained(c, *a).collect())
