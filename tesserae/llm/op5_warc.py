@@ -200,7 +200,7 @@ def write_archive(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES) -> D
     marks = marks.select("file_no", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("size"), "digest", F.lit(None).cast("binary").alias("member"), "first")
     rows = p.mapInArrow(numbered, kind).unionByName(marks)
     order = ["file_no", "page_id", "digest", F.col("first").isNull(), "url"]
-    listed = rows.repartition(partitions(spark), "file_no").sortWithinPartitions(*order).mapInArrow(write, "file_no long, temporary string, records long, bytes long, sha256 string")
+    listed = rows.repartition(max(partitions(spark), len(begin)), "file_no").sortWithinPartitions(*order).mapInArrow(write, "file_no long, temporary string, records long, bytes long, sha256 string")
     listed = listed.withColumn("name", F.format_string("part-%08d.warc.gz", "file_no"))
     listed.write.parquet(f"{out}/_manifest")
     listed = spark.read.parquet(f"{out}/_manifest")
