@@ -162,9 +162,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
     def covers_none(sent):
         @F.pandas_udf("boolean")
-        def fine(texts: pd.Series) -> pd.Series:
-            bench = _bench(sent)
-            return pd.Series([not bench.leaks(t, coverage) for t in texts], dtype=bool)
+        def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            bench = Benchmark(sent.value)
+            for texts in batches:
+                yield pd.Series([not bench.leaks(t, coverage) for t in texts], dtype=bool)
 
         return fine
 
@@ -174,17 +175,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     return docs
 
 
-_benches: dict[int, Benchmark] = {}
-
-
-def _bench(sent) -> Benchmark:
-    """The indexed block of a broadcast, built once in each worker."""
-    key = id(sent.value)
-    if key not in _benches:
-        _benches.clear()
-        _benches[key] = Benchmark(sent.value)
-    return _benches[key]
-
-
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
