@@ -1,6 +1,8 @@
 """The corpus pipeline: classify, dedup, decontaminate, mix, shard.
 
 Each stage takes all rows that the one before it kept, written as Parquet and read again.
+Nulls, empty texts, repeated rows and columns with clashing names are taken as the stages'
+docstrings say; an empty table gives an empty table with the same columns.
 """
 
 from __future__ import annotations
@@ -23,23 +25,27 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the classifier predicts 1; empty and null texts are judged like others. Repeated rows get the same verdict."""
     return accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates. Rows that repeat a doc_id are one document and stay together; null ids and texts without words stay."""
     return _without(docs, near_duplicates(docs).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that cover no benchmark item; texts without words and null ids stay."""
     return clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each take of the mixture: documents may repeat or be cut; texts without words are never taken."""
     return mix(docs)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns of documents, with shard and slot."""
+    """All rows and columns, with shard and slot; columns of these names are replaced."""
     s = shuffled(docs)
     return s.select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "slot")), "shard", "slot")
 

@@ -485,3 +485,19 @@ def test_pipeline_stages_take_edges(spark, tmp_path):
     for d in (edge(spark), empty(spark)):
         for _, f in corpus_pipeline.STAGES:
             assert f(spark, d, str(tmp_path)).count() <= 3 * len(EDGE)
+
+
+def test_pipeline_results_on_edges(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    stage, d = dict(corpus_pipeline.STAGES), edge(spark)
+    ids = lambda name: sorted(r.doc_id or -1 for r in stage[name](spark, d, str(tmp_path)).select("doc_id").collect())
+    everyone = sorted(i or -1 for i, _, _ in EDGE)
+    assert ids("sharding") == ids("decontamination") == everyone
+    # 4 and both rows of 5 are one group, and so are 8 and 9 (they differ in case)
+    assert ids("near-duplicates") == sorted(i or -1 for i, _, _ in EDGE if i not in (5, 9))
+    wordless = {i or -1 for i, t, _ in EDGE if not (t or "").split()} - {-1}
+    assert not wordless & set(ids("mixture"))
+    for name, f in corpus_pipeline.STAGES:
+        none = f(spark, empty(spark), str(tmp_path))
+        assert none.count() == 0 and set(d.columns) <= set(none.columns), name
