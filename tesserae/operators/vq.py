@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_key
@@ -89,6 +89,23 @@ def revive(dead_codes: DataFrame, vectors: DataFrame, seed: int = 42, key: str =
     return d.withColumn("vn", F.col("rn") % n).join(v, "vn").select("code", key)
 
 
+def dead_by_window(codebook: DataFrame, tokens: DataFrame, window: Column) -> DataFrame:
+    """window_no, code: the codes that no token of a window uses; the sets are no larger than the codebook."""
+    seen = tokens.groupBy(window.alias("window_no")).agg(F.collect_set("code").alias("seen"))
+    every = codebook.agg(F.collect_set("code").alias("every"))
+    return seen.join(F.broadcast(every)).select("window_no", F.explode(F.array_except("every", "seen")).alias("code"))
+
+
+def revive_by_window(dead_codes: DataFrame, vectors: DataFrame, window: Column, seed: int = 42, key: str = "vec_id") -> DataFrame:
+    """window_no, code, key: ``revive`` within each window, all windows at once; a window is the span between two revival checks."""
+    w = Window.partitionBy("window_no")
+    v = vectors.select(window.alias("window_no"), key, hash_key(seed, "revive", F.col(key)).alias("__h"))
+    n = v.groupBy("window_no").agg(F.count("*").alias("n"))
+    v = v.withColumn("vn", F.row_number().over(w.orderBy("__h", key)) - 1).select("window_no", "vn", key)
+    d = dead_codes.withColumn("rn", F.row_number().over(w.orderBy("code")) - 1).join(n, "window_no")
+    return d.select("window_no", "code", (F.col("rn") % F.col("n")).alias("vn")).join(v, ["window_no", "vn"]).select("window_no", "code", key)
+
+
 def sums(assigned: DataFrame) -> DataFrame:
     """code, dim, n, s: members and sum of each coordinate; combined in tasks before the shuffle."""
     return assigned.select("code", F.posexplode("z").alias("dim", "v")).groupBy("code", "dim").agg(F.count("*").alias("n"), F.sum("v").alias("s"))

@@ -44,6 +44,7 @@ def near(vectors: str, codebook: str, out: str) -> str:
 
 
 TOKENS = f"{VECTORS}, {near('v', 'cb', 'tok')}"
+DEAD = f"{TOKENS}, dead AS (SELECT window_no, code FROM (SELECT DISTINCT vec_id // 100 AS window_no FROM v), cb WHERE (window_no, code) NOT IN (SELECT (vec_id // 100, code) FROM tok))"
 HIST = f"{TOKENS}, hist AS (SELECT cb.code, count(tok.code) AS n FROM cb LEFT JOIN tok ON cb.code = tok.code GROUP BY cb.code)"
 UNIT = "(greatest(-1.0, least(1.0, {0})) + 1) / 2"
 PSNR = f"10 * log10(1.0 / greatest(list_sum(list_transform(range(1, 65), lambda i: ({UNIT.format('z[i]')} - {UNIT.format('e[i]')}) ** 2)) / 64, 1e-10))"
@@ -92,10 +93,10 @@ ORACLES = {
     "codebook_perplexity": f"WITH {HIST}, p AS (SELECT n / sum(n) OVER () AS p FROM hist) SELECT round(exp(-sum(p * ln(p))), 6) AS perplexity FROM p WHERE p > 0",
     "codebook_usage": f"WITH {HIST} SELECT count(*) FILTER (n > 0) AS used, round(count(*) FILTER (n > 0) / count(*), 6) AS usage, count(*) FILTER (n > 0) / count(*) < 0.5 AS is_low FROM hist",
     "usage_window": f"WITH {TOKENS} SELECT vec_id // 100 AS window_no, code, count(*) AS n FROM tok GROUP BY ALL",
-    "dead_codes": f"WITH {TOKENS} SELECT code FROM cb WHERE code NOT IN (SELECT code FROM tok WHERE vec_id BETWEEN 32 AND 63)",
-    "revive_plan": f"""WITH {TOKENS}, dead AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS rn FROM cb WHERE code NOT IN (SELECT code FROM tok WHERE vec_id BETWEEN 32 AND 63)),
- x AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42:revive:' || vec_id), vec_id) - 1 AS vn FROM v WHERE vec_id BETWEEN 64 AND 71), y AS (SELECT * FROM x WHERE vn < (SELECT count(*) FROM dead))
- SELECT code, vec_id FROM dead JOIN y ON rn % (SELECT count(*) FROM y) = vn""",
+    "dead_codes": f"WITH {DEAD} SELECT window_no, code FROM dead",
+    "revive_plan": f"""WITH {DEAD}, r AS (SELECT *, row_number() OVER (PARTITION BY window_no ORDER BY code) - 1 AS rn FROM dead),
+ x AS (SELECT vec_id, vec_id // 100 AS window_no, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY md5('42:revive:' || vec_id), vec_id) - 1 AS vn, count(*) OVER (PARTITION BY vec_id // 100) AS n FROM v)
+ SELECT r.window_no, code, vec_id FROM r JOIN x ON r.window_no = x.window_no AND rn % n = vn""",
     "ema_step": f"""WITH {TOKENS}, l AS (SELECT code, unnest(range(0, 64)) AS dim, unnest(e) AS w FROM cb), s AS (SELECT code, dim, count(*) AS n, sum(x) AS s FROM (SELECT code, unnest(range(0, 64)) AS dim, unnest(z) AS x FROM tok) GROUP BY ALL),
  u AS (SELECT l.code, l.dim, 0.99::DOUBLE * 1.0::DOUBLE + 0.01::DOUBLE * coalesce(n, 0) AS ema_n, 0.99::DOUBLE * w + 0.01::DOUBLE * coalesce(s, 0) AS av FROM l LEFT JOIN s ON l.code = s.code AND l.dim = s.dim),
  t AS (SELECT sum(ema_n) AS total, count(*) AS k FROM u WHERE dim = 0)
@@ -112,8 +113,7 @@ ORACLES = {
     "psnr_by_bucket": f"WITH {METRICS} SELECT label, round(avg(psnr), 6) AS psnr FROM m GROUP BY label",
     "feature_covariance": f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(z) AS x FROM v) SELECT p.i, q.i AS j, round(covar_samp(p.x, q.x), 6) AS cov FROM l p JOIN l q USING (vec_id) GROUP BY p.i, q.i",
     "eval_rollup": f"WITH {METRICS} SELECT label::VARCHAR AS bucket, count(*) AS num_images, round(avg(l1), 6) AS l1, round(avg(psnr), 6) AS psnr, label IS NULL OR count(*) >= 20 AS enough FROM m GROUP BY ROLLUP (label)",
-    "eval_report": f"""WITH {METRICS} SELECT label::VARCHAR AS bucket, count(*)::VARCHAR AS images, CASE WHEN count(*) >= 20 THEN printf('%.4f', round(avg(l1) / 2, 4)) ELSE 'n/a (few)' END AS rfid, printf('%.4f', avg(l1)) AS l1, printf('%.2f', avg(psnr)) AS psnr
- FROM m WHERE label < 3 OR vec_id < 60 GROUP BY label""",
+    "eval_report": f"""WITH {METRICS} SELECT label::VARCHAR AS bucket, count(*)::VARCHAR AS images, CASE WHEN count(*) >= 20 THEN printf('%.4f', round(avg(l1) / 2, 4)) ELSE 'n/a (few)' END AS rfid, printf('%.4f', avg(l1)) AS l1, printf('%.2f', avg(psnr)) AS psnr FROM m GROUP BY label""",
     "quick_validation": f"WITH {METRICS}, {plan('v', 'vec_id', 'label', False)}, x AS (SELECT batch_no, label, avg(l1) AS l1 FROM plan JOIN (SELECT vec_id, l1 FROM m) USING (vec_id) WHERE batch_no < 40 GROUP BY ALL) SELECT label::VARCHAR AS bucket, count(*) AS n_batches, round(avg(l1), 6) AS recon_l1 FROM x GROUP BY ROLLUP (label)",
     "telemetry_long": f"WITH {EVENTS} SELECT 'train/seconds' AS tag, step, seconds AS value FROM te UNION ALL SELECT 'train_bucket_' || bucket || '/seconds', step, seconds FROM te WHERE step % 50 = 0",
     "step_spikes": f"WITH {EVENTS}, x AS (SELECT *, avg(seconds) OVER (ORDER BY step ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS before FROM te) SELECT step, seconds, round(before, 6) AS before FROM x WHERE seconds > 5 * before",

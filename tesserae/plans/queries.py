@@ -182,21 +182,22 @@ def codebook_usage(spark, d):
 
 @query
 def usage_window(spark, d):
-    return vq.usage_windows(tokens(spark, d), F.floor(F.col("vec_id") / 100))
+    return vq.usage_windows(tokens(spark, d), window_of())
 
 
-def some_tokens(spark, d):
-    return tokens(spark, d).where("vec_id BETWEEN 32 AND 63")
+def window_of():
+    """A revival check every 100 vectors."""
+    return F.floor(F.col("vec_id") / 100)
 
 
 @query
 def dead_codes(spark, d):
-    return vq.dead(X.codebook(spark, d), some_tokens(spark, d)).select("code")
+    return vq.dead_by_window(X.codebook(spark, d), tokens(spark, d), window_of())
 
 
 @query
 def revive_plan(spark, d):
-    return vq.revive(dead_codes(spark, d), X.vectors(spark, d).where("vec_id BETWEEN 64 AND 71"), SEED)
+    return vq.revive_by_window(dead_codes(spark, d), X.vectors(spark, d), window_of(), SEED)
 
 
 @query
@@ -275,9 +276,7 @@ def eval_rollup(spark, d):
 
 @query
 def eval_report(spark, d):
-    """Lines of the report over vectors whose label is below 3 or whose id is below 60, so that some buckets are small."""
-    m = image_metrics(spark, d).where("label < 3 OR vec_id < 60")
-    e = metrics.evaluation(m)
+    e = metrics.evaluation(image_metrics(spark, d))
     return metrics.report(e.withColumn("rfid", F.when(F.col("enough"), F.round(F.col("l1") / 2, 4))))
 
 

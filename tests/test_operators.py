@@ -146,6 +146,23 @@ def test_revival_repeats_vectors_only_when_short(spark):
     assert len(many) == 7 and {r.vec_id for r in many} == {0, 1, 2}
 
 
+def test_revival_by_window(spark):
+    book = spark.createDataFrame([(c,) for c in range(4)], "code long")
+    t = spark.createDataFrame([(0, 0), (1, 0), (2, 3), (10, 1)], "vec_id long, code long")
+    w = F.floor(F.col("vec_id") / 10)
+    gone = vq.dead_by_window(book, t, w)
+    assert {tuple(r) for r in gone.collect()} == {(0, 1), (0, 2), (1, 0), (1, 2), (1, 3)}
+    got = {(r.window_no, r.code): r.vec_id for r in vq.revive_by_window(gone, t, w).collect()}
+    assert set(got) == {(0, 1), (0, 2), (1, 0), (1, 2), (1, 3)}
+    assert got[0, 1] != got[0, 2] and {got[0, 1], got[0, 2]} <= {0, 1, 2} and {got[1, c] for c in (0, 2, 3)} == {10}
+
+
+def test_report_of_small_buckets(spark):
+    m = spark.createDataFrame([(0, 0.25, 30.0)] * 20 + [(1, 0.5, 20.0)], "label long, l1 double, psnr double")
+    e = metrics.evaluation(m).withColumn("rfid", F.when(F.col("enough"), F.lit(1.5)))
+    assert [tuple(r) for r in metrics.report(e).collect()] == [("0", "20", "1.5000", "0.2500", "30.00"), ("1", "1", "n/a (few)", "0.5000", "20.00")]
+
+
 def test_frechet_closed_forms():
     rng = np.random.default_rng(0)
     a, b = np.diag([1.0, 4.0, 9.0]), np.diag([4.0, 1.0, 1.0])
