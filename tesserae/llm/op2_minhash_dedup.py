@@ -10,9 +10,11 @@
    (collisions met again later are skipped), collisions over all 16 coordinates are counted,
    and pairs from 5 matches up are kept. Lists have at most 64 members here, so the pairs
    grow with the input, not with the square of a group.
-4. Longer lists are cut into blocks of bounded weight. Each two blocks meet in one task,
-   which compares full sets by matrix products and returns only which members hang together:
-   a row for each member at most, never the pairs.
+4. Longer lists are cut into blocks of bounded weight. A task compares the full sets of a
+   block by matrix products and returns only which members hang together: a row for each
+   member at most, never the pairs. First each block meets itself and ``PIVOTS`` members of
+   its list, which is linear in the list. What now hangs together needs no comparison: only
+   members outside the list's largest component go on, in blocks, to meet all members.
 5. Links need 100 * intersection >= 85 * union on the full sets. Components come from
    alternating large-star and small-star rounds, which keep hubs small.
 
@@ -36,6 +38,8 @@ from .common import checkpoint, partitions, read_table, text_bytes
 WORDS, COORDINATES, POSTED, MATCHES, PERCENT = 5, 16, 8, 5, 85
 #: Members of a list that are still paired one by one; members and shingles of a block.
 SHORT, BLOCK, BLOCK_SHINGLES = 64, 1024, 1_000_000
+#: Members of a list that all its blocks meet first.
+PIVOTS = 4
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
@@ -210,10 +214,40 @@ def star_components(edges: DataFrame) -> DataFrame:
         e = checkpoint(small.where("u <> v").distinct())
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Edges u, v between class representatives that keep together what true links keep together."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+def first_meetings(hot: DataFrame) -> DataFrame:
+    """c, v, i, j, rep: each block of a long list with itself and with the list's pivots, which tie its blocks together."""
+    members = hot.select("c", "v", F.col("at").alias("i"), F.col("at").alias("j"), "rep")
+    pivots = hot.where("blocks > 1").groupBy("c", "v", "blocks").agg(F.array(*(F.min_by("rep", F.xxhash64(F.lit(k), "rep")) for k in range(PIVOTS))).alias("reps"))
+    pivots = pivots.select("c", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "reps")
+    return members.unionByName(pivots.select("c", "v", "i", F.col("i").alias("j"), F.explode(F.array_distinct("reps")).alias("rep")))
+
+
+def second_meetings(hot: DataFrame, known: DataFrame) -> DataFrame:
+    """c, v, i, j, rep: the members outside their list's largest known component, by blocks, with all members.
+
+    Members that are known to hang together need no comparison; every other two of a list meet in some group.
+    """
+    mine = hot.where("blocks > 1").join(known.withColumnRenamed("node", "rep"), "rep", "left").select("c", "v", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    parts = mine.groupBy("c", "v", "component").agg(F.count("*").alias("k"), F.sum("n").alias("kn"))
+    lists = parts.groupBy("c", "v").agg(F.max(F.struct("k", "component", "kn")).alias("main"), F.sum("k").alias("m"), F.sum("kn").alias("w")).where("m > main.k")
+    blocks = lambda k, n: F.greatest(F.ceil(k / BLOCK), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    lists = lists.select("c", "v", F.col("main.component").alias("main"), blocks(F.col("m") - F.col("main.k"), F.col("w") - F.col("main.kn")).alias("a"), blocks(F.col("main.k"), F.col("main.kn")).alias("b"))
+    d = mine.join(lists, ["c", "v"]).withColumn("outside", F.col("component") != F.col("main"))
+    h = F.xxhash64(F.lit("second"), "rep")
+    d = d.withColumn("at", F.when(F.col("outside"), F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.col("b"))).cast("int"))
+    d = d.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("a") + F.col("b")).otherwise(F.col("a")) - 1)))
+    return d.select("c", "v", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "rep")
+
+
+def _met(meetings: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges u, v of the members that meet in the same group."""
+    key = ["c", "v", "i", "j"]
+    rows = meetings.join(texts, "rep").select(*key, "rep", "text").repartition(partitions(texts.sparkSession), *key).sortWithinPartitions(*key)
+    return rows.mapInArrow(_blocks, "u long, v long")
+
+
+def components(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, component: what the links between class representatives keep together; without representatives that have none."""
     sig = F.array(*_SIG)
     posts = classes.select("rep", "n", sig.alias("sig"), F.posexplode(F.array(*_SIG[:POSTED])).alias("c", "v"))
     many = posts.groupBy("c", "v").agg(F.count("*").alias("m"), F.sum("n").alias("w")).where("m > 1")
@@ -232,19 +266,20 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = checkpoint(pairs)
 
     hot = posts.where(F.col("m") > SHORT).withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)).cast("int"))
-    hot = hot.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    hot = hot.select("c", "v", "rep", "at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    hot = hot.select("c", "v", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "rep")
+    hot = hot.withColumn("at", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).select("c", "v", "rep", "n", "blocks", "at")
 
-    wanted = pairs.select("rep").unionByName(pairs.select(F.col("rep2").alias("rep"))).unionByName(posts.where(F.col("m") > SHORT).select("rep")).distinct()
+    wanted = pairs.select("rep").unionByName(pairs.select(F.col("rep2").alias("rep"))).unionByName(hot.select("rep")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), text_bytes().alias("text"))
     texts = checkpoint(texts.join(wanted, "rep", "left_semi"))
 
     both = pairs.join(texts, "rep").withColumnRenamed("text", "text1").join(texts.select(F.col("rep").alias("rep2"), F.col("text").alias("text2")), "rep2")
     confirmed = both.select(F.col("rep").alias("u"), F.col("rep2").alias("v"), "text1", "text2").mapInArrow(_confirmed, "u long, v long")
 
-    met = hot.join(texts, "rep").select("c", "v", "i", "j", "rep", "text").repartition(n, "c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j")
-    return confirmed.unionByName(met.mapInArrow(_blocks, "u long, v long"))
+    known = star_components(confirmed.unionByName(_met(first_meetings(hot), texts)))
+    left = checkpoint(second_meetings(hot, known))
+    if left.isEmpty():
+        return known
+    return star_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_met(left, texts)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -256,7 +291,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), *(F.min(c).alias(c) for c in _SIG))
     )
     classes = checkpoint(classes)
-    found = star_components(links(docs, classes)).withColumnRenamed("node", "rep")
+    found = components(docs, classes).withColumnRenamed("node", "rep")
     named = classes.select("key", "rep").join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

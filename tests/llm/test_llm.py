@@ -140,6 +140,39 @@ def test_op2_against_brute_force(spark, monkeypatch, short, block):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def hot_list(spark, sizes):
+    """A list (0, 7) of blocks of 16, and components of these sizes, known for all members but the single ones."""
+    ids = iter(range(10_000))
+    parts = [[next(ids) for _ in range(n)] for n in sizes]
+    m = sum(sizes)
+    hot = spark.createDataFrame([(0, 7, i, 10, -(-m // 16), i % -(-m // 16)) for p in parts for i in p], "c int, v long, rep long, n int, blocks int, at int")
+    known = spark.createDataFrame([(i, p[0]) for p in parts if len(p) > 1 for i in p], "node long, component long")
+    return parts, hot, known
+
+
+@pytest.mark.parametrize("sizes", [[60, 20, 3, 1, 1], [1] * 40, [2] * 30])
+def test_op2_members_of_different_components_meet(spark, monkeypatch, sizes):
+    monkeypatch.setattr(op2, "BLOCK", 16)
+    parts, hot, known = hot_list(spark, sizes)
+    groups = {}
+    for r in op2.second_meetings(hot, known).collect():
+        groups.setdefault((r.i, r.j), []).append(r.rep)
+    assert all(len(g) == len(set(g)) for g in groups.values())
+    met = {frozenset(x) for g in groups.values() for x in itertools.combinations(g, 2)}
+    for p, q in itertools.combinations(parts, 2):
+        assert all(frozenset((x, y)) in met for x in p for y in q)
+    outside = sum(sizes) - max(sizes)
+    assert sum(map(len, groups.values())) <= 3 * (outside * (sum(sizes) // 16 + 3) + sum(sizes) * (outside // 16 + 1))
+
+
+def test_op2_a_list_of_one_component_is_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(op2, "BLOCK", 16)
+    _, hot, known = hot_list(spark, [100])
+    assert op2.second_meetings(hot, known).count() == 0
+    first = op2.first_meetings(hot).collect()
+    assert len(first) <= 100 + op2.PIVOTS * 7 and {r.rep for r in first} == set(range(100)) and all(r.i == r.j for r in first)
+
+
 def test_op2_edges(spark):
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op2.near_duplicates(edge(spark)).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (None, 2, None, True), (None, 0, None, True), (8, 2, 8, True), (9, 2, 8, False)} <= got
