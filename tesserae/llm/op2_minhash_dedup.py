@@ -223,7 +223,7 @@ def first_meetings(hot: DataFrame) -> DataFrame:
 
 
 def second_meetings(hot: DataFrame, known: DataFrame) -> DataFrame:
-    """c, v, i, j, rep: the members outside their list's largest known component, by blocks, with all members.
+    """c, v, i, j, rep, component: the members outside their list's largest known component, by blocks, with all members.
 
     Members that are known to hang together need no comparison; every other two of a list meet in some group.
     """
@@ -236,13 +236,13 @@ def second_meetings(hot: DataFrame, known: DataFrame) -> DataFrame:
     h = F.xxhash64(F.lit("second"), "rep")
     d = d.withColumn("at", F.when(F.col("outside"), F.pmod(h, F.col("a"))).otherwise(F.col("a") + F.pmod(h, F.col("b"))).cast("int"))
     d = d.withColumn("with", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("a") + F.col("b")).otherwise(F.col("a")) - 1)))
-    return d.select("c", "v", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "rep")
+    return d.select("c", "v", F.least("at", "with").alias("i"), F.greatest("at", "with").alias("j"), "rep", "component")
 
 
-def _met(meetings: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges u, v of the members that meet in the same group."""
+def _met(meetings: DataFrame, texts: DataFrame, name: str = "rep") -> DataFrame:
+    """Edges u, v between the names of the members that meet in the same group."""
     key = ["c", "v", "i", "j"]
-    rows = meetings.join(texts, "rep").select(*key, "rep", "text").repartition(partitions(texts.sparkSession), *key).sortWithinPartitions(*key)
+    rows = meetings.join(texts, "rep").select(*key, name, "text").repartition(partitions(texts.sparkSession), *key).sortWithinPartitions(*key)
     return rows.mapInArrow(_blocks, "u long, v long")
 
 
@@ -276,10 +276,15 @@ def components(docs: DataFrame, classes: DataFrame) -> DataFrame:
     confirmed = both.select(F.col("rep").alias("u"), F.col("rep2").alias("v"), "text1", "text2").mapInArrow(_confirmed, "u long, v long")
 
     known = star_components(confirmed.unionByName(_met(first_meetings(hot), texts)))
+    if hot.where("blocks > 1").isEmpty():
+        return known
     left = checkpoint(second_meetings(hot, known))
-    if left.isEmpty():
+    more = checkpoint(_met(left, texts, "component").where("u <> v").distinct())
+    if more.isEmpty():
         return known
-    return star_components(known.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_met(left, texts)))
+    joined = star_components(more).select(F.col("node").alias("of"), F.col("component").alias("least"))
+    alone = joined.join(known, F.col("of") == F.col("node"), "left_anti").select(F.col("of").alias("node"), F.col("least").alias("component"))
+    return known.join(joined, F.col("component") == F.col("of"), "left").select("node", F.coalesce("least", "component").alias("component")).unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

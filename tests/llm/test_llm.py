@@ -165,6 +165,19 @@ def test_op2_members_of_different_components_meet(spark, monkeypatch, sizes):
     assert sum(map(len, groups.values())) <= 3 * (outside * (sum(sizes) // 16 + 3) + sum(sizes) * (outside // 16 + 1))
 
 
+@pytest.mark.parametrize("pivots", [1, 4])
+def test_op2_chain_through_blocks(spark, monkeypatch, pivots):
+    """A chain of links, which pivots alone cannot tie, beside texts that share a passage only."""
+    monkeypatch.setattr(op2, "SHORT", 3)
+    monkeypatch.setattr(op2, "BLOCK", 4)
+    monkeypatch.setattr(op2, "PIVOTS", pivots)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i + 1, " ".join(words[5 * i : 5 * i + 150]), "s") for i in range(40)]
+    rows += [(100 + i, " ".join(words[:100] + [f"x{i}y{k}" for k in range(100)]), "s") for i in range(20)]
+    want = plain_components(plain_sets(rows))
+    assert {r.doc_id: r.component_id for r in op2.near_duplicates(docs_of(spark, rows)).collect()} == want
+
+
 def test_op2_a_list_of_one_component_is_not_compared_again(spark, monkeypatch):
     monkeypatch.setattr(op2, "BLOCK", 16)
     _, hot, known = hot_list(spark, [100])
