@@ -56,7 +56,8 @@ def water_fill(sizes: list[int], weights: list[float], most: float = MOST) -> li
         if not full:
             break
         left -= sum(out[i] for i in full)
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
     return [round(x, 6) for x in out]
 
 
