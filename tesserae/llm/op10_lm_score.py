@@ -7,8 +7,9 @@ corpus. The frequent words are classes of their own, the others go by their endi
 document's score is the sum of the log probabilities of all its words.
 
 What is gathered covers all documents: words are counted over the whole corpus (counts are
-combined in each task before they are shuffled), and every document gives training windows
-in proportion to its length (one of ``EVERY`` places). Each task trains on its own windows from
+combined in each task before they are shuffled), and every word of every document is a training
+target exactly once: round r of ``ROUNDS`` takes the places of residue class r. Texts are turned into
+classes once, in a checkpointed table that training and scoring read. Each task trains on its own windows from
 the current weights; the weights are averaged, weighted by windows, in a tree of fan-in
 ``FAN``, so the driver sees at most FAN sets of about 12,000 numbers whatever the number of
 tasks, and starts the next round from their mean.
@@ -35,7 +36,7 @@ from .common import checkpoint, read_table, text_bytes
 
 FREQUENT, ENDINGS, VOCABULARY = 64, 64, 5000
 CLASSES = FREQUENT + ENDINGS
-SIDE, DIM, HIDDEN, EVERY, ROUNDS, FAN, BATCH = 2, 12, 32, 16, 2, 32, 256
+SIDE, DIM, HIDDEN, ROUNDS, FAN, BATCH = 2, 12, 32, 4, 32, 1024
 _SHAPES = (("e", (CLASSES + 1, DIM)), ("w", (2 * SIDE * DIM, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, CLASSES)), ("c", (CLASSES,)))
 
 
@@ -87,7 +88,9 @@ def gradient(flat: np.ndarray, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
     o["v"][:], o["c"][:] = h.T @ g, g.sum(0)
     dh = (g @ p["v"].T) * (1 - h * h)
     o["w"][:], o["b"][:] = x.T @ dh, dh.sum(0)
-    np.add.at(o["e"], ctx.ravel(), (dh @ p["w"].T).reshape(-1, DIM))
+    dx, at = (dh @ p["w"].T).reshape(-1, DIM), ctx.ravel()
+    for k in range(DIM):
+        o["e"][:, k] = np.bincount(at, dx[:, k], len(o["e"]))
     return out
 
 
@@ -167,16 +170,28 @@ def vocabulary(texts: DataFrame) -> Vocabulary:
     return Vocabulary([(bytes(r.word), r.n) for r in top], {r.ending: (r.n, r.k) for r in ends})
 
 
-def _stream(vocab: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, list[int], list[float]]:
-    """Padded classes of the texts, their lengths and log shares."""
-    pad, ids, size, share = [CLASSES] * SIDE, [], [], []
-    for t in texts:
-        x, s = vocab.encode(t.split())
-        ids += pad
-        ids += x
-        size.append(len(x))
-        share.append(s)
-    return np.array(ids + pad, np.int16), size, share
+def encoded(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """doc_id, ids (SIDE pads and the classes of the words, as int16), share (their summed log shares); checkpointed."""
+    words = texts.sparkSession.sparkContext.broadcast(vocab)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pad = [CLASSES] * SIDE
+        for b in batches:
+            for first, part in _groups(b):
+                ids, share = [], []
+                for t in part:
+                    x, s = words.value.encode(t.split())
+                    ids.append(np.array(pad + x, np.int16).tobytes())
+                    share.append(s)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.array(ids, pa.binary()), pa.array(share, pa.float64())], ["doc_id", "ids", "share"])
+
+    return checkpoint(texts.select("doc_id", "text").mapInArrow(coded, "doc_id long, ids binary, share double"))
+
+
+def _stream(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of encoded texts one after another, padded, and the places of words."""
+    ids = np.concatenate([np.frombuffer(b"".join(parts), np.int16), np.full(SIDE, CLASSES, np.int16)])
+    return ids, np.flatnonzero(ids < CLASSES)
 
 
 def _groups(b: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -193,9 +208,19 @@ def _groups(b: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, list[
         yield first, texts
 
 
-def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = 0.05, every: int = EVERY) -> np.ndarray:
-    spark = texts.sparkSession
-    words = spark.sparkContext.broadcast(vocab)
+def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarray:
+    return fit(encoded(texts, vocab), rounds, rate)
+
+
+def targets(at: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """The places that round r trains on; the rounds share all places out."""
+    return at[at % rounds == r]
+
+
+def fit(codes: DataFrame, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarray:
+    """Weights trained on the ids of encoded texts."""
+    spark = codes.sparkSession
+    codes = codes.select("doc_id", "ids")
     flat = start_weights()
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
@@ -204,9 +229,8 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             w, squares, n = sent.value.copy(), np.full(len(sent.value), 1e-4, np.float32), 0
             for b in batches:
                 for _, part in _groups(b):
-                    ids, _, _ = _stream(words.value, part)
-                    at = np.flatnonzero(ids < CLASSES)
-                    at = at[(at * 2654435761 + r) % every == 0]
+                    ids, at = _stream(part)
+                    at = targets(at, r, rounds)
                     np.random.default_rng(len(at)).shuffle(at)
                     for i in range(0, len(at), BATCH):
                         k = at[i : i + BATCH]
@@ -227,7 +251,7 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32)], pa.list_(pa.float32()))], ["p", "n", "w"])
 
         kind = "p long, n long, w array<float>"
-        parts = checkpoint(texts.mapInArrow(local, kind))
+        parts = checkpoint(codes.mapInArrow(local, kind))
         count = parts.count()
         while count > FAN:
             count = (count + FAN - 1) // FAN
@@ -242,24 +266,22 @@ def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_prob (sum over all words), mean_log_prob."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    spark = docs.sparkSession
-    vocab = vocabulary(texts)
-    words = spark.sparkContext.broadcast(vocab)
-    sent = spark.sparkContext.broadcast(train(texts, vocab))
+    codes = encoded(texts, vocabulary(texts))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(codes))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, total = [], []
-            for _, part in _groups(b):
-                ids, n, share = _stream(words.value, part)
-                at = np.flatnonzero(ids < CLASSES)
+            for first, part in _groups(b):
+                ids, at = _stream(part)
+                n = [len(x) // 2 - SIDE for x in part]
                 lp = np.concatenate([[0.0], np.cumsum(log_probs(sent.value, contexts(ids, at), ids[at]))])
                 ends = np.cumsum([0, *n])
-                total += (lp[ends[1:]] - lp[ends[:-1]] + np.array(share)).tolist()
+                total += (lp[ends[1:]] - lp[ends[:-1]] + b.column(2).slice(first, len(part)).to_numpy()).tolist()
                 size += n
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(total, pa.float64()), pa.array([t / n if n else None for t, n in zip(total, size, strict=True)], pa.float64())], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
 
-    return texts.mapInArrow(scored, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return codes.mapInArrow(scored, "doc_id long, n_words long, log_prob double, mean_log_prob double")
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -499,6 +499,22 @@ def test_op10_learns_and_edges(spark):
     assert op10.score(empty(spark)).count() == 0
 
 
+def test_op10_every_word_is_a_target_once(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(i % 5 + 1)), "s") for i in range(60)]
+    d = docs_of(spark, rows).coalesce(1)
+    texts = d.select("doc_id", F.col("text").cast("binary").alias("text"))
+    codes = op10.encoded(texts, op10.vocabulary(texts))
+    ids, at = op10._stream([bytes(r.ids) for r in codes.collect()])
+    assert len(at) == sum(len(t.split()) for _, t, _ in rows)
+    taken = np.concatenate([op10.targets(at, r, op10.ROUNDS) for r in range(op10.ROUNDS)])
+    assert sorted(taken.tolist()) == at.tolist()
+    seen = []
+    checkpoint = op10.checkpoint
+    monkeypatch.setattr(op10, "checkpoint", lambda df: (seen.append(sum(r.n for r in df.select("n").collect())), checkpoint(df))[1])
+    op10.fit(codes)
+    assert len(seen) == op10.ROUNDS and sum(seen) == len(at)
+
+
 # pipeline
 
 
