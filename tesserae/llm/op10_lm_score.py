@@ -3,15 +3,19 @@
 Every token (word) is predicted from two words on each side, never from itself, by a small
 network trained in numpy: embeddings of the neighbours' classes, a hidden tanh layer, a softmax over
 word classes; a word's probability is its class's times its share of the class in the
-corpus. The frequent words are classes of their own, the others go by their ending. A
-document's score is the sum of the log probabilities of all its words.
+corpus. The frequent words are classes of their own, the others go by their ending; the number of
+classes grows as the cube root of the distinct words (``class_number``). A document's score is the sum of
+the log probabilities of all its words.
+
+Each word of the corpus enters with its own count. The ``CACHED`` most frequent are held in each task; all
+others are joined, by word, to the checkpointed table of counts and summed by document.
 
 What is gathered covers all documents: words are counted over the whole corpus (counts are
 combined in each task before they are shuffled), and every word of every document is a training
 target exactly once: round r of ``ROUNDS`` takes the places of residue class r. Texts are turned into
 classes once, in a checkpointed table that training and scoring read. Each task trains on its own windows from
 the current weights; the weights are averaged, weighted by windows, in a tree of fan-in
-``FAN``, so the driver sees at most FAN sets of about 12,000 numbers whatever the number of
+``FAN``, so the driver sees at most FAN sets of 45 numbers a class whatever the number of
 tasks, and starts the next round from their mean.
 
 Edge cases: null, empty and blank texts have 0 words, log_prob 0.0 and a null mean; repeated
@@ -34,24 +38,29 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, read_table, text_bytes
 
-FREQUENT, ENDINGS, VOCABULARY = 64, 64, 5000
-CLASSES = FREQUENT + ENDINGS
+FREQUENT, ENDINGS, CACHED = 64, 64, 50_000
+CLASSES = FREQUENT + ENDINGS  # at least
 SIDE, DIM, HIDDEN, ROUNDS, FAN, BATCH = 2, 12, 32, 4, 32, 1024
-_SHAPES = (("e", (CLASSES + 1, DIM)), ("w", (2 * SIDE * DIM, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, CLASSES)), ("c", (CLASSES,)))
 
 
-def ending_class(word: bytes) -> int:
-    return FREQUENT + zlib.crc32(word[-2:]) % ENDINGS
+def _shapes(classes: int) -> tuple[tuple[str, tuple[int, ...]], ...]:
+    return (("e", (classes + 1, DIM)), ("w", (2 * SIDE * DIM, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, classes)), ("c", (classes,)))
+
 
+def class_number(distinct: int) -> int:
+    """Classes for so many distinct words: twice the cube root, in steps of 32, half of them frequent words."""
+    return max(CLASSES, 32 * round(2 * distinct ** (1 / 3) / 32))
 
-def start_weights(seed: int = 7) -> np.ndarray:
+
+def start_weights(seed: int = 7, classes: int = CLASSES) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.concatenate([rng.normal(0, 0.1, s).astype(np.float32).ravel() if len(s) > 1 else np.zeros(s, np.float32) for _, s in _SHAPES])
+    return np.concatenate([rng.normal(0, 0.1, s).astype(np.float32).ravel() if len(s) > 1 else np.zeros(s, np.float32) for _, s in _shapes(classes)])
 
 
 def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, s in _SHAPES:
+    fixed = DIM + 2 * SIDE * DIM * HIDDEN + HIDDEN
+    for name, s in _shapes((len(flat) - fixed) // (DIM + HIDDEN + 1)):
         n = int(np.prod(s))
         out[name], at = flat[at : at + n].reshape(s), at + n
     return out
@@ -95,39 +104,39 @@ def gradient(flat: np.ndarray, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """ids has SIDE pads (CLASSES) before and after each document; at are places in it."""
+    """ids has SIDE pads (the number of classes) before and after each document; at are places in it."""
     return np.stack([ids[at + k] for k in range(-SIDE, SIDE + 1) if k], 1)
 
 
 class Vocabulary:
     """Class of a word, and its log share of that class."""
 
-    def __init__(self, counts: list[tuple[bytes, int]], of_class: dict[int, tuple[int, int]]):
-        """counts: the frequent words, most frequent first; of_class: words and distinct words by ending, over the whole corpus."""
-        self.known: dict[bytes, tuple[int, float]] = {}
-        left = {k: list(of_class.get(k, (0, 0))) for k in range(FREQUENT, CLASSES)}
-        for i, (w, n) in enumerate(counts):
-            k = ending_class(w)
-            if i < FREQUENT:
-                self.known[w] = (i, 0.0)
-                left[k][0] -= n
-            left[k][1] -= 1
-        total = {k: max(1, left[k][0]) for k in left}
-        for w, n in counts[FREQUENT:]:
-            k = ending_class(w)
-            self.known[w] = (k, float(np.log(n / total[k])))
-            left[k][0] -= n
-        self.other = {k: float(np.log(max(1, left[k][0]) / max(1, left[k][1]) / total[k])) for k in left}
-        self.classes = {w: c for w, (c, _) in self.known.items()}
-
-    def encode(self, words: list[bytes]) -> tuple[list[int], float]:
-        """Classes, and the sum of the log shares."""
-        ids, total, known, other = [], 0.0, self.known, self.other
+    def __init__(self, counts: list[tuple[bytes, int]], of_ending: dict[int, int], classes: int = CLASSES):
+        """counts: the cached words, most frequent first; of_ending: words by ending, over the whole corpus."""
+        self.size, self.frequent = classes, classes // 2
+        self.endings = classes - self.frequent
+        left = {self.frequent + k: n for k, n in of_ending.items()}
+        for w, n in counts[: self.frequent]:
+            left[self.ending_class(w)] -= n
+        self.total = {k: float(np.log(max(1, n))) for k, n in left.items()}
+        self.known: dict[bytes, tuple[int, float]] = {w: (i, 0.0) for i, (w, _) in enumerate(counts[: self.frequent])}
+        for w, n in counts[self.frequent :]:
+            k = self.ending_class(w)
+            self.known[w] = (k, float(np.log(n)) - self.total[k])
+
+    def ending_class(self, word: bytes) -> int:
+        return self.frequent + zlib.crc32(word[-2:]) % self.endings
+
+    def encode(self, words: list[bytes], rest: list[bytes] | None = None) -> tuple[list[int], float]:
+        """Classes, and the sum of the log shares; words that aren't cached go to rest, and their log counts are still to be added."""
+        ids, total, known = [], 0.0, self.known
         for w in words:
             x = known.get(w)
             if x is None:
-                k = FREQUENT + zlib.crc32(w[-2:]) % ENDINGS
-                x = (k, other[k])
+                k = self.ending_class(w)
+                x = (k, -self.total.get(k, 0.0))
+                if rest is not None:
+                    rest.append(w)
             ids.append(x[0])
             total += x[1]
         return ids, total
@@ -138,7 +147,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         words = list(c)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([ending_class(w) for w in words], pa.int32()), pa.array(list(c.values()), pa.int64())], ["word", "ending", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
     for b in batches:
         for t in b.column(1):
@@ -163,35 +172,48 @@ def most_frequent(words: DataFrame, k: int) -> list:
     return above + words.where(band == last).orderBy(F.desc("n"), "word").limit(max(0, k - len(above))).collect()
 
 
-def vocabulary(texts: DataFrame) -> Vocabulary:
-    words = checkpoint(texts.mapInArrow(_counted, "word binary, ending int, n long").groupBy("word", "ending").agg(F.sum("n").alias("n")))
-    top = most_frequent(words, VOCABULARY)
-    ends = words.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()
-    return Vocabulary([(bytes(r.word), r.n) for r in top], {r.ending: (r.n, r.k) for r in ends})
+def word_counts(texts: DataFrame) -> DataFrame:
+    """word, n: all words of the corpus, checkpointed."""
+    return checkpoint(texts.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(texts: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
+    counts = counts or word_counts(texts)
+    classes = class_number(counts.count())
+    ending = F.crc32(F.expr("substring(word, -2, 2)")) % (classes - classes // 2)
+    ends = counts.groupBy(ending.cast("int").alias("ending")).agg(F.sum("n").alias("n")).collect()
+    return Vocabulary([(bytes(r.word), r.n) for r in most_frequent(counts, CACHED)], {r.ending: r.n for r in ends}, classes)
 
 
 def encoded(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id, ids (SIDE pads and the classes of the words, as int16), share (their summed log shares); checkpointed."""
+    """doc_id, ids (SIDE pads and the classes of the words, as int16), share (their summed log shares, without the log counts of rest), rest (words that aren't cached), row (a number of its own for each row); checkpointed."""
     words = texts.sparkSession.sparkContext.broadcast(vocab)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad = [CLASSES] * SIDE
+        pad = [words.value.size] * SIDE
         for b in batches:
             for first, part in _groups(b):
-                ids, share = [], []
+                ids, share, rest = [], [], []
                 for t in part:
-                    x, s = words.value.encode(t.split())
+                    x, s = words.value.encode(t.split(), r := [])
                     ids.append(np.array(pad + x, np.int16).tobytes())
                     share.append(s)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.array(ids, pa.binary()), pa.array(share, pa.float64())], ["doc_id", "ids", "share"])
+                    rest.append(r)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.array(ids, pa.binary()), pa.array(share, pa.float64()), pa.array(rest, pa.list_(pa.binary()))], ["doc_id", "ids", "share", "rest"])
+
+    return checkpoint(texts.select("doc_id", "text").mapInArrow(coded, "doc_id long, ids binary, share double, rest array<binary>").withColumn("row", F.monotonically_increasing_id()))
+
 
-    return checkpoint(texts.select("doc_id", "text").mapInArrow(coded, "doc_id long, ids binary, share double"))
+def rest_shares(codes: DataFrame, counts: DataFrame) -> DataFrame:
+    """row, more: the summed log counts of a row's words that aren't cached; words that occur once add log 1 and need no join."""
+    said = codes.select("row", F.explode("rest").alias("word")).join(counts.where("n > 1"), "word")
+    return said.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
 
 
-def _stream(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _stream(parts: list[bytes], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
     """Classes of encoded texts one after another, padded, and the places of words."""
-    ids = np.concatenate([np.frombuffer(b"".join(parts), np.int16), np.full(SIDE, CLASSES, np.int16)])
-    return ids, np.flatnonzero(ids < CLASSES)
+    ids = np.concatenate([np.frombuffer(b"".join(parts), np.int16), np.full(SIDE, classes, np.int16)])
+    return ids, np.flatnonzero(ids < classes)
 
 
 def _groups(b: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -209,7 +231,7 @@ def _groups(b: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, list[
 
 
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarray:
-    return fit(encoded(texts, vocab), rounds, rate)
+    return fit(encoded(texts, vocab), rounds, rate, vocab.size)
 
 
 def targets(at: np.ndarray, r: int, rounds: int) -> np.ndarray:
@@ -217,11 +239,11 @@ def targets(at: np.ndarray, r: int, rounds: int) -> np.ndarray:
     return at[at % rounds == r]
 
 
-def fit(codes: DataFrame, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarray:
+def fit(codes: DataFrame, rounds: int = ROUNDS, rate: float = 0.05, classes: int = CLASSES) -> np.ndarray:
     """Weights trained on the ids of encoded texts."""
     spark = codes.sparkSession
     codes = codes.select("doc_id", "ids")
-    flat = start_weights()
+    flat = start_weights(classes=classes)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
@@ -229,7 +251,7 @@ def fit(codes: DataFrame, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarra
             w, squares, n = sent.value.copy(), np.full(len(sent.value), 1e-4, np.float32), 0
             for b in batches:
                 for _, part in _groups(b):
-                    ids, at = _stream(part)
+                    ids, at = _stream(part, classes)
                     at = targets(at, r, rounds)
                     np.random.default_rng(len(at)).shuffle(at)
                     for i in range(0, len(at), BATCH):
@@ -266,22 +288,26 @@ def fit(codes: DataFrame, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarra
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_prob (sum over all words), mean_log_prob."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
-    codes = encoded(texts, vocabulary(texts))
-    sent = docs.sparkSession.sparkContext.broadcast(fit(codes))
+    counts = word_counts(texts)
+    vocab = vocabulary(texts, counts)
+    codes, classes = encoded(texts, vocab), vocab.size
+    sent = docs.sparkSession.sparkContext.broadcast(fit(codes, classes=classes))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, total = [], []
             for first, part in _groups(b):
-                ids, at = _stream(part)
+                ids, at = _stream(part, classes)
                 n = [len(x) // 2 - SIDE for x in part]
                 lp = np.concatenate([[0.0], np.cumsum(log_probs(sent.value, contexts(ids, at), ids[at]))])
                 ends = np.cumsum([0, *n])
                 total += (lp[ends[1:]] - lp[ends[:-1]] + b.column(2).slice(first, len(part)).to_numpy()).tolist()
                 size += n
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(total, pa.float64()), pa.array([t / n if n else None for t, n in zip(total, size, strict=True)], pa.float64())], ["doc_id", "n_words", "log_prob", "mean_log_prob"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(total, pa.float64()), b.column(3)], ["doc_id", "n_words", "part", "row"])
 
-    return codes.mapInArrow(scored, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    parts = codes.select("doc_id", "ids", "share", "row").mapInArrow(scored, "doc_id long, n_words long, part double, row long")
+    whole = parts.join(rest_shares(codes, counts), "row", "left").withColumn("log_prob", F.col("part") + F.coalesce("more", F.lit(0.0)))
+    return whole.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -515,6 +515,46 @@ def test_op10_every_word_is_a_target_once(spark, monkeypatch):
     assert len(seen) == op10.ROUNDS and sum(seen) == len(at)
 
 
+def test_op10_every_word_enters_with_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(op10, "CACHED", 70)
+    rows = [(i % 40 or None, " ".join(f"w{j}é" for j in range(i % 200 + 1)) + f" once{i}", "s") for i in range(260)]
+    d = docs_of(spark, rows)
+    texts = d.select("doc_id", F.col("text").cast("binary").alias("text"))
+    counts = {}
+    for _, t, _ in rows:
+        for w in t.encode().split():
+            counts[w] = counts.get(w, 0) + 1
+    table = op10.word_counts(texts)
+    assert {bytes(r.word): r.n for r in table.collect()} == counts
+    v = op10.vocabulary(texts, table)
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    classes = {w: i if i < v.frequent else v.ending_class(w) for i, w in enumerate(order)}
+    of_class = {}
+    for w, n in counts.items():
+        of_class[classes[w]] = of_class.get(classes[w], 0) + n
+    codes = op10.encoded(texts, v)
+    more = {r.row: r.more for r in op10.rest_shares(codes, table).collect()}
+    got = sorted((len(r.ids), r.share + more.get(r.row, 0.0)) for r in codes.collect())
+    words = [t.encode().split() for _, t, _ in rows]
+    want = sorted((2 * (len(t) + op10.SIDE), sum(np.log(counts[w] / of_class[classes[w]]) for w in t)) for t in words)
+    assert np.allclose(got, want) and len(v.known) == 70 < len(counts)
+    parts = op10.score(d).agg(F.sum("n_words"), F.count("*")).first()
+    assert tuple(parts) == (sum(map(len, words)), len(rows))
+
+
+def test_op10_classes_follow_the_vocabulary(spark):
+    assert op10.class_number(100) == op10.CLASSES < op10.class_number(2_000_000) < op10.class_number(50_000_000)
+    w, rng = op10.start_weights(classes=300), np.random.default_rng(3)
+    ctx = rng.integers(0, 301, (5, 4))
+    total = sum(np.exp(op10.log_probs(w, ctx, np.full(5, y))) for y in range(300))
+    assert np.allclose(total, 1, atol=1e-4)
+    d = docs_of(spark, [(i, " ".join(f"v{i * 2500 + j}" for j in range(2500)), "s") for i in range(250)])
+    v = op10.vocabulary(d.select("doc_id", F.col("text").cast("binary").alias("text")))
+    assert v.size == op10.class_number(625_000) > op10.CLASSES and max(c for c, _ in v.known.values()) >= op10.CLASSES
+    assert len({c for c, _ in v.known.values()}) <= v.size
+    assert op10.score(d.where("doc_id < 3")).where("log_prob < 0").count() == 3
+
+
 # pipeline
 
 
