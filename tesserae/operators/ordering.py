@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the session's ``spark.checkpoint.dir`` (a local folder only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
-    return df.checkpoint(eager=True)
+#: Rows of a side that is broadcast.
+FEW = 100_000
 
 
 def row_numbers(df: DataFrame, *order: str, out: str = "rn", start: int = 1) -> DataFrame:
@@ -34,21 +29,25 @@ def group_row_numbers(df: DataFrame, groups: list[str], *order: str, out: str =
     """Adds a gapless number from 1 in each group: numbers of the whole table less the least of the group.
 
     A group with most of the rows is spread over many ranges. Each group gives one row to the
-    join, so groups should be few (buckets).
+    join; up to ``FEW`` of them are broadcast, more are joined by a shuffle.
     """
     d = row_numbers(df, *groups, *order, out="__rows_rn")
     first = d.groupBy(*groups).agg(F.min("__rows_rn").alias("__rows_first"))
-    return d.join(F.broadcast(first), groups).withColumn(out, F.col("__rows_rn") - F.col("__rows_first") + 1).drop("__rows_rn", "__rows_first")
+    if first.limit(FEW + 1).count() <= FEW:
+        first = F.broadcast(first)
+    return d.join(first, groups).withColumn(out, F.col("__rows_rn") - F.col("__rows_first") + 1).drop("__rows_rn", "__rows_first")
 
 
 def rolling(df: DataFrame, step: str, frame: tuple[int, int], block: int = 65_536, **aggregates: Column) -> DataFrame:
     """Aggregates over rows from frame[0] to frame[1] (both <= 0) around each row, by a gapless step.
 
-    Steps are cut into blocks; each block also gets the rows before it that its frames reach,
-    so no window holds more than block rows and the halo.
+    Steps are cut into blocks; each row also goes to the later blocks whose frames reach back to
+    it (several, if the frame is longer than a block), so no window holds more than block rows and
+    the halo.
     """
-    halo = -frame[0]
+    halo = max(0, -frame[0])
+    block = max(block, halo, 1)
     mine = F.floor(F.col(step) / block)
-    both = df.withColumn("__block", F.explode(F.array_distinct(F.array(mine, F.floor((F.col(step) + halo) / block)))))
+    both = df.withColumn("__block", F.explode(F.sequence(mine, F.floor((F.col(step) + halo) / block))))
     w = Window.partitionBy("__block").orderBy(step).rowsBetween(*frame)
     return both.withColumns({k: c.over(w) for k, c in aggregates.items()}).where(F.col("__block") == mine).drop("__block")

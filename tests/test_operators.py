@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import scalars as S
 from tesserae.operators import buckets as B
-from tesserae.operators import infer, losses, metrics, sampler, telemetry, vq
+from tesserae.operators import infer, losses, metrics, sampler, shared, telemetry, vq
 from tesserae.operators.ordering import group_row_numbers, rolling, row_numbers
 from tesserae.sources import catalog, checkpoints, config
 
@@ -84,6 +84,23 @@ def test_row_numbers_and_rolling(spark):
     assert all(abs(got[k] - np.mean(range(max(1, k - 50), k))) < 1e-9 for k in range(2, 301))
 
 
+def test_rolling_frames_longer_than_a_block(spark):
+    s = spark.range(100).select(F.col("id").alias("step"), F.col("id").cast("double").alias("v"))
+    got = {r.step: r.n for r in rolling(s, "step", (-25, -1), block=10, n=F.count("v")).collect()}
+    assert got == {k: min(k, 25) for k in range(100)}
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    class Fake:
+        master = "spark://host:7077"
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        getConf = staticmethod(lambda: Fake.conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(type("S", (), {"sparkContext": Fake, "conf": Fake.conf}))
+
+
 def test_bucket_rules(spark):
     with pytest.raises(ValueError):
         B.Bucket("odd", 100, 64)
