@@ -1,53 +1,27 @@
 """Shared helpers of the training-data operators.
 
 Words are maximal runs of characters other than space and U+0009 to U+000D, which is
-what ``bytes.split()`` yields on UTF-8, so texts are handed to Python as binary.
+what ``bytes.split()`` yields on UTF-8, so texts are handed to Python as binary. Spark
+bounds what it hands over at once by rows and by bytes (64 MB).
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Java and DuckDB pattern of the white space that separates words.
-SPACE = r"[\x20\x09-\x0D]+"
+from ..operators.shared import checkpoint, delete, fresh_path, shared_dir
 
+__all__ = ["SPACE", "checkpoint", "delete", "fresh_path", "partitions", "read_table", "shared_dir", "text_bytes"]
 
-#: Rows that Spark hands to Python at once, where the session has Spark's own default (10,000): texts may be very long.
-BATCH_ROWS = "1000"
+#: Java and DuckDB pattern of the white space that separates words.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table; bounds the session's Arrow batches unless they were set by someone."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where unset (tests)."""
-    sc = spark.sparkContext
-    there = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not there:
-        there = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="tesserae-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(there)
-    return there
-
-
-def fresh_path(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage at reliable storage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_bytes(name: str = "text") -> Column:
     """The column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")

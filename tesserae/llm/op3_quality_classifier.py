@@ -7,14 +7,18 @@ the difference of Mahalanobis log densities plus the log prior ratio, on a signe
 scale whose slope and offset are fitted to the training rows (through a histogram of some
 hundreds of bins).
 
-Training takes every labelled row outside the held-out quarter (crc32 of the id as text,
-mod 4, is 2), by sums that at most ``TRAINERS`` tasks return. Text is read once: the
-statistics (a few hundred bytes a row) are checkpointed and used for both steps.
-
-Edge cases: null and empty texts count as empty and are scored like others; labels that are
-null or neither 0 nor 1 are left out, and an id with both labels counts as 0; a class
-without rows takes the moments of the other (no rows at all: every score is the prior 0.5);
-null ids are scored and never held out. label, lang, source and doc_id are not inputs.
+Training takes the labelled rows outside the held-out quarter (crc32 of the id as text, mod 4,
+is 2): all of them up to ``LABELS`` ids, beyond that about as many by a hash of the id. So the set of
+ids that training needs is bounded and broadcast, and only their texts are measured for it; moments
+are sums that at most ``TRAINERS`` tasks return. Scoring measures every text once, where it lies:
+nothing is shuffled. Ids stay 64-bit integers in the JVM; Python sees texts only.
+
+Edge cases: null and empty texts count as empty and are scored like others; a text of any length is
+measured whole; labels that are null or neither 0 nor 1 are left out, and an id with both labels
+counts as 0; rows that repeat a labelled id all train; a class without rows takes the moments of the
+other (no rows at all: every score is the prior 0.5); null ids are scored and never held out; repeated
+rows get the same score; an empty table gives no rows; other columns, whatever their names, are
+ignored by ``classify`` and kept by ``accepted``. label, lang, source and doc_id are not inputs.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpoint, read_table, text_bytes
 
@@ -35,7 +40,7 @@ NAMES = (
     "dup_pairs", "stops", "commas", "non_ascii", "longest_word", "pair_runs",
 )
 D = len(NAMES)
-TRAINERS = 64
+TRAINERS, LABELS = 64, 200_000
 THRESHOLD = 0.7
 _CLASSES = np.zeros((256, 8), np.int64)
 for _i, _set in enumerate(("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#*$%&|<>@~^_{}[]", "!?", "0123456789", "\n", ".", ",;:")):
@@ -62,14 +67,13 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = np.array([statistics(t.as_py()) for t in b.column(1)], np.float64).reshape(-1, D)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x[:, i]) for i in range(D))], ["doc_id", *NAMES])
+def _matrix(texts) -> np.ndarray:
+    return np.array([statistics(t) for t in texts], np.float64).reshape(-1, D)
 
 
-def features(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(_measured, "doc_id long, " + ", ".join(f"{c} double" for c in NAMES))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _statistics(texts: pd.Series) -> pd.Series:
+    return pd.Series(list(_matrix(texts)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -109,19 +113,23 @@ def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: float = 1.0) -
     return round(float(t[0]), 9), round(float(t[1]), 9)
 
 
+def _rows(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
+
+
 def fit(labelled: DataFrame, own: float = 0.7, ridge: float = 0.02) -> Model:
-    """labelled: quality and the statistics. own: weight of a class's own covariance against the pooled diagonal."""
+    """labelled: quality and x. own: weight of a class's own covariance against the pooled diagonal."""
 
     def moments(batches):
         total = {c: np.zeros((D + 1, D + 1)) for c in (0, 1)}
         for b in batches:
-            x = np.column_stack([np.ones(b.num_rows), *(b.column(i + 1).to_numpy() for i in range(D))])
+            x = np.column_stack([np.ones(b.num_rows), _rows(b.column(1))])
             y = b.column(0).to_numpy()
             for c in (0, 1):
                 total[c] += x[y == c].T @ x[y == c]
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([total[0].ravel(), total[1].ravel()], pa.list_(pa.float64()))], ["c", "m"])
 
-    parts = labelled.select(F.col("quality").cast("int"), *NAMES).coalesce(TRAINERS).mapInArrow(moments, "c int, m array<double>").collect()
+    parts = labelled.select(F.col("quality").cast("int"), "x").coalesce(TRAINERS).mapInArrow(moments, "c int, m array<double>").collect()
     m = np.zeros((2, D + 1, D + 1))
     for p in sorted(parts, key=lambda r: (r.c, r.m)):
         m[p.c] += np.array(p.m).reshape(D + 1, D + 1)
@@ -142,46 +150,51 @@ def fit(labelled: DataFrame, own: float = 0.7, ridge: float = 0.02) -> Model:
     return Model(tuple(prior.tolist()), mean, np.stack([np.linalg.inv(x) for x in chol]), tuple(float(np.log(np.diag(x)).sum()) for x in chol))
 
 
-def train(stats: DataFrame, labels: DataFrame) -> Model:
-    """A calibrated model from ``features`` of documents and their labels (doc_id, quality)."""
-    y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    known = checkpoint(stats.where(~held_out()).join(y, "doc_id"))
+def known_labels(labels: DataFrame, most: int = LABELS) -> DataFrame:
+    """doc_id, quality to train on: one row an id, at most about ``most`` of them."""
+    y = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    y = checkpoint(y.where(~held_out()))
+    n = y.count()
+    return y if n <= most else y.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = LABELS) -> Model:
+    """A calibrated model from documents and their labels (doc_id, quality)."""
+    y = F.broadcast(known_labels(labels, most).withColumnRenamed("doc_id", "__of"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(y, F.col("doc_id") == F.col("__of"))
+    known = checkpoint(d.select("quality", _statistics(text_bytes()).alias("x")))
     model = fit(known)
 
-    def rated(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"quality": f["quality"], "bin": np.round(model.ratio(f[list(NAMES)].to_numpy()) * 20).astype(int)})
+    def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.round(model.ratio(_rows(b.column(1))) * 20).astype(np.int32))], ["quality", "bin"])
 
-    bins = known.mapInPandas(rated, "quality int, bin int").groupBy("quality", "bin").count().orderBy("quality", "bin").toPandas()
+    bins = known.select("quality", "x").mapInArrow(rated, "quality int, bin int").groupBy("quality", "bin").count().orderBy("quality", "bin").toPandas()
     if not len(bins):
         return model
     slope, offset = calibrate(bins["bin"].to_numpy() / 20, bins["quality"].to_numpy(), bins["count"].to_numpy())
     return replace(model, slope=slope, offset=offset)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs."""
-    stats = checkpoint(features(docs))
-    model = train(stats, labels)
+def score_of(model: Model) -> Column:
+    """The score of the column text."""
 
-    def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": model.score(f[list(NAMES)].to_numpy())})
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(texts)))
 
-    out = stats.withColumn("held_out", held_out()).mapInPandas(scored, "doc_id long, held_out boolean, score double")
-    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return scored(text_bytes())
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are predicted 1, judged where they lie: nothing is shuffled for it."""
-    model = train(checkpoint(features(docs)), labels)
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", held_out().alias("held_out"), score_of(train(docs, labels)).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, D)
-        return pd.Series(model.score(x) >= THRESHOLD)
 
-    return docs.where(good(text_bytes()))
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are predicted 1, judged where they lie."""
+    return docs.where(score_of(train(docs, labels)) >= THRESHOLD)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,29 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-1. A first pass makes each record (a gzip member with regenerated headers: no clock, host or
-   random id enters) and keeps its sizes and digest only. Of equal payloads of at least
-   ``MIN_BYTES`` the least page_id stays a response; the others become revisit records.
-2. This listing is range-sorted by page_id; sums of the ranges (one number each) give
-   offsets, so that every record knows the compressed bytes before it. Its file is that
-   number divided by ``roll_bytes``: files are the same however Spark splits the range.
-   A file begins at a page_id that the tasks get (``MAX_FILES`` at most), so that a second pass over the
-   pages deals compressed records to their files: payloads are shuffled once, compressed.
+1. Digests and sizes come first, without payloads. Of equal payloads of at least ``MIN_BYTES``
+   the least page_id stays a response; the others become revisit records. The digests that occur
+   again are broadcast up to ``FEW`` of them, and joined by a shuffle beyond that.
+2. A pass over the pages makes each record (a gzip member with regenerated headers: no clock,
+   host or random id enters) and keeps its compressed size only. These rows are range-sorted by
+   page_id, digest and MD5 of the URL; sums of the ranges (one number each) give offsets, so that
+   every record knows the compressed bytes before it. Its file is that number divided by
+   ``roll_bytes`` (raised where there would be more than ``MAX_FILES`` files): files are the same
+   however Spark splits the range. A second pass makes the records again and deals them to their
+   files by the places at which files begin (56 bytes each): response payloads are shuffled once,
+   compressed, and payloads of revisits not at all.
 3. Each file is written by one task under a temporary name that carries the attempt, and
    listed with its size and SHA-256 in a manifest. After the manifest is stored, tasks
    rename the listed files to their final names (a rename that was done already is
    recognised), and ``MANIFEST.parquet`` is written last: a folder without it isn't complete.
 
-Files are reached by ``pyarrow.fs`` at the URI of the shared folder.
+Files are reached by ``pyarrow.fs`` at the URI of the shared folder. Ids stay 64-bit integers
+all the way.
 
 Edge cases: null html is an empty payload, null url an empty URI; equal page_ids are ordered
-by digest and url; a null page_id sorts first, is written, and is never the target of a
-revisit, nor a revisit itself; an empty table gives an empty manifest; other columns are ignored.
+by digest and URL; a null page_id sorts first, is written, and is never the target of a
+revisit, nor a revisit itself; rows that repeat the least page_id of a payload are responses
+too; a payload of any length is one record in one piece; an empty table gives an empty manifest;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +35,6 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -39,6 +44,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, fresh_path, partitions, read_table
 
 MIN_BYTES, ROLL_BYTES, MAX_FILES, LEVEL, DATE = 100, 64 << 20, 1_000_000, 4, "2024-01-01T00:00:00Z"
+#: Repeated digests that are broadcast; tasks that write files.
+FEW, WRITERS = 200_000, 20_000
 _SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -69,44 +76,44 @@ def record(kind: str, page_id: int | None, url: str | None, digest: str, size: i
 
 
 def _packer(keep: bool):
-    """Response records; with their members, or with the members' sizes only."""
+    """Records of rows page_id, url, size, digest, first, html (null for revisits); with their members, or with the members' sizes only."""
+    kind, name = (pa.binary(), "member") if keep else (pa.int64(), "bytes")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                size, digests, members = [], [], []
-                for i, u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    data = h.as_py()
-                    digests.append(hashlib.sha256(data).hexdigest())
-                    m = _member(record("response", i, u, digests[-1], len(data), data))
-                    size.append(len(data))
+                members, urls = [], []
+                for i, u, n, d, first, html in zip(*(part.column(c).to_pylist() for c in range(5)), part.column(5), strict=True):
+                    data = html.as_py()
+                    m = _member(record("response", i, u, d, n, data) if data is not None else record("revisit", i, u, d, n, b"", first))
                     members.append(m if keep else len(m))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(digests, pa.string()), pa.array(members, pa.binary() if keep else pa.int64())], ["page_id", "url", "size", "digest", "member" if keep else "bytes"]
-                )
+                    urls.append(hashlib.md5((u or "").encode("utf-8", "surrogatepass")).digest())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3), pa.array(urls, pa.binary()), pa.array(members, kind)], ["page_id", "digest", "url", name])
 
     return packed
 
 
-def _revisited(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for i in f.index[f["first"].notna()]:
-            r = f.loc[i]
-            f.at[i, "bytes"] = len(_member(record("revisit", int(r["page_id"]), r["url"], r["digest"], int(r["size"]), b"", int(r["first"]))))
-        yield f
+def marked(pages: DataFrame) -> DataFrame:
+    """page_id, url, size, digest, first (the response's page_id, of revisits), html (null for revisits)."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    p = p.select("page_id", "url", F.octet_length("html").cast("long").alias("size"), F.sha2("html", 256).alias("digest"), "html")
+    again = p.where((F.col("size") >= MIN_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    again = checkpoint(again.where("n > 1").drop("n"))
+    if again.limit(FEW + 1).count() <= FEW:
+        again = F.broadcast(again)
+    d = p.join(again, "digest", "left").withColumn("first", F.when(F.col("page_id") > F.col("first"), F.col("first")))
+    return d.select("page_id", "url", "size", "digest", "first", F.when(F.col("first").isNull(), F.col("html")).alias("html"))
 
 
-_META = "page_id long, url string, size long, digest string, bytes long, first long"
+_PLACE = ["page_id", "digest", "url"]
 
 
-def listing(pages: DataFrame) -> DataFrame:
-    """page_id, url, size, digest, bytes (of the compressed record), first (of revisits); range-sorted, without payloads."""
-    small = checkpoint(pages.mapInArrow(_packer(False), "page_id long, url string, size long, digest string, bytes long"))
-    first = small.where((F.col("size") >= MIN_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = small.join(first, "digest", "left").withColumn("first", F.when(F.col("page_id") > F.col("first"), F.col("first")))
-    ready = joined.select("page_id", "url", "size", "digest", "bytes", "first").mapInPandas(_revisited, _META)
-    return checkpoint(ready.repartitionByRange(partitions(pages.sparkSession), "page_id", "digest", "url").sortWithinPartitions("page_id", "digest", "url"))
+def listing(rows: DataFrame) -> DataFrame:
+    """page_id, digest, url (its MD5), bytes (of the compressed record) of ``marked`` rows, range-sorted."""
+    small = checkpoint(rows.mapInArrow(_packer(False), "page_id long, digest string, url binary, bytes long"))
+    return checkpoint(small.repartitionByRange(partitions(rows.sparkSession), *_PLACE).sortWithinPartitions(*_PLACE))
 
 
 def with_files(listed: DataFrame, roll_bytes: int) -> DataFrame:
@@ -121,6 +128,7 @@ def with_files(listed: DataFrame, roll_bytes: int) -> DataFrame:
     start, at = {}, 0
     for r in sorted(listed.select("bytes").mapInArrow(sums, "p long, total long").collect()):
         start[r.p], at = at, at + r.total
+    roll_bytes = max(roll_bytes, -(-at // MAX_FILES))
 
     def numbered(batches):
         before = start.get(TaskContext.get().partitionId(), 0)
@@ -131,80 +139,70 @@ def with_files(listed: DataFrame, roll_bytes: int) -> DataFrame:
                 before += n
             yield pa.RecordBatch.from_arrays([pa.array(no, pa.int64()), *b.columns], ["file_no", *b.schema.names])
 
-    return listed.mapInArrow(numbered, "file_no long, " + _META)
+    return listed.mapInArrow(numbered, "file_no long, page_id long, digest string, url binary, bytes long")
 
 
-def _place(page_id: int | None, digest: str, url: str | None) -> tuple:
-    return (page_id is not None, page_id or 0, digest, url is not None, url or "")
+def _place(page_id: int | None, digest: str, url: bytes) -> tuple:
+    return (page_id is not None, page_id or 0, digest, url)
 
 
 def write_archive(pages: DataFrame, out: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes and commits the archive in folder ``out`` (a URI that executors reach); returns its manifest."""
     spark = pages.sparkSession
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    filed = with_files(listing(p), roll_bytes)
-    begin = filed.groupBy("file_no").agg(F.min(F.struct("page_id", "digest", "url")).alias("k")).limit(MAX_FILES + 1).collect()
-    if len(begin) > MAX_FILES:
-        raise ValueError(f"more than {MAX_FILES} files: raise roll_bytes")
-    begin = sorted((_place(*r.k), r.file_no) for r in begin)
+    all_rows = marked(pages)
+    filed = with_files(listing(all_rows), roll_bytes)
+    begin = filed.groupBy("file_no").agg(F.min(F.struct(*_PLACE)).alias("k")).collect()
+    begin = sorted((_place(r.k.page_id, r.k.digest, bytes(r.k.url)), r.file_no) for r in begin)
     starts = spark.sparkContext.broadcast(([k for k, _ in begin], [n for _, n in begin]))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, numbers = starts.value
         for b in _packer(True)(batches):
-            at = [numbers[max(0, bisect_right(keys, _place(*k)) - 1)] for k in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns, pa.nulls(b.num_rows, pa.int64())], ["file_no", *b.schema.names, "first"])
+            at = [numbers[max(0, bisect_right(keys, _place(*k)) - 1)] for k in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *b.columns], ["file_no", *b.schema.names])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by file, page and digest; a row without a member says of which page those after it are revisits."""
+        """Rows by file, page, digest and URL."""
         store, root = _opened(out)
         store.create_dir(f"{root}/_temporary", recursive=True)
         attempt = TaskContext.get().taskAttemptId()
-        no, sink, rows, digest, name, revisit = None, None, 0, None, "", None
+        no, sink, rows, digest, name = None, None, 0, None, ""
 
         def closed():
             sink.close()
             return pa.RecordBatch.from_arrays([pa.array([no], pa.int64()), pa.array([name]), pa.array([rows], pa.int64()), pa.array([store.get_file_info(f"{root}/{name}").size], pa.int64()), pa.array([digest.hexdigest()])], ["file_no", "temporary", "records", "bytes", "sha256"])
 
         for b in batches:
-            for k, i, u, n, d, m, f in zip(*(b.column(c).to_pylist() if c != 5 else b.column(c) for c in range(7)), strict=True):
-                data = m.as_py()
-                if data is None:
-                    revisit = (i, d, f)
-                    continue
+            for k, m in zip(b.column("file_no").to_pylist(), b.column("member"), strict=True):
                 if k != no:
                     if sink:
                         yield closed()
                     no, rows, digest, name = k, 0, hashlib.sha256(), f"_temporary/part-{k:08d}-{attempt}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(f"{root}/{name}")
-                if revisit and revisit[:2] == (i, d):
-                    data = _member(record("revisit", i, u, d, n, b"", revisit[2]))
+                data = m.as_py()
                 sink.write(data)
                 digest.update(data)
                 rows += 1
         if sink:
             yield closed()
 
-    def rename(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _opened(out)
-        for f in frames:
-            for t, name, size in zip(f["temporary"], f["name"], f["bytes"], strict=True):
+        for b in batches:
+            for t, name, size in zip(*(b.column(c).to_pylist() for c in ("temporary", "name", "bytes")), strict=True):
                 if store.get_file_info(f"{root}/{t}").type == fs.FileType.File:
                     store.move(f"{root}/{t}", f"{root}/{name}")
                 if store.get_file_info(f"{root}/{name}").size != size:
                     raise OSError(f"{name} was not committed")
-            yield f.drop(columns="temporary")
-
-    kind = "file_no long, page_id long, url string, size long, digest string, member binary, first long"
-    marks = filed.where("first IS NOT NULL").groupBy("file_no", "page_id", "digest").agg(F.min("first").alias("first"))
-    marks = marks.select("file_no", "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("long").alias("size"), "digest", F.lit(None).cast("binary").alias("member"), "first")
-    rows = p.mapInArrow(numbered, kind).unionByName(marks)
-    order = ["file_no", "page_id", "digest", F.col("first").isNull(), "url"]
-    listed = rows.repartition(max(partitions(spark), len(begin)), "file_no").sortWithinPartitions(*order).mapInArrow(write, "file_no long, temporary string, records long, bytes long, sha256 string")
+            yield b.drop_columns(["temporary"])
+
+    rows = all_rows.mapInArrow(numbered, "file_no long, page_id long, digest string, url binary, member binary")
+    tasks = min(WRITERS, max(partitions(spark), len(begin)))
+    listed = rows.repartition(tasks, "file_no").sortWithinPartitions("file_no", *_PLACE).mapInArrow(write, "file_no long, temporary string, records long, bytes long, sha256 string")
     listed = listed.withColumn("name", F.format_string("part-%08d.warc.gz", "file_no"))
     listed.write.parquet(f"{out}/_manifest")
     listed = spark.read.parquet(f"{out}/_manifest")
-    done = listed.mapInPandas(rename, "file_no long, records long, bytes long, sha256 string, name string")
+    done = listed.mapInArrow(rename, "file_no long, records long, bytes long, sha256 string, name string")
     done.write.parquet(f"{out}/MANIFEST.parquet")
     return spark.read.parquet(f"{out}/MANIFEST.parquet")
 

@@ -233,6 +233,58 @@ def test_op3_labels_of_held_out_rows_do_not_matter(spark):
     assert a == b
 
 
+def plain_discriminant(rows, labels):
+    """Scores by direct formulas: rows (doc_id, text), labels (doc_id, quality)."""
+    own, ridge, out = 0.7, 0.02, []
+    x = {k: np.array(op3.statistics((t or "").encode())) for k, (_, t) in enumerate(rows)}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    y = {}
+    for i, q in labels:
+        if i is not None and q in (0, 1) and not held(i):
+            y[i] = min(q, y.get(i, 1))
+    groups = [[x[k] for k, (i, _) in enumerate(rows) if y.get(i) == c] for c in (0, 1)]
+    mean = [sum(g) / len(g) for g in groups]
+    cov = [sum(np.outer(v - m, v - m) for v in g) / len(g) for g, m in zip(groups, mean, strict=True)]
+    pooled = sum(len(g) * np.diag(c) for g, c in zip(groups, cov, strict=True)) / sum(map(len, groups))
+    shrunk = [own * c + (1 - own) * np.diag(np.diag(c)) + np.diag(ridge * pooled + 1e-4) for c in cov]
+    prior = [np.log((len(g) + 1) / (sum(map(len, groups)) + 2)) for g in groups]
+    density = lambda v, c: prior[c] - 0.5 * (v - mean[c]) @ np.linalg.solve(shrunk[c], v - mean[c]) - 0.5 * np.linalg.slogdet(shrunk[c])[1]
+    ratio = lambda v: np.sign(density(v, 1) - density(v, 0)) * np.log1p(abs(density(v, 1) - density(v, 0)))
+    r = np.array([round(ratio(v) * 20) / 20 for c in (0, 1) for v in groups[c]])
+    q = np.array([c for c in (0, 1) for _ in groups[c]], float)
+    loss = lambda t: np.logaddexp(0, -(2 * q - 1) * (t[0] * r + t[1])).sum() + 0.5 * ((t[0] - 1) ** 2 + t[1] ** 2)
+    t, step = np.array([1.0, 0.0]), 1.0
+    while step > 1e-7:  # a plain search
+        best = min(((loss(t + step * np.array(d)), i) for i, d in enumerate([(1, 0), (-1, 0), (0, 1), (0, -1)])), key=lambda z: z[0])
+        if best[0] < loss(t):
+            t = t + step * np.array([(1, 0), (-1, 0), (0, 1), (0, -1)][best[1]])
+        else:
+            step /= 2
+    for k in range(len(rows)):
+        out.append((rows[k][0], bool(held(rows[k][0])), 1 / (1 + np.exp(-np.clip(t[0] * ratio(x[k]) + t[1], -40, 40)))))
+    return out
+
+
+def test_op3_against_brute_force(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    y = [tuple(r) for r in spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").collect()]
+    texts = [(r.doc_id, r.text) for r in d.collect()]
+    top = 2**60
+    rows = [*texts, (top + 1, texts[0][1]), (top + 3, texts[1][1]), (None, texts[2][1]), (-top - 1, None), (texts[5][0], texts[7][1])]
+    y += [(texts[8][0], 0), (texts[8][0], 1), (None, 1), (texts[9][0], None), (top + 1, 1)]
+    got = op3.classify(docs_of(spark, [(i, t, "s") for i, t in rows]).coalesce(1), spark.createDataFrame(y, "doc_id long, quality int")).collect()
+    want = plain_discriminant(rows, y)
+    assert [(r.doc_id, r.held_out) for r in got] == [x[:2] for x in want]
+    assert max(abs(r.score - x[2]) for r, x in zip(got, want, strict=True)) < 1e-4
+    assert [r.predicted for r in got] == [int(r.score >= 0.7) for r in got]
+
+
+def test_op3_takes_a_bounded_number_of_labels(spark):
+    y = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    n = op3.known_labels(y).count()
+    assert n == y.where(~op3.held_out()).count() and abs(op3.known_labels(y, 3000).count() - 3000) < 300
+
+
 # 4
 
 
@@ -288,6 +340,33 @@ def test_op5_round_trip_is_deterministic(spark, tmp_path):
     assert op5.write_archive(pages.limit(0), out).count() == 0 and op5.read_archive(spark, out).count() == 0
 
 
+def test_op5_keeps_large_ids(spark, tmp_path, monkeypatch):
+    big, other, long = "<p>" + "x" * 200, "<p>" + "y" * 200, "<p>" + "z y " * 400_000
+    top = 2**62
+    rows = [(top + 1, big), (top + 3, big), (None, big), (-top - 1, other), (-top + 3, other), (None, other), (2**60 + 1, long), (2**60 + 3, long)]
+    pages = spark.createDataFrame([(i, f"u{k}", h, 1) for k, (i, h) in enumerate(rows)], "page_id long, url string, html string, first int")
+    want = {(top + 1, "response", None), (top + 3, "revisit", top + 1), (None, "response", None), (-top - 1, "response", None), (-top + 3, "revisit", -top - 1), (2**60 + 1, "response", None), (2**60 + 3, "revisit", 2**60 + 1)}
+    for few in (0, op5.FEW):
+        monkeypatch.setattr(op5, "FEW", few)
+        out = str(tmp_path / str(few))
+        op5.write_archive(pages, out, roll_bytes=400)
+        got = op5.read_archive(spark, out, payload=True).collect()
+        assert len(got) == len(rows) and {(r.page_id, r.record_type, r.refers_to) for r in got} == want
+        assert {bytes(r.payload).decode() for r in got if r.record_type == "response"} == {big, other, long}
+    heads = [h for p in sorted((tmp_path / str(few)).glob("part-*")) for h, _ in op5.records_of(iter([p.read_bytes()]))]
+    assert [h["x-page-id"] for h in heads] == ["", "", *map(str, (-top - 1, -top + 3, 2**60 + 1, 2**60 + 3, top + 1, top + 3))]
+    assert [h["x-refers-to-page-id"] for h in heads if h["warc-type"] == "revisit"] == [str(-top - 1), str(2**60 + 1), str(top + 1)]
+    ids = {h["x-page-id"]: h["warc-record-id"] for h in heads}
+    assert all(h["warc-refers-to"] == ids[h["x-refers-to-page-id"]] for h in heads if h["warc-type"] == "revisit")
+
+
+def test_op5_number_of_files_is_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op5, "MAX_FILES", 3)
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(40)], "page_id long, url string, html string")
+    assert 2 <= op5.write_archive(pages, str(tmp_path / "a"), roll_bytes=1).count() <= 4
+    assert op5.read_archive(spark, str(tmp_path / "a")).count() == 40
+
+
 def test_op5_cut_archives_are_told():
     m = op5._member(op5.record("response", 1, "u", "d", 3, b"abc"))
     assert [b for _, b in op5.records_of(iter([m[:10], m[10:] + m, m]))] == [b"abc"] * 3
