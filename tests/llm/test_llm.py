@@ -1,11 +1,13 @@
 """The training-data operators on small fixtures: edge cases, brute force, SQL, round trips."""
 
 import itertools
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, same
 from pyspark.sql import functions as F
@@ -97,7 +99,7 @@ def plain_sets(rows):
     return out
 
 
-def plain_components(sets):
+def plain_components(sets, percent=85):
     par = {i: i for i in sets}
 
     def root(i):
@@ -107,7 +109,7 @@ def plain_components(sets):
 
     for a, b in itertools.combinations(sets, 2):
         n = len(sets[a] & sets[b])
-        if n and 100 * n >= 85 * len(sets[a] | sets[b]):
+        if n and 100 * n >= percent * len(sets[a] | sets[b]):
             x, y = sorted((root(a), root(b)))
             par[y] = x
     return {i: root(i) for i in sets}
@@ -125,27 +127,53 @@ def near_copies(n, size, edits, seed):
     return out
 
 
-@pytest.mark.parametrize("short, block", [(64, 1024), (8, 16)])
-def test_op2_against_brute_force(spark, monkeypatch, short, block):
-    monkeypatch.setattr(op2, "SHORT", short)
+def op2_result(docs, **parameters):
+    return {r.doc_id: r.component_id for r in op2.near_duplicates(docs, **parameters).collect()}
+
+
+@pytest.mark.parametrize("percent, block", [(85, 1024), (85, 16), (60, 1024)])
+def test_op2_against_brute_force(spark, monkeypatch, percent, block):
     monkeypatch.setattr(op2, "BLOCK", block)
     texts = near_copies(90, 60, 3, 1) + near_copies(30, 200, 6, 2) + near_copies(20, 12, 1, 3) + [LONG, LONG.upper(), "short", "SHORT", "a b c d e"]
     rows = [(1000 - i, t, "s") for i, t in enumerate(texts)]
     rows += [(2000 + i, t, "s") for i, t in enumerate(texts[::7])]
     sets = plain_sets(rows)
-    want = plain_components(sets)
-    got = op2.near_duplicates(docs_of(spark, rows)).collect()
+    want = plain_components(sets, percent)
+    got = op2.near_duplicates(docs_of(spark, rows), percent).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_op2_threshold_follows_the_similarity():
+    for percent in (50, 80, 85, 95):
+        t, j = op2.matches(percent), percent / 100
+        below = lambda t, j=j: sum(math.comb(op2.COORDINATES, k) * j**k * (1 - j) ** (op2.COORDINATES - k) for k in range(t))
+        assert below(t) <= op2.MISS < below(t + 1)
+    assert op2.matches(1) == 1
+
+
+def test_op2_counts_equal_coordinates_in_pairs_and_groups():
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2, (60, op2.COORDINATES)).astype(np.int32)
+    n, least = rng.integers(80, 120, 60), op2.matches(85)
+    want = [[(sig[i] == sig[k]).sum() >= least and 100 * min(n[i], n[k]) >= 85 * max(n[i], n[k]) for k in range(60)] for i in range(60)]
+    groups = [(0, 2), (2, 4), (4, 5), (5, 30), (30, 60)]
+    key = np.repeat(np.arange(len(groups)), [b - a for a, b in groups])
+    whole = pa.RecordBatch.from_arrays([pa.array(key), pa.array(key * 0), pa.array(key * 0), pa.array(np.arange(60)), pa.array(n), pa.array(list(sig), pa.list_(pa.int32()))], ["list", "i", "j", "name", "n", "sig"])
+    for step in (60, 7, 1):
+        edges = [e for b in op2._counter(85)(whole.slice(i, step) for i in range(0, 60, step)) for e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        root = lambda i: root(dict(edges)[i]) if i in dict(edges) else i
+        for a, b in groups:
+            linked = np.array([r[a:b] for r in want[a:b]]) | np.eye(b - a, dtype=bool)
+            assert [root(i) for i in range(a, b)] == (a + op2.roots(linked)).tolist()
+
+
 def hot_list(spark, sizes):
-    """A list (0, 7) of blocks of 16, and components of these sizes, known for all members but the single ones."""
+    """A list 7 in blocks of 16, and components of these sizes, known for all members but the single ones."""
     ids = iter(range(10_000))
     parts = [[next(ids) for _ in range(n)] for n in sizes]
-    m = sum(sizes)
-    hot = spark.createDataFrame([(0, 7, i, 10, -(-m // 16), i % -(-m // 16)) for p in parts for i in p], "c int, v long, rep long, n int, blocks int, at int")
+    hot = op2.cut(spark.createDataFrame([(7, i, 10) for p in parts for i in p], "list long, cid long, n long"), False)
     known = spark.createDataFrame([(i, p[0]) for p in parts if len(p) > 1 for i in p], "node long, component long")
     return parts, hot, known
 
@@ -154,36 +182,55 @@ def hot_list(spark, sizes):
 def test_op2_members_of_different_components_meet(spark, monkeypatch, sizes):
     monkeypatch.setattr(op2, "BLOCK", 16)
     parts, hot, known = hot_list(spark, sizes)
+    out = op2.outside(hot, known, False)
     groups = {}
-    for r in op2.second_meetings(hot, known).collect():
-        groups.setdefault((r.i, r.j), []).append(r.rep)
+    for r in op2.second_meetings(out).collect():
+        groups.setdefault((r.i, r.j), []).append(r.cid)
     assert all(len(g) == len(set(g)) for g in groups.values())
     met = {frozenset(x) for g in groups.values() for x in itertools.combinations(g, 2)}
     for p, q in itertools.combinations(parts, 2):
         assert all(frozenset((x, y)) in met for x in p for y in q)
-    outside = sum(sizes) - max(sizes)
-    assert sum(map(len, groups.values())) <= 3 * (outside * (sum(sizes) // 16 + 3) + sum(sizes) * (outside // 16 + 1))
+    assert out.first().rows == sum(map(len, groups.values()))
 
 
 @pytest.mark.parametrize("pivots", [1, 4])
 def test_op2_chain_through_blocks(spark, monkeypatch, pivots):
     """A chain of links, which pivots alone cannot tie, beside texts that share a passage only."""
-    monkeypatch.setattr(op2, "SHORT", 3)
     monkeypatch.setattr(op2, "BLOCK", 4)
     monkeypatch.setattr(op2, "PIVOTS", pivots)
     words = [f"w{i}" for i in range(400)]
     rows = [(i + 1, " ".join(words[5 * i : 5 * i + 150]), "s") for i in range(40)]
     rows += [(100 + i, " ".join(words[:100] + [f"x{i}y{k}" for k in range(100)]), "s") for i in range(20)]
-    want = plain_components(plain_sets(rows))
-    assert {r.doc_id: r.component_id for r in op2.near_duplicates(docs_of(spark, rows)).collect()} == want
+    assert op2_result(docs_of(spark, rows)) == plain_components(plain_sets(rows))
 
 
-def test_op2_a_list_of_one_component_is_not_compared_again(spark, monkeypatch):
-    monkeypatch.setattr(op2, "BLOCK", 16)
-    _, hot, known = hot_list(spark, [100])
-    assert op2.second_meetings(hot, known).count() == 0
-    first = op2.first_meetings(hot).collect()
-    assert len(first) <= 100 + op2.PIVOTS * 7 and {r.rep for r in first} == set(range(100)) and all(r.i == r.j for r in first)
+def test_op2_refines_long_lists(spark, monkeypatch):
+    """Texts that share a passage and little else: refined lists find the copies among them."""
+    monkeypatch.setattr(op2, "BLOCK", 4)
+    monkeypatch.setattr(op2, "LINEAR", 1)
+    monkeypatch.setattr(op2, "PIVOTS", 1)
+    depths, cut = [], op2.cut
+    monkeypatch.setattr(op2, "cut", lambda m, w: (depths.append(w), cut(m, w))[1])
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(30)]
+    rows = []
+    for i in range(60):
+        own = [f"x{i}y{k}" for k in range(60)]
+        rows.append((i, " ".join(shared + own), "s"))
+        if i % 4 == 0:
+            own[rng.randrange(60)] = "changed"
+            rows.append((100 + i, " ".join(shared + own), "s"))
+    got = op2_result(docs_of(spark, rows))
+    assert got == plain_components(plain_sets(rows)) and sum(k != v for k, v in got.items()) == 15
+    assert depths.count(False) > 1
+
+
+def test_op2_rows_that_repeat_an_id(spark):
+    t, u = (" ".join(f"{c}{i}" for i in range(80)) for c in "tu")
+    rows = [(1, t, "s"), (1, u, "s"), (2, t + " z", "s"), (3, u + " z", "s"), (4, "alone", "s"), (9, u, "s"), (9, "other words", "s"), (8, "other words", "s")]
+    for n in (1, 4):
+        got = op2.near_duplicates(docs_of(spark, rows).repartition(n)).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (8, 1), (9, 1)} and len(got) == len(rows)
 
 
 def test_op2_edges(spark):
@@ -194,7 +241,7 @@ def test_op2_edges(spark):
 
 def test_components_within_blocks():
     s = [np.arange(100, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64), np.arange(500, 600, dtype=np.uint64)]
-    assert op2.components_within(s, []).tolist() == [0, 0, 0, 3]
+    assert op2.components_within(s).tolist() == [0, 0, 0, 3]
 
 
 def test_star_components_of_a_chain(spark):
