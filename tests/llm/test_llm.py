@@ -504,42 +504,117 @@ def test_op7_fisher_yates_is_fair():
 
 
 def plain_scan(text, templates):
-    best = []
-    units = [x for x in text.split("\n")]
-    for u in units:
-        a, top = op8.bigrams(u), None
+    """All units and all windows against all templates, by sets."""
+    toks = lambda x: re.findall(r"[^\W_]+", x.lower())
+    grams = lambda w: {(w[k], w[k + 1]) for k in range(len(w) - 1)}
+    spans, words, para, n_para = [], [], None, 0
+    for line in text.split("\n") + [""]:
+        w = toks(line)
+        if w:
+            para = (len(words), 0) if para is None else para
+            spans.append((len(words), len(words) + len(w)))
+            words += w
+            para = (para[0], para[1] + 1)
+        elif not line.strip() and para:
+            if para[1] > 1:
+                spans.append((para[0], len(words)))
+            para, n_para = None, n_para + 1
+    if n_para > 1:
+        spans.append((0, len(words)))
+    found = []
+    for lo, hi in spans:
+        best = None
         for name, t in templates:
-            b = op8.bigrams(t)
+            a, b = grams(words[lo:hi]), grams(toks(t))
+            d = 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
+            if d >= op8.THRESHOLD and (best is None or d > best[1]):
+                best = (len(a & b), d, name, lo, hi - 1)
+        found += [best] if best else []
+    for name, t in templates:
+        b, n, best = grams(toks(t)), len(toks(t)), None
+        for lo in range(max(1, len(words) - n + 1)):
+            a = grams(words[lo : lo + n])
             d = 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
-            if d >= op8.THRESHOLD and (top is None or d > top[1]):
-                top = (name, d)
-        if top:
-            best.append(top)
-    return best
+            if d >= op8.THRESHOLD and (best is None or d > best[1]):
+                best = (len(a & b), d, name, lo, min(lo + n, len(words)) - 1)
+        found += [best] if best else []
+    kept = []
+    for x in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[2], x[4])):
+        if not any(x[3] < y[4] and y[3] < x[4] for y in kept):
+            kept.append(x)
+    return [(x[2], x[1]) for x in sorted(kept, key=lambda x: (x[3], x[4], x[2]))]
 
 
-def test_op8_against_brute_force(spark):
-    t = op8.default_templates()
+def test_op8_against_brute_force():
     rng = random.Random(2)
+    some = [x for x in op8.default_templates() if len(x[1]) < 400][::9] + [(k, v) for k, v in op8.license_texts().items() if k in ("BSD-2-Clause", "BSD-3-Clause", "MIT")]
+    some.sort()
+    s = op8.Scanner(some)
+    found = 0
+    for _ in range(120):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            w = rng.choice(some)[1].split(" ")
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = "changed"
+            around = [" ".join(rng.choice(("some", "prose", "of", "the", "license")) for _ in range(rng.randrange(6))) for _ in range(2)]
+            text += [around[0], " ".join(w), around[1], rng.choice(("\n", "\n\n", " ", " - \n"))]
+        text = " ".join(text)
+        got = s.text(text)
+        assert got == plain_scan(text, some), text
+        found += len(got)
+    assert found > 150
+
+
+def test_op8_bounds_prune():
+    """Prose that shares words with licences is compared with few templates, if with any."""
+    s = op8.Scanner()
+    prose = "the work is licensed to the reader and the software is provided with the terms of the sale under the following conditions"
+    assert len(s.hits(op8.bigrams(prose))) == 0 and s.text(prose) == [] and s.text(prose * 50) == []
+    assert len(s.hits(op8.bigrams(op8.license_texts()["MIT"]))) < len(s.templates) / 20
+
+
+@pytest.mark.parametrize("name", sorted(op8.license_texts()))
+def test_op8_full_texts_are_told_apart(name):
+    text = op8.license_texts()[name]
     s = op8.Scanner()
-    for _ in range(200):
-        w = rng.choice(t)[1].split()
-        for _ in range(rng.randrange(3)):
-            w[rng.randrange(len(w))] = "changed"
-        text = "some line of its own\n" + " ".join(w).upper()
-        assert s.text(text)[: len(plain_scan(text, t))] == plain_scan(text, t)
+    assert {k for k, _ in s.text(text)} == {k for k, _ in s.text(f"prose of its own\n\n{text}\n\nx = 1, code\n")} == {name}
+
+
+@pytest.mark.parametrize("text, want", [
+    ("# Copyright 2020 Jane Doe. Licensed under the MIT License. All rights reserved.", ["MIT"]),
+    ("prose. Released under the ISC License. prose", ["ISC"]),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", ["CC-BY-4.0"]),
+    ("// SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
+    ("x\n# SPDX-License-Identifier: LGPL-3.0-or-later\ny", ["LGPL-3.0"]),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", []),
+    ("/* This program is free software: you can redistribute it and/or modify it\n * under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version. */", ["GPL-3.0"]),
+    ("Anyone may read the licence of this work under the terms that the house has set.", []),
+])
+def test_op8_notices(text, want):
+    assert sorted({k for k, _ in op8.Scanner().text(text)}) == want
 
 
 def test_op8_units_and_edges(spark):
-    mit = op8.LONGER["MIT"].split()
+    mit = op8.license_texts()["MIT"].split()
     wrapped = "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
-    rows = [(20, f"prose\n\n{wrapped}\n\nprose", "s"), (21, "x\nLicensed under CC BY-NC 4.0.", "s"), (22, "Released under the MIT License.\nReleased under the MIT License.", "s"), *EDGE]
+    rows = [(20, f"prose\n\n{wrapped}\n\nprose", "s"), (21, "x\nLicensed under CC BY-NC 4.0.", "s"), (22, "Released under the MIT License.\nReleased under the MIT License.", "s"), (23, f"{LONG}\nReleased under the MIT License.", "s"), *EDGE]
     got = {r.doc_id: r for r in op8.scan(docs_of(spark, rows)).collect()}
-    assert got[20].licenses == ["MIT"] and got[21].licenses == ["CC-BY-NC-4.0"] and got[22].n_matches >= 2
+    assert got[20].licenses == ["MIT"] and got[21].licenses == ["CC-BY-NC-4.0"] and got[22].n_matches == 2 and got[23].licenses == ["MIT"]
     assert all(not got[i].licenses and got[i].best == 0 for i in range(1, 11))
     assert op8.scan(empty(spark)).count() == 0
 
 
+def test_op8_query_against_brute_force(spark):
+    """The query over its whole table: the same licences as a plain search of all lines for the notices' names."""
+    got = {r.doc_id: r.licenses for r in op8.op8_licenses(spark, SF).collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    notices = {" ".join(re.findall(r"[^\W_]+", t.lower())): k for k, t in op8.default_templates() if len(t) < 120}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        assert got[i] == sorted({notices[x] for line in t.split("\n") if (x := " ".join(re.findall(r"[^\W_]+", line.lower()))) in notices}), i
+
+
 # 9
 
 
