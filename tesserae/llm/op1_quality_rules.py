@@ -11,8 +11,9 @@ a hot source or a very long text stays in its own row. A 3-word window is known
 64-bit hash (a collision within one text of 20,000 words has a chance of about 1e-11).
 
 Edge cases: null and empty texts have no words, all counts are 0 and they fail
-``few_words``; every input row gives one output row, repeated rows and null ids included;
-columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
+``few_words``; a text of any length is measured whole; a rule fails only beyond its bound (equal values
+pass); every input row gives one output row, repeated rows and null ids included; an empty table gives no
+rows; columns other than ``doc_id`` and ``text`` are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,11 +8,16 @@ unknown, at the least score of the vocabulary minus 10, and counts one token for
 its bytes if the vocabulary has all byte pieces (else neighbouring unknowns count as one).
 
 Space is written U+2581, one is put before a text that has none, and a new word starts at
-each (so that words are independent, and counts of short words can be kept; at most
-``CACHE`` a task). The whole text is counted.
+each, as the public Metaspace rule with split=True has it: words are independent, counts of short words
+can be kept (at most ``CACHE`` a task), and a run of n spaces counts n pieces though the vocabulary
+has pieces for such runs. The whole text is counted, whatever its length.
+
+The vocabulary is a file on every executor: ``spark.tesserae.vocabulary`` where it is set, else
+``VOCABULARY``, or the operator's parameter.
 
 Edge cases: null and empty texts have 0 tokens; a text is taken as it is (no Unicode
-normalisation); each input row gives a row; other columns are ignored.
+normalisation); each input row gives a row, repeated rows and null ids included; ties of scores go by the
+rule above; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 
-#: Path on every executor; tests and callers may give another.
+#: Path on every executor, where the session doesn't name another.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE, PENALTY, CACHE, CACHED_CHARS = "▁", 10.0, 300_000, 24
 
@@ -119,4 +124,4 @@ def token_counts(docs: DataFrame, path: str = VOCABULARY, text: str = "text") ->
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(read_table(spark, sf_dir, "documents"))
+    return token_counts(read_table(spark, sf_dir, "documents"), spark.conf.get("spark.tesserae.vocabulary", VOCABULARY))

@@ -1,18 +1,20 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters records into buckets of about ``BUCKET_BYTES`` by a seeded hash of id and
-text. Pass 2 takes each bucket into memory, in a fixed order, shuffles it by Fisher-Yates
-with a generator seeded by (seed, bucket), and writes it. Bucket counts (one number each)
-give offsets, so a record knows its place p in the whole permutation: shard p mod n, slot
-p div n. The law is ``rows``: shard counts differ by one at most.
-
-The order depends on the rows, the seed and the number of buckets (total bytes divided by
-``BUCKET_BYTES``), not on the number of tasks. Hot sources are spread like all rows; only
-rows that are equal in id and text share a bucket.
-
-Edge cases: null texts count as empty (size 1), null ids hash as null; repeated rows each
-get a slot; an empty table gives no rows; whole rows are kept under the struct ``doc``, so
-no column name can clash with ``shard`` or ``slot``.
+Pass 1 scatters records into buckets of about ``BUCKET_BYTES`` (of whole rows, all columns) by a
+seeded hash of the whole row. There may be many more buckets than shuffle partitions, of which
+there are ``WIDTH`` at most: a partition is sorted by bucket outside memory. Pass 2 takes one
+bucket after the other into memory, in a fixed order, shuffles it by Fisher-Yates with a generator
+seeded by (seed, bucket), and writes it. Bucket counts (one number each, at most ``MAX_BUCKETS``; with
+more bytes than that, buckets are larger) give offsets, so a record knows its place p in the whole
+permutation: shard p mod n, slot p div n. The law is ``rows``: shard counts differ by one at most.
+
+The order depends on the rows, the seed and the number of buckets, not on the number of tasks.
+Hot sources, ids and texts are spread like all rows; only rows that are equal in every column
+share a bucket (a table with a great many repeats of one whole row would fill it).
+
+Edge cases: null texts count as empty (size 1), null ids are hashed like any value; a text of any
+length is one row; repeated rows each get a slot; an empty table gives no rows; whole rows are kept
+under the struct ``doc``, so no column name can clash with ``shard`` or ``slot``.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh_path, read_table
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20240229, 32 << 20
+WIDTH, MAX_BUCKETS = 10_000, 4_000_000
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -38,16 +41,34 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, np.int64)
 
 
+def row_bytes(docs: DataFrame) -> Column:
+    """About the bytes of a row: its strings and bytes, nested columns as JSON, 8 for anything else."""
+    total = F.lit(1)
+    for f in docs.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            c = F.octet_length(F.to_json(F.struct(c)))
+        elif isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            c = F.octet_length(c)
+        else:
+            c = F.lit(8)
+        total = total + F.coalesce(c, F.lit(0))
+    return total
+
+
+def row_hash(docs: DataFrame, seed: int) -> Column:
+    """A hash of all columns; maps, which can't be hashed, as JSON."""
+    return F.xxhash64(F.lit(seed), *(F.to_json(F.col(f"`{c}`")) if k.startswith("map") else F.col(f"`{c}`") for c, k in docs.dtypes))
+
+
 def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc (the whole row), shard, slot."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
-    n = int(1 + total // bucket_bytes)
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), F.crc32(text).alias("crc"))
-    d = d.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string"), "crc"), F.lit(n)))
+    total = docs.agg(F.sum(row_bytes(docs))).first()[0] or 0
+    n = int(min(1 + total // bucket_bytes, MAX_BUCKETS))
+    h = row_hash(docs, seed)
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").alias("id"), h.alias("h"))
+    d = d.withColumn("bucket", F.pmod("h", F.lit(n)))
     counts = d.groupBy("bucket").count().toPandas()
-    if len(counts) > 10_000_000:
-        raise ValueError("more buckets than a driver should hold: raise bucket_bytes")
     size = np.zeros(n + 1, np.int64)
     size[counts["bucket"].to_numpy(np.int64) + 1] = counts["count"].to_numpy(np.int64)
     offset = docs.sparkSession.sparkContext.broadcast(np.cumsum(size))
@@ -80,8 +101,7 @@ def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_byt
         if held:
             yield from done()
 
-    rest = [F.col(f"doc.`{c}`") for c, k in docs.dtypes if not k.startswith("map")]
-    scattered = d.repartition(n, "bucket").sortWithinPartitions("bucket", "id", "crc", *rest).select("doc", "bucket")
+    scattered = d.repartition(min(n, WIDTH), "bucket").sortWithinPartitions("bucket", "id", "h").select("doc", "bucket")
     schema = T.StructType([scattered.schema["doc"], T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     return scattered.mapInArrow(permute, schema)
 
@@ -101,3 +121,4 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc.doc_id").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+

@@ -492,6 +492,53 @@ def test_op7_is_a_shuffle(spark, tmp_path):
     assert op7.shuffled(d).first().doc.shard == 1
 
 
+def plain_shuffle(rows, n_buckets, seed, shards):
+    """rows: (bucket, order key, id): (id, shard, slot) by a swap at a time."""
+    out, start = [], 0
+    for b in range(n_buckets):
+        mine = [i for _, _, i in sorted(r for r in rows if r[0] == b)]
+        rng = np.random.default_rng([seed, b])
+        draws = rng.integers(0, np.arange(len(mine), 1, -1)).tolist()
+        for k in range(len(mine) - 1, 0, -1):
+            j = draws[len(mine) - 1 - k]
+            mine[k], mine[j] = mine[j], mine[k]
+        out += [(i, (start + p) % shards, (start + p) // shards) for p, i in enumerate(mine)]
+        start += len(mine)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("bytes_, width", [(32 << 20, 10_000), (3000, 10_000), (3000, 3)])
+def test_op7_against_brute_force(spark, monkeypatch, bytes_, width):
+    monkeypatch.setattr(op7, "WIDTH", width)
+    d = docs_of(spark, [(i, f"text {i % 50} " * (i % 9), f"s{i % 3}") for i in range(400)])
+    total = sum(1 + sum(len(str(v).encode()) if isinstance(v, str) else 8 for v in r) for r in d.collect())
+    assert d.agg(F.sum(op7.row_bytes(d))).first()[0] == total
+    n = 1 + total // bytes_
+    h = d.select("doc_id", op7.row_hash(d, op7.SEED).alias("h")).collect()
+    assert len({r.h for r in h}) == 400
+    want = plain_shuffle([(r.h % n, (r.doc_id, r.h), r.doc_id) for r in h], n, op7.SEED, 8)
+    got = sorted((r.doc.doc_id, r.shard, r.slot) for r in op7.shuffled(d, bucket_bytes=bytes_).collect())
+    assert got == want and (n > 10 or bytes_ > 3000)
+
+
+def test_op7_query(spark):
+    """The query over its whole table: sizes, checksums, the law, slots without gaps."""
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = op7.op7_shards(spark, SF).collect()
+    assert {r.doc_id: (r["size"], r.text_crc32, r.law, r.grown_shard) for r in got} == {i: (len(t) + 1, zlib.crc32(t), "rows", None) for i, t in docs.items()}
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(docs) / 8) < 1
+
+
+def test_op7_hot_rows_and_nested_columns(spark):
+    d = spark.createDataFrame([(7, "same", {"a": i}, [i], (i, "x")) for i in range(300)] + [(None, None, None, None, None)] * 3, "doc_id long, text string, m map<string,int>, a array<int>, s struct<p:int,q:string>")
+    got = op7.shuffled(d, bucket_bytes=400)
+    assert got.count() == 303 and sorted((r.shard, r.slot) for r in got.collect()) == sorted((p % 8, p // 8) for p in range(303))
+    sizes = d.groupBy(F.pmod(op7.row_hash(d, op7.SEED), F.lit(20))).count()
+    assert sizes.agg(F.max("count")).first()[0] < 40
+
+
 def test_op7_fisher_yates_is_fair():
     n = np.zeros((4, 4))
     for k in range(4000):
