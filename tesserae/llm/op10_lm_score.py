@@ -1,11 +1,12 @@
 """Language-model scores: masked pseudo-likelihood by a bidirectional window network.
 
 Every token (word) is predicted from two words on each side, never from itself, by a small
-network trained in numpy: embeddings of the neighbours' classes, a hidden tanh layer, a softmax over
-word classes; a word's probability is its class's times its share of the class in the
-corpus. The frequent words are classes of their own, the others go by their ending; the number of
-classes grows as the cube root of the distinct words (``class_number``). A document's score is the sum of
-the log probabilities of all its words.
+network trained in numpy: embeddings of the neighbours' classes, a hidden tanh layer, and a
+softmax over word classes in two steps (group, then class in the group, so the cost grows with the
+square root of their number). A word's probability is its class's times its share of the class in the
+corpus. Half of the classes are single frequent words, so these are predicted as such; the other
+words go by their ending. The number of classes grows as the cube root of the distinct
+words (``side``). A document's score is the sum of the log probabilities of all its words.
 
 Each word of the corpus enters with its own count. The ``CACHED`` most frequent are held in each task; all
 others are joined, by word, to the checkpointed table of counts and summed by document.
@@ -13,15 +14,16 @@ others are joined, by word, to the checkpointed table of counts and summed by do
 What is gathered covers all documents: words are counted over the whole corpus (counts are
 combined in each task before they are shuffled), and every word of every document is a training
 target exactly once: round r of ``ROUNDS`` takes the places of residue class r. Texts are turned into
-classes once, in a checkpointed table that training and scoring read. Each task trains on its own windows from
-the current weights; the weights are averaged, weighted by windows, in a tree of fan-in
-``FAN``, so the driver sees at most FAN sets of 45 numbers a class whatever the number of
-tasks, and starts the next round from their mean.
-
-Edge cases: null, empty and blank texts have 0 words, log_prob 0.0 and a null mean; repeated
-rows and null ids score like any row; on an empty corpus the start weights are used; other
-columns are ignored. Scores depend on how Spark splits the input (which windows train
-together), as far as averaging does.
+classes once and dealt, by a hash of their classes, to shards of about ``SHARD_WORDS`` words
+(``SHARDS`` of them at most), in a checkpointed table that training and scoring read. In each round, every shard
+is trained on by itself, in the order of those hashes, from the current weights; the weights are averaged,
+weighted by windows, in a tree of fan-in ``FAN``, so the driver sees at most FAN sets of weights (45
+numbers a class) whatever the number of shards, and starts the next round from their mean. So the
+scores depend on the corpus and not on how Spark splits the input, up to rounding in sums.
+
+Edge cases: null, empty and blank texts have 0 words, log_prob 0.0 and a null mean; a text of any
+length is scored whole; repeated rows and null ids score like any row; equally frequent words are taken in
+byte order; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,68 +40,116 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, read_table, text_bytes
 
-FREQUENT, ENDINGS, CACHED = 64, 64, 50_000
-CLASSES = FREQUENT + ENDINGS  # at least
-SIDE, DIM, HIDDEN, ROUNDS, FAN, BATCH = 2, 12, 32, 4, 32, 1024
+CACHED, SHARD_WORDS, SHARDS = 200_000, 4_000_000, 20_000
+SIDE, DIM, HIDDEN, ROUNDS, FAN, BATCH = 2, 12, 32, 4, 32, 2048
+LEAST, MOST = 16, 250
 
 
-def _shapes(classes: int) -> tuple[tuple[str, tuple[int, ...]], ...]:
-    return (("e", (classes + 1, DIM)), ("w", (2 * SIDE * DIM, HIDDEN)), ("b", (HIDDEN,)), ("v", (HIDDEN, classes)), ("c", (classes,)))
+def side(distinct: int) -> int:
+    """Groups, and classes in each group, for so many distinct words: twice the sixth root, an even number."""
+    return min(MOST, max(LEAST, 2 * round(distinct ** (1 / 6))))
 
 
-def class_number(distinct: int) -> int:
-    """Classes for so many distinct words: twice the cube root, in steps of 32, half of them frequent words."""
-    return max(CLASSES, 32 * round(2 * distinct ** (1 / 3) / 32))
+def _shapes(g: int) -> tuple[tuple[str, tuple[int, ...]], ...]:
+    return (("e", (g * g + 1, DIM)), ("w", (2 * SIDE * DIM, HIDDEN)), ("b", (HIDDEN,)), ("u", (g, HIDDEN)), ("a", (g,)), ("v", (g, g, HIDDEN)), ("c", (g, g)))
 
 
-def start_weights(seed: int = 7, classes: int = CLASSES) -> np.ndarray:
+def start_weights(seed: int = 7, g: int = LEAST) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    return np.concatenate([rng.normal(0, 0.1, s).astype(np.float32).ravel() if len(s) > 1 else np.zeros(s, np.float32) for _, s in _shapes(classes)])
+    return np.concatenate([np.zeros(s, np.float32).ravel() if name in "abc" else rng.normal(0, 0.1, s).astype(np.float32).ravel() for name, s in _shapes(g)])
 
 
-def _views(flat: np.ndarray) -> dict[str, np.ndarray]:
+def side_of(flat: np.ndarray) -> int:
+    """The side of a network with so many weights."""
+    fixed, square = DIM + 2 * SIDE * DIM * HIDDEN + HIDDEN, DIM + HIDDEN + 1
+    return round((-(HIDDEN + 1) + ((HIDDEN + 1) ** 2 + 4 * square * (len(flat) - fixed)) ** 0.5) / (2 * square))
+
+
+def _views(flat: np.ndarray, g: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    fixed = DIM + 2 * SIDE * DIM * HIDDEN + HIDDEN
-    for name, s in _shapes((len(flat) - fixed) // (DIM + HIDDEN + 1)):
+    for name, s in _shapes(g):
         n = int(np.prod(s))
         out[name], at = flat[at : at + n].reshape(s), at + n
     return out
 
 
-def _forward(p: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hidden(p: dict[str, np.ndarray], ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     x = p["e"][ctx].reshape(len(ctx), -1)
-    h = np.tanh(x @ p["w"] + p["b"])
-    z = h @ p["v"] + p["c"]
-    z -= z.max(1, keepdims=True)
-    return x, h, z
+    return x, np.tanh(x @ p["w"] + p["b"])
+
+
+def _tiles(y: np.ndarray, g: int, size: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The rows by the group of their class (class mod g), in tiles of one group, filled up with the number of rows; and the group of each tile."""
+    of = y % g
+    order = np.argsort(of, kind="stable")
+    many = np.bincount(of, minlength=g)
+    tiles = -(-many // size)
+    out = np.full(max(1, int(tiles.sum())) * size, len(y))
+    out[np.arange(len(y)) + np.repeat((np.cumsum(tiles) - tiles) * size - (np.cumsum(many) - many), many)] = order
+    return out.reshape(-1, size), np.repeat(np.arange(g), tiles) if len(y) else np.zeros(1, np.int64)
+
+
+def _softmax(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities (in place of z), and the log probability of y; classes lie along the last axis but one, where sums are fast."""
+    z -= z.max(-2, keepdims=True)
+    t = np.take_along_axis(z, y[..., None, :], -2)[..., 0, :]
+    np.exp(z, out=z)
+    total = z.sum(-2, keepdims=True)
+    z /= total
+    return z, t - np.log(total[..., 0, :])
+
+
+def _groups_of(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the groups (group, row), and log probabilities of the rows' own."""
+    return _softmax(p["u"] @ h.T + p["a"][:, None], y % g)
+
+
+def _members(p: dict[str, np.ndarray], h: np.ndarray, y: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Within groups: tiles of rows, their groups, hidden values, members of the group, probabilities (tile, member, row) and log probabilities."""
+    rows, of = _tiles(y, g)
+    m = np.append(h, np.zeros((1, HIDDEN), h.dtype), 0)[rows]
+    k = np.append(y // g, 0)[rows]
+    return rows, of, m, k, *_softmax(p["v"][of] @ m.transpose(0, 2, 1) + p["c"][of][..., None], k)
 
 
 def log_probs(flat: np.ndarray, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log probability of class y given the classes beside it."""
-    p, out = _views(flat), np.empty(len(y), np.float64)
+    g = side_of(flat)
+    p, out = _views(flat, g), np.empty(len(y), np.float64)
     for i in range(0, len(y), 8192):
-        _, _, z = _forward(p, ctx[i : i + 8192])
-        t = z[np.arange(len(z)), y[i : i + 8192]]
-        out[i : i + 8192] = t - np.log(np.exp(z, out=z).sum(1))
+        k = y[i : i + 8192].astype(np.int64)
+        _, h = _hidden(p, ctx[i : i + 8192])
+        rows, *_, inner = _members(p, h, k, g)
+        lp = np.empty(len(k) + 1)
+        lp[rows] = inner
+        out[i : i + len(k)] = lp[:-1] + _groups_of(p, h, k, g)[1]
     return out
 
 
-def gradient(flat: np.ndarray, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
+def gradient(flat: np.ndarray, ctx: np.ndarray, y: np.ndarray, g: int) -> np.ndarray:
     """Gradient of the mean negative log probability."""
-    p, n = _views(flat), len(y)
-    x, h, z = _forward(p, ctx)
-    g = np.exp(z)
-    g /= g.sum(1, keepdims=True)
-    g[np.arange(n), y] -= 1
-    g /= n
+    p, n, y = _views(flat, g), len(y), y.astype(np.int64)
+    x, h = _hidden(p, ctx)
     out = np.zeros_like(flat)
-    o = _views(out)
-    o["v"][:], o["c"][:] = h.T @ g, g.sum(0)
-    dh = (g @ p["v"].T) * (1 - h * h)
+    o = _views(out, g)
+    d, _ = _groups_of(p, h, y, g)
+    d[y % g, np.arange(n)] -= 1
+    d /= n
+    o["u"][:], o["a"][:] = d @ h, d.sum(1)
+    outer = d.T @ p["u"]
+    rows, of, m, k, d, _ = _members(p, h, y, g)
+    d[np.arange(len(rows))[:, None], k, np.arange(rows.shape[1])] -= 1
+    d *= (rows < n)[:, None, :] / h.dtype.type(n)
+    mine = (np.arange(g)[:, None] == of).astype(h.dtype)
+    o["v"][:] = (mine @ (d @ m).reshape(len(of), -1)).reshape(o["v"].shape)
+    o["c"][:] = mine @ d.sum(2)
+    inner = np.empty((n + 1, HIDDEN), h.dtype)
+    inner[rows] = d.transpose(0, 2, 1) @ p["v"][of]
+    dh = (outer + inner[:-1]) * (1 - h * h)
     o["w"][:], o["b"][:] = x.T @ dh, dh.sum(0)
     dx, at = (dh @ p["w"].T).reshape(-1, DIM), ctx.ravel()
-    for k in range(DIM):
-        o["e"][:, k] = np.bincount(at, dx[:, k], len(o["e"]))
+    for c in range(DIM):
+        o["e"][:, c] = np.bincount(at, dx[:, c], len(o["e"]))
     return out
 
 
@@ -111,9 +161,9 @@ def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Class of a word, and its log share of that class."""
 
-    def __init__(self, counts: list[tuple[bytes, int]], of_ending: dict[int, int], classes: int = CLASSES):
-        """counts: the cached words, most frequent first; of_ending: words by ending, over the whole corpus."""
-        self.size, self.frequent = classes, classes // 2
+    def __init__(self, counts: list[tuple[bytes, int]], of_ending: dict[int, int], classes: int, words: int = 0):
+        """counts: the cached words, most frequent first; of_ending: words by ending, over the whole corpus; words: how many there are in all."""
+        self.size, self.frequent, self.words = classes, classes // 2, words
         self.endings = classes - self.frequent
         left = {self.frequent + k: n for k, n in of_ending.items()}
         for w, n in counts[: self.frequent]:
@@ -179,14 +229,15 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 def vocabulary(texts: DataFrame, counts: DataFrame | None = None) -> Vocabulary:
     counts = counts or word_counts(texts)
-    classes = class_number(counts.count())
+    n, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = side(n) ** 2
     ending = F.crc32(F.expr("substring(word, -2, 2)")) % (classes - classes // 2)
     ends = counts.groupBy(ending.cast("int").alias("ending")).agg(F.sum("n").alias("n")).collect()
-    return Vocabulary([(bytes(r.word), r.n) for r in most_frequent(counts, CACHED)], {r.ending: r.n for r in ends}, classes)
+    return Vocabulary([(bytes(r.word), r.n) for r in most_frequent(counts, CACHED)], {r.ending: r.n for r in ends}, classes, total)
 
 
 def encoded(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id, ids (SIDE pads and the classes of the words, as int16), share (their summed log shares, without the log counts of rest), rest (words that aren't cached), row (a number of its own for each row); checkpointed."""
+    """doc_id, ids (SIDE pads and the classes of the words, as uint16), share (their summed log shares, without the log counts of rest), rest (words that aren't cached), shard, row (a number of its own for each row); checkpointed, a shard in one partition, by hashes of ids."""
     words = texts.sparkSession.sparkContext.broadcast(vocab)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,12 +247,16 @@ def encoded(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
                 ids, share, rest = [], [], []
                 for t in part:
                     x, s = words.value.encode(t.split(), r := [])
-                    ids.append(np.array(pad + x, np.int16).tobytes())
+                    ids.append(np.array(pad + x, np.uint16).tobytes())
                     share.append(s)
                     rest.append(r)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.array(ids, pa.binary()), pa.array(share, pa.float64()), pa.array(rest, pa.list_(pa.binary()))], ["doc_id", "ids", "share", "rest"])
 
-    return checkpoint(texts.select("doc_id", "text").mapInArrow(coded, "doc_id long, ids binary, share double, rest array<binary>").withColumn("row", F.monotonically_increasing_id()))
+    d = texts.select("doc_id", "text").mapInArrow(coded, "doc_id long, ids binary, share double, rest array<binary>")
+    n = max(1, min(SHARDS, vocab.words // SHARD_WORDS))
+    d = d.withColumn("hash", F.xxhash64("ids")).withColumn("shard", F.pmod("hash", F.lit(n)).cast("int"))
+    d = d.repartition(n, "shard").sortWithinPartitions("shard", "hash", "ids").drop("hash")
+    return checkpoint(d.withColumn("row", F.monotonically_increasing_id()))
 
 
 def rest_shares(codes: DataFrame, counts: DataFrame) -> DataFrame:
@@ -210,9 +265,9 @@ def rest_shares(codes: DataFrame, counts: DataFrame) -> DataFrame:
     return said.groupBy("row").agg(F.sum(F.log("n")).alias("more"))
 
 
-def _stream(parts: list[bytes], classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+def _stream(parts: list[bytes], classes: int) -> tuple[np.ndarray, np.ndarray]:
     """Classes of encoded texts one after another, padded, and the places of words."""
-    ids = np.concatenate([np.frombuffer(b"".join(parts), np.int16), np.full(SIDE, classes, np.int16)])
+    ids = np.concatenate([np.frombuffer(b"".join(parts), np.uint16), np.full(SIDE, classes, np.uint16)])
     return ids, np.flatnonzero(ids < classes)
 
 
@@ -231,7 +286,7 @@ def _groups(b: pa.RecordBatch, most: int = 2 << 20) -> Iterator[tuple[int, list[
 
 
 def train(texts: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarray:
-    return fit(encoded(texts, vocab), rounds, rate, vocab.size)
+    return fit(encoded(texts, vocab), vocab.size, rounds, rate)
 
 
 def targets(at: np.ndarray, r: int, rounds: int) -> np.ndarray:
@@ -239,40 +294,65 @@ def targets(at: np.ndarray, r: int, rounds: int) -> np.ndarray:
     return at[at % rounds == r]
 
 
-def fit(codes: DataFrame, rounds: int = ROUNDS, rate: float = 0.05, classes: int = CLASSES) -> np.ndarray:
-    """Weights trained on the ids of encoded texts."""
+def _shards(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of ids of one shard, of bounded bytes, whatever the batches: (shard, ids)."""
+    shard, held, size = None, [], 0
+    for b in batches:
+        for k, x in zip(b.column("shard").to_pylist(), b.column("ids"), strict=True):
+            x = x.as_py()
+            if held and (k != shard or size + len(x) > most):
+                yield shard, held
+                held, size = [], 0
+            shard = k
+            held.append(x)
+            size += len(x)
+    if held:
+        yield shard, held
+
+
+def fit(codes: DataFrame, classes: int, rounds: int = ROUNDS, rate: float = 0.05) -> np.ndarray:
+    """Weights trained on the shards of encoded texts."""
     spark = codes.sparkSession
-    codes = codes.select("doc_id", "ids")
-    flat = start_weights(classes=classes)
+    codes = codes.select("shard", "ids")
+    g = round(classes**0.5)
+    flat = start_weights(g=g)
     for r in range(rounds):
         sent = spark.sparkContext.broadcast(flat)
 
         def local(batches: Iterator[pa.RecordBatch], sent=sent, r=r) -> Iterator[pa.RecordBatch]:
-            w, squares, n = sent.value.copy(), np.full(len(sent.value), 1e-4, np.float32), 0
-            for b in batches:
-                for _, part in _groups(b):
-                    ids, at = _stream(part, classes)
-                    at = targets(at, r, rounds)
-                    np.random.default_rng(len(at)).shuffle(at)
-                    for i in range(0, len(at), BATCH):
-                        k = at[i : i + BATCH]
-                        g = gradient(w, contexts(ids, k), ids[k])
-                        squares += g * g
-                        w -= (rate / (1 + 2 * r)) * g / np.sqrt(squares)
-                        n += len(k)
+            shard, w, squares, n = None, None, None, 0
+
+            def done():
+                return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([w], pa.list_(pa.float32()))], ["p", "n", "w"])
+
+            for k, part in _shards(batches):
+                if k != shard:
+                    if n:
+                        yield done()
+                    shard, w, squares, n = k, sent.value.copy(), np.full(len(sent.value), 1e-4, np.float32), 0
+                ids, at = _stream(part, classes)
+                at = targets(at, r, rounds)
+                np.random.default_rng(len(at)).shuffle(at)
+                for i in range(0, len(at), BATCH):
+                    to = at[i : i + BATCH]
+                    d = gradient(w, contexts(ids, to), ids[to], g)
+                    squares += d * d
+                    d /= np.sqrt(squares)
+                    w -= np.float32(rate / (1 + 2 * r)) * d
+                    n += len(to)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n], pa.int64()), pa.array([w], pa.list_(pa.float32()))], ["p", "n", "w"])
+                yield done()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, n = None, 0
+            total, n, first = None, 0, None
             for b in batches:
-                for k, w in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                for p, k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                     x = w.values.to_numpy().astype(np.float64) * k
-                    total, n = x if total is None else total + x, n + k
+                    total, n, first = x if total is None else total + x, n + k, p if first is None else first
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32)], pa.list_(pa.float32()))], ["p", "n", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32)], pa.list_(pa.float32()))], ["p", "n", "w"])
 
-        kind = "p long, n long, w array<float>"
+        kind = "p int, n long, w array<float>"
         parts = checkpoint(codes.mapInArrow(local, kind))
         count = parts.count()
         while count > FAN:
@@ -291,7 +371,7 @@ def score(docs: DataFrame) -> DataFrame:
     counts = word_counts(texts)
     vocab = vocabulary(texts, counts)
     codes, classes = encoded(texts, vocab), vocab.size
-    sent = docs.sparkSession.sparkContext.broadcast(fit(codes, classes=classes))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(codes, classes))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -704,37 +704,86 @@ def test_op9_mixture_holds_the_words_taken(spark):
 # 10
 
 
-def test_op10_gradient():
+def plain_log_prob(flat, g, ctx, y):
+    """Log probability of class y beside the classes ctx, by loops over the network's weights."""
+    at, p = 0, {}
+    for name, shape in op10._shapes(g):
+        n = int(np.prod(shape))
+        p[name], at = np.asarray(flat[at : at + n], float).reshape(shape), at + n
+    assert at == len(flat)
+    x = [v for c in ctx for v in p["e"][c]]
+    h = [np.tanh(p["b"][j] + sum(x[i] * p["w"][i][j] for i in range(len(x)))) for j in range(op10.HIDDEN)]
+    outer = [p["a"][k] + sum(h[j] * p["u"][k][j] for j in range(op10.HIDDEN)) for k in range(g)]
+    inner = [p["c"][y % g][k] + sum(h[j] * p["v"][y % g][k][j] for j in range(op10.HIDDEN)) for k in range(g)]
+    return outer[y % g] - np.log(sum(np.exp(outer))) + inner[y // g] - np.log(sum(np.exp(inner)))
+
+
+@pytest.mark.parametrize("g", [3, 16])
+def test_op10_gradient(g):
     rng = np.random.default_rng(1)
-    w = op10.start_weights().astype(np.float64)
-    ctx, y = rng.integers(0, op10.CLASSES + 1, (20, 4)), rng.integers(0, op10.CLASSES, 20)
-    g = op10.gradient(w, ctx, y)
-    for i in [*rng.integers(0, len(w), 25).tolist(), int(np.abs(g).argmax())]:
-        e = np.zeros_like(w)
-        e[i] = 1e-5
-        n = -(op10.log_probs(w + e, ctx, y).mean() - op10.log_probs(w - e, ctx, y).mean()) / 2e-5
-        assert abs(n - g[i]) < 1e-6
-
-
-def test_op10_scores_every_token_from_both_sides(spark):
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    texts = d.select("doc_id", F.col("text").cast("binary").alias("text"))
-    v = op10.vocabulary(texts)
+    w = op10.start_weights(g=g).astype(np.float64) * 3
+    assert op10.side_of(w) == g
+    for n in (1, 200):
+        ctx, y = rng.integers(0, g * g + 1, (n, 4)), rng.integers(0, g * g, n)
+        assert np.allclose(op10.log_probs(w, ctx, y)[:5], [plain_log_prob(w, g, c, k) for c, k in zip(ctx[:5], y[:5], strict=True)])
+        d = op10.gradient(w, ctx, y, g)
+        for i in [*rng.integers(0, len(w), 25).tolist(), int(np.abs(d).argmax())]:
+            e = np.zeros_like(w)
+            e[i] = 1e-5
+            n = -(op10.log_probs(w + e, ctx, y).mean() - op10.log_probs(w - e, ctx, y).mean()) / 2e-5
+            assert abs(n - d[i]) < 1e-6
+    total = sum(np.exp(op10.log_probs(w, ctx[:5], np.full(5, k))) for k in range(g * g))
+    assert np.allclose(total, 1)
+
+
+def plain_model(docs, cached):
+    """Classes and log shares of words by plain counting: (class of each word, log share)."""
     counts = {}
-    for r in texts.collect():
-        for w in bytes(r.text).split():
+    for t in docs:
+        for w in t:
             counts[w] = counts.get(w, 0) + 1
-    assert [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: op10.FREQUENT]] == [w for w, (c, _) in v.known.items() if c < op10.FREQUENT]
-    w = op10.train(texts, v)
-    pad = op10.CLASSES
-    for r in texts.limit(5).collect():
-        ids, share = v.encode(bytes(r.text).split())
-        p = [pad, pad, *ids, pad, pad]
-        want = share + sum(op10.log_probs(w, np.array([[p[i], p[i + 1], p[i + 3], p[i + 4]]]), np.array([ids[i]]))[0] for i in range(len(ids)))
-        got = op10.score(d.where(F.col("doc_id") == r.doc_id)).first()
-        assert got.n_words == len(ids)
-        ctx = op10.contexts(np.array(p), np.arange(2, 2 + len(ids)))
-        assert abs(share + op10.log_probs(w, ctx, np.array(ids)).sum() - want) < 1e-3 * max(1, len(ids))
+    g = op10.side(len(counts))
+    half = g * g // 2
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    of = {w: i if i < half else half + zlib.crc32(w[-2:]) % (g * g - half) for i, w in enumerate(order)}
+    total = {}
+    for w, n in counts.items():
+        total[of[w]] = total.get(of[w], 0) + n
+    return g, of, {w: np.log(n / total[of[w]]) for w, n in counts.items()}
+
+
+@pytest.mark.parametrize("cached", [70, 200_000])
+def test_op10_against_brute_force(spark, monkeypatch, cached):
+    """The query's log_prob and mean of every document, by a forward pass over its trained weights."""
+    monkeypatch.setattr(op10, "CACHED", max(cached, op10.LEAST**2 // 2))
+    weights, fit = [], op10.fit
+    monkeypatch.setattr(op10, "fit", lambda *a, **k: (weights.append(fit(*a, **k)), weights[-1])[1])
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40")
+    d = d.unionByName(d.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(d.limit(1).withColumn("text", F.lit(None).cast("string")))
+    rows = [(r.doc_id, (r.text or "").encode().split()) for r in d.collect()]
+    got = sorted(((r.doc_id or -1, r.n_words, r.log_prob, r.mean_log_prob) for r in op10.score(d).collect()), key=lambda r: r[:2])
+    g, of, share = plain_model([t for _, t in rows], cached)
+    want, rng = [], random.Random(1)
+    for i, t in sorted(rows, key=lambda r: (r[0] or -1, len(r[1]))):
+        ids = [g * g] * 2 + [of[w] for w in t] + [g * g] * 2
+        ctx = [[ids[k], ids[k + 1], ids[k + 3], ids[k + 4]] for k in range(len(t))]
+        lp = op10.log_probs(weights[0], np.array(ctx), np.array(ids[2:-2])) if t else np.zeros(0)
+        for k in rng.sample(range(len(t)), min(2, len(t))):
+            assert abs(lp[k] - plain_log_prob(weights[0], g, ctx[k], ids[k + 2])) < 1e-3
+        total = sum(lp) + sum(share[w] for w in t)
+        want.append((i or -1, len(t), total, total / len(t) if t else None))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert abs(a[2] - b[2]) <= 1e-4 * max(1, a[1]) and (a[3] is None) == (b[3] is None)
+        assert a[3] is None or abs(a[3] - b[3]) < 1e-4
+
+
+def test_op10_does_not_depend_on_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(op10, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(op10, "FAN", 2)
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    a, b = ({r.doc_id: r.log_prob for r in op10.score(d.repartition(n)).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-6
 
 
 def test_op10_learns_and_edges(spark):
@@ -748,59 +797,29 @@ def test_op10_learns_and_edges(spark):
 
 
 def test_op10_every_word_is_a_target_once(spark, monkeypatch):
+    monkeypatch.setattr(op10, "SHARD_WORDS", 20)
     rows = [(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(i % 5 + 1)), "s") for i in range(60)]
-    d = docs_of(spark, rows).coalesce(1)
-    texts = d.select("doc_id", F.col("text").cast("binary").alias("text"))
-    codes = op10.encoded(texts, op10.vocabulary(texts))
-    ids, at = op10._stream([bytes(r.ids) for r in codes.collect()])
-    assert len(at) == sum(len(t.split()) for _, t, _ in rows)
+    texts = docs_of(spark, rows).select("doc_id", F.col("text").cast("binary").alias("text"))
+    vocab = op10.vocabulary(texts)
+    codes = op10.encoded(texts, vocab)
+    assert codes.select("shard").distinct().count() > 3 and vocab.words == sum(len(t.split()) for _, t, _ in rows)
+    ids, at = op10._stream([bytes(r.ids) for r in codes.collect()], vocab.size)
+    assert len(at) == vocab.words
     taken = np.concatenate([op10.targets(at, r, op10.ROUNDS) for r in range(op10.ROUNDS)])
     assert sorted(taken.tolist()) == at.tolist()
     seen = []
     checkpoint = op10.checkpoint
     monkeypatch.setattr(op10, "checkpoint", lambda df: (seen.append(sum(r.n for r in df.select("n").collect())), checkpoint(df))[1])
-    op10.fit(codes)
+    op10.fit(codes, vocab.size)
     assert len(seen) == op10.ROUNDS and sum(seen) == len(at)
 
 
-def test_op10_every_word_enters_with_its_own_count(spark, monkeypatch):
-    monkeypatch.setattr(op10, "CACHED", 70)
-    rows = [(i % 40 or None, " ".join(f"w{j}é" for j in range(i % 200 + 1)) + f" once{i}", "s") for i in range(260)]
-    d = docs_of(spark, rows)
-    texts = d.select("doc_id", F.col("text").cast("binary").alias("text"))
-    counts = {}
-    for _, t, _ in rows:
-        for w in t.encode().split():
-            counts[w] = counts.get(w, 0) + 1
-    table = op10.word_counts(texts)
-    assert {bytes(r.word): r.n for r in table.collect()} == counts
-    v = op10.vocabulary(texts, table)
-    order = sorted(counts, key=lambda w: (-counts[w], w))
-    classes = {w: i if i < v.frequent else v.ending_class(w) for i, w in enumerate(order)}
-    of_class = {}
-    for w, n in counts.items():
-        of_class[classes[w]] = of_class.get(classes[w], 0) + n
-    codes = op10.encoded(texts, v)
-    more = {r.row: r.more for r in op10.rest_shares(codes, table).collect()}
-    got = sorted((len(r.ids), r.share + more.get(r.row, 0.0)) for r in codes.collect())
-    words = [t.encode().split() for _, t, _ in rows]
-    want = sorted((2 * (len(t) + op10.SIDE), sum(np.log(counts[w] / of_class[classes[w]]) for w in t)) for t in words)
-    assert np.allclose(got, want) and len(v.known) == 70 < len(counts)
-    parts = op10.score(d).agg(F.sum("n_words"), F.count("*")).first()
-    assert tuple(parts) == (sum(map(len, words)), len(rows))
-
-
 def test_op10_classes_follow_the_vocabulary(spark):
-    assert op10.class_number(100) == op10.CLASSES < op10.class_number(2_000_000) < op10.class_number(50_000_000)
-    w, rng = op10.start_weights(classes=300), np.random.default_rng(3)
-    ctx = rng.integers(0, 301, (5, 4))
-    total = sum(np.exp(op10.log_probs(w, ctx, np.full(5, y))) for y in range(300))
-    assert np.allclose(total, 1, atol=1e-4)
+    assert op10.side(100) == op10.LEAST < op10.side(2_000_000) < op10.side(50_000_000)
     d = docs_of(spark, [(i, " ".join(f"v{i * 2500 + j}" for j in range(2500)), "s") for i in range(250)])
     v = op10.vocabulary(d.select("doc_id", F.col("text").cast("binary").alias("text")))
-    assert v.size == op10.class_number(625_000) > op10.CLASSES and max(c for c, _ in v.known.values()) >= op10.CLASSES
+    assert v.size == op10.side(625_000) ** 2 > op10.LEAST**2 and max(c for c, _ in v.known.values()) >= op10.LEAST**2
     assert len({c for c, _ in v.known.values()}) <= v.size
-    assert op10.score(d.where("doc_id < 3")).where("log_prob < 0").count() == 3
 
 
 # pipeline
