@@ -7,31 +7,41 @@ other, never overlapping in either text, until none of ``SEED`` tokens is left;
 coverage is the share of its tokens under tiles. As tiles may stand in any order, reordered
 passages count in full. A document is contaminated if an item is covered to ``COVERAGE``.
 
-The item side is sent to the tasks in blocks of at most ``BLOCK_BYTES`` of text (measured
-first), each against all documents, so neither side has to be small; a document is never
-shuffled, and a passage in a third of all documents costs each of them its own tiling.
+1. A bitmap of the items' seeds (``BITS_A_SEED`` bits each, 2 ** ``MOST_BITS`` at most: 64 MB; it only saves
+   work, so a larger benchmark costs more candidates, never a match) is built by tasks and sent to all.
+2. One pass over the documents, whatever the size of the benchmark, keeps the texts with a seed
+   in the bitmap, equal texts once, with those seeds.
+3. Seeds join the items that have them; the distinct pairs of text and item are tiled, a text with one
+   item at a time. So a passage in a third of all documents costs each distinct text its own tiling, and
+   no group is collected.
+4. The contaminated texts, known by their SHA-256, are looked up where the documents lie: broadcast up to
+   ``FEW`` of them, joined by a shuffle beyond that.
 
-Edge cases: items and documents without tokens match nothing; an item of fewer than SEED
-tokens is a seed as a whole and must occur whole; the result has one row for each
-contaminated doc_id (repeated rows fold into one, null ids too); other columns are ignored.
+Edge cases: null, empty and blank texts, and items without tokens, match nothing; an item of fewer than
+SEED tokens is a seed as a whole and must occur whole; texts of any length are searched whole (a pair's
+common seeds must fit a task's memory: 16 bytes for each pair of places); of runs of one length, the first in the item
+and then in the document is marked first; the result of ``leaks`` has one row for each contaminated doc_id
+(repeated rows fold into one, null ids too), ``clean`` keeps or drops each row by its text; item_ids that repeat
+count as items of their own and appear once; an empty table of either kind contaminates nothing; other columns
+are ignored by ``leaks`` and kept by ``clean``, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import checkpoint, read_table
 
-SEED, COVERAGE, BLOCK_BYTES = 5, 0.5, 4 << 20
+SEED, COVERAGE, FEW = 5, 0.5, 200_000
+BITS_A_SEED, MOST_BITS = 16, 29
 _WORD = re.compile(r"\w+")
 _B = np.uint64(0x5851F42D4C957F2D)
 
@@ -51,128 +61,204 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def tiles(doc: list, item: list, starts: list[tuple[int, int]], n: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling from common windows (doc place, item place) of n tokens: (doc place, item place, length)."""
-    at = set(starts)
-    runs = []
-    for i, j in starts:
-        if (i - 1, j - 1) not in at:
-            k = 1
-            while (i + k, j + k) in at:
-                k += 1
-            runs.append((-(k + n - 1), j, i))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+class Words(dict):
+    """64-bit numbers of words, the same in every process; at most about ``most`` are held."""
+
+    most = 500_000
+
+    def __missing__(self, word: str) -> int:
+        x = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return x
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def seeds(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of n words, told apart by n."""
+    return _mixed(rolling(numbers, n) + np.uint64(n))
+
+
+def common_runs(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Maximal common runs of n ids or more: (-length, item place, doc place); negative ids are equal to nothing."""
+    hd, hi = rolling(doc, n), rolling(item, n)
+    order = np.argsort(hi, kind="stable")
+    lo, hi_end = np.searchsorted(hi[order], hd, "left"), np.searchsorted(hi[order], hd, "right")
+    many = hi_end - lo
+    i = np.repeat(np.arange(len(hd)), many)
+    j = order[np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+    same = np.ones(len(i), bool)
+    for k in range(n):
+        same &= (doc[i + k] == item[j + k]) & (doc[i + k] >= 0)
+    i, j = i[same], j[same]
+    if not len(i):
+        return []
+    o = np.lexsort((i, i - j))
+    i, j = i[o], j[o]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(i) != 1) | (np.diff(j) != 1)]))
+    size = np.diff(np.append(first, len(i))) + n - 1
+    return list(zip((-size).tolist(), j[first].tolist(), i[first].tolist(), strict=True))
+
+
+def tiles(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of two arrays of ids: (doc place, item place, length)."""
+    runs = common_runs(doc, item, n)
     heapq.heapify(runs)
-    in_doc, in_item, out = set(), set(), []
+    in_doc, in_item, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
     while runs:
         size, j, i = heapq.heappop(runs)
-        free = [i + k not in in_doc and j + k not in in_item for k in range(-size)]
-        if all(free):
-            in_doc.update(range(i, i - size))
-            in_item.update(range(j, j - size))
+        taken = in_doc[i : i - size] | in_item[j : j - size]
+        if not taken.any():
+            in_doc[i : i - size] = in_item[j : j - size] = True
             out.append((i, j, -size))
             continue
-        k = 0
-        while k < len(free):
-            if free[k]:
-                m = k
-                while m < len(free) and free[m]:
-                    m += 1
-                if m - k >= n:
-                    heapq.heappush(runs, (-(m - k), j + k, i + k))
-                k = m
-            k += 1
+        edge = np.flatnonzero(np.diff(~taken, prepend=False, append=False))
+        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if hi - lo >= n:
+                heapq.heappush(runs, (lo - hi, j + lo, i + lo))
     return out
 
 
-class Benchmark:
-    """Items, and the places of their seeds by hash."""
-
-    def __init__(self, items: list[tuple[int, str]], seed: int = SEED):
-        self.items = [(i, t) for i, t in ((i, tokens(t)) for i, t in items) if t]
-        self.vocab: dict[str, int] = {}
-        ids = [np.array([self.vocab.setdefault(w, len(self.vocab)) for w in t], np.int64) for _, t in self.items]
-        self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for k, x in enumerate(ids):
-            n = min(seed, len(x))
-            for j, h in enumerate(rolling(x, n).tolist()):
-                self.places[n][h].append((k, j))
-        self.hashes = {n: np.array(sorted(p), np.uint64) for n, p in self.places.items()}
-
-    def leaks(self, text: str | None, coverage: float = COVERAGE) -> list[tuple[int, float, int, int]]:
-        """(item_id, coverage, tiles, covered tokens) of the items that the text covers."""
-        doc = tokens(text)
-        ids = np.fromiter(map(lambda w, get=self.vocab.get: get(w, -1), doc), np.int64, len(doc))
-        found: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for n, known in self.hashes.items():
-            h = rolling(ids, n)
-            if not len(h):
-                continue
-            near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for i in np.flatnonzero(known[near] == h).tolist():
-                for k, j in self.places[n][int(h[i])]:
-                    if doc[i : i + n] == self.items[k][1][j : j + n]:
-                        found[k, n].append((i, j))
-        out = []
-        for (k, n), starts in found.items():
-            item_id, item = self.items[k]
-            t = tiles(doc, item, starts, n)
-            covered = sum(x[2] for x in t)
-            if covered >= coverage * len(item):
-                out.append((item_id, covered / len(item), len(t), covered))
-        return sorted(out, key=lambda x: (x[0] is None, x[0]))
-
-
-def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about BLOCK_BYTES / 2, no block over BLOCK_BYTES plus its longest item."""
+def covered(doc: list[str], item: list[str], seed: int = SEED) -> tuple[int, int]:
+    """Tiles of an item in a document, and tokens of the item under them."""
+    ids: dict[str, int] = {}
+    a = np.array([ids.setdefault(w, len(ids)) for w in item], np.int64)
+    b = np.array([ids.get(w, -1) for w in doc], np.int64)
+    t = tiles(b, a, min(seed, len(a))) if len(a) else []
+    return len(t), sum(x[2] for x in t)
+
+
+def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 17, 35)]
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    for p in _probes(h, bits):
+        out &= (bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    """item (a number of its own for each row), item_id, text, n (the seed's tokens), seeds."""
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            n, found = [], []
+            for t in b.column("text").to_pylist():
+                w = words.numbers(tokens(t))
+                n.append(min(SEED, len(w)))
+                found.append(np.unique(seeds(w, n[-1])).view(np.int64) if len(w) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "n", "seeds"])
+
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = 1 + (b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (BLOCK_BYTES // 2)
-    for k in range(n):
-        mine = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        size = mine.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-        if (size[0] or 0) > BLOCK_BYTES + (size[1] or 0):
-            raise ValueError(f"a block of the benchmark has {size[0]} bytes")
-        yield [(r.item_id, r.text) for r in sorted(mine.collect(), key=lambda r: (r.item_id is None, r.item_id, r.text))]
+    return checkpoint(b.mapInArrow(seeded, "item_id long, text string, n int, seeds array<long>").where("n > 0").withColumn("item", F.monotonically_increasing_id()))
+
+
+def bitmap_of(items: DataFrame, bits: int) -> np.ndarray:
+    """The bitmap of all items' seeds: one of each task, put together by one task, 2 ** bits / 8 bytes each."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for b in batches:
+            for p in _probes(b.column(0).flatten().to_numpy().view(np.uint64), bits):
+                np.bitwise_or.at(out, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bitmap"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << (bits - 3), np.uint8)
+        for b in batches:
+            for x in b.column(0):
+                out |= np.frombuffer(x.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bitmap"])
+
+    got = items.select("seeds").mapInArrow(put, "bitmap binary").repartition(1).mapInArrow(together, "bitmap binary").collect()
+    return np.frombuffer(bytes(got[0].bitmap), np.uint8) if got else np.zeros(1 << (bits - 3), np.uint8)
+
+
+def digest_of(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """digest (of a text), item_ids, coverage (the most of any item), n_tiles and n_words of the texts that cover an item."""
+    items = items_of(benchmark)
+    size = items.agg(F.sum(F.size("seeds")), F.collect_set("n")).first()
+    lengths = sorted(size[1] or [])
+    bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(BITS_A_SEED * (size[0] or 1))))))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(items, bits))
+
+    def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for b in batches:
+            rows, found = [], []
+            for k, t in enumerate(b.column(0)):
+                w = words.numbers(tokens(t.as_py()))
+                h = np.concatenate([np.zeros(0, np.uint64), *(seeds(w, n) for n in lengths)])
+                h = h[in_bitmap(sent.value, h, bits)]
+                if len(h):
+                    rows.append(k)
+                    found.append(np.unique(h).view(np.int64))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(found, pa.list_(pa.int64()))], ["text", "seeds"])
+
+    t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(seeded, "text string, seeds array<long>")
+    t = checkpoint(t.groupBy(digest_of(F.col("text")).alias("digest")).agg(F.first("text").alias("doc"), F.first("seeds").alias("seeds")))
+    mine = t.select("digest", F.explode("seeds").alias("h"))
+    theirs = items.select("item", F.explode("seeds").alias("h"))
+    pairs = checkpoint(mine.join(theirs, "h").select("digest", "item").distinct())
+    rows = pairs.join(items.select("item", "item_id", "text"), "item").join(t.select("digest", "doc"), "digest").select("digest", "doc", "item_id", "text")
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, doc = None, []
+        for b in batches:
+            out = []
+            for d, text, i, item in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3), strict=True):
+                if d != last:
+                    last, doc = d, tokens(text.as_py())
+                item = tokens(item.as_py())
+                n, w = covered(doc, item)
+                if w >= coverage * len(item):
+                    out.append((d, i, w / len(item), n, w))
+            if out:
+                kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["digest", "item_id", "coverage", "n_tiles", "n_words"])
+
+    hits = rows.mapInArrow(tiled, "digest string, item_id long, coverage double, n_tiles long, n_words long")
+    return checkpoint(hits.groupBy("digest").agg(
+        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("n_tiles").alias("n_tiles"), F.sum("n_words").alias("n_words")
+    ))
+
+
+def _near(found: DataFrame) -> DataFrame:
+    return F.broadcast(found) if found.limit(FEW + 1).count() <= FEW else found
+
+
+def _digest(docs: DataFrame) -> Column:
+    return digest_of(F.coalesce(docs["text"].cast("string"), F.lit("")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, item_ids, coverage (the most of any item), n_tiles and n_words of the contaminated documents."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    hits = None
-    for items in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def tiled(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(sent.value)
-            for x in batches:
-                ids, out = x.column(0).to_pylist(), []
-                for i, t in zip(ids, x.column(1), strict=True):
-                    out += [(i, *hit) for hit in bench.leaks(t.as_py(), coverage)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "coverage", "n_tiles", "n_words"])
-
-        part = d.mapInArrow(tiled, "doc_id long, item_id long, coverage double, n_tiles long, n_words long")
-        hits = part if hits is None else hits.unionByName(part)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(docs).alias("digest"))
+    hits = d.join(_near(contaminated(docs, benchmark, coverage)), "digest")
     return hits.groupBy("doc_id").agg(
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("n_tiles").alias("n_tiles"), F.sum("n_words").alias("n_words")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("coverage").alias("coverage"), F.sum("n_tiles").alias("n_tiles"), F.sum("n_words").alias("n_words")
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of docs that cover no item, judged where they lie: nothing is shuffled for it."""
-
-    def covers_none(sent):
-        @F.pandas_udf("boolean")
-        def fine(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            bench = Benchmark(sent.value)
-            for texts in batches:
-                yield pd.Series([not bench.leaks(t, coverage) for t in texts], dtype=bool)
-
-        return fine
-
-    for items in blocks(benchmark):
-        fine = covers_none(docs.sparkSession.sparkContext.broadcast(items))
-        docs = docs.where(fine(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return docs
+    """The rows of docs that cover no item; they are not shuffled for it unless very many texts are contaminated."""
+    found = contaminated(docs, benchmark, coverage).select(F.col("digest").alias("__digest"))
+    return docs.join(_near(found), _digest(docs) == F.col("__digest"), "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

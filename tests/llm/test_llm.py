@@ -448,9 +448,7 @@ def test_op6_tiling_against_brute_force():
     for _ in range(150):
         item = [rng.choice("abcd") for _ in range(rng.randrange(3, 14))]
         doc = [rng.choice("abcd") for _ in range(rng.randrange(0, 30))]
-        got = op6.Benchmark([(1, " ".join(item))], seed=3).leaks(" ".join(doc), coverage=0.0)
-        want = plain_tiling(doc, item, min(3, len(item)))
-        assert sum(x[3] for x in got) == want, (item, doc)
+        assert op6.covered(doc, item, 3)[1] == plain_tiling(doc, item, min(3, len(item))), (item, doc)
 
 
 def test_op6_finds_reordered_passages(spark):
@@ -465,13 +463,41 @@ def test_op6_finds_reordered_passages(spark):
     assert op6.leaks(empty(spark), bench).count() == 0 and op6.leaks(d, bench.limit(0)).count() == 0
 
 
-def test_op6_blocks_cover_all_items(spark, monkeypatch):
-    monkeypatch.setattr(op6, "BLOCK_BYTES", 200)
-    bench = spark.createDataFrame([(i, f"item {i} has words of its own number {i}") for i in range(40)], "item_id long, text string")
-    assert sum(map(len, op6.blocks(bench))) == 40 and len(list(op6.blocks(bench))) > 5
-    d = docs_of(spark, [(i, f"x item {i} has words of its own number {i} y", "s") for i in range(40)])
-    assert {r.doc_id for r in op6.leaks(d, bench).collect()} == set(range(40))
-    assert op6.clean(d, bench).count() == 0
+def test_op6_many_items_and_a_full_bitmap(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"item {i} has words of its own number {i}") for i in range(400)], "item_id long, text string")
+    d = docs_of(spark, [(i, f"x item {i} has words of its own number {i} y", "s") for i in range(40)] + [(99, "has other words than the items have", "s")])
+    for few, most in ((op6.FEW, op6.MOST_BITS), (0, 4)):  # joined by a shuffle; nearly every seed passes so small a bitmap
+        monkeypatch.setattr(op6, "FEW", few)
+        monkeypatch.setattr(op6, "MOST_BITS", most)
+        got = {r.doc_id: r.item_ids for r in op6.leaks(d, bench).collect()}
+        assert set(got) == set(range(40)) and all(i in got[i] for i in got)
+        assert [r.doc_id for r in op6.clean(d, bench).collect()] == [99]
+
+
+def test_op6_query_against_brute_force(spark):
+    """The query over its whole tables: every document that shares 5 words in a row with an item, tiled by plain loops."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    grams = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        doc = words(r.text)
+        have = {n: grams(doc, n) for n in range(1, 6)}
+        for i, item in items:
+            n = min(5, len(item))
+            if item and grams(item, n) & have[n] and plain_tiling(doc, item, n) >= 0.5 * len(item):
+                want.setdefault(r.doc_id, set()).add(i)
+    got = {r.doc_id: set(r.item_ids) for r in op6.op6_decontaminate(spark, SF).collect()}
+    assert got == want and got
+
+
+def test_op6_repeated_words_and_long_texts(spark):
+    """Many places of an item against many of a document, repeated rows, equal texts under several ids."""
+    bench = spark.createDataFrame([(1, "go " * 300), (1, "the whole of another item here"), (2, "ends in this")], "item_id long, text string")
+    rows = [(1, "go " * 5000, "s"), (2, LONG + " ends in this", "s"), (3, LONG, "s"), (None, "x ends in this", "s"), (4, "x ends in this", "s"), (4, "x ends in this", "s"), (4, "another item here the whole of another item here", "s"), *[(100 + k, t, "s") for k, (_, t, _) in enumerate(EDGE)]]
+    got = {r.doc_id: (r.item_ids, r.coverage) for r in op6.leaks(docs_of(spark, rows), bench).collect()}
+    assert got == {1: ([1], 1.0), 2: ([2], 1.0), None: ([2], 1.0), 4: ([1, 2], 1.0)}
+    assert op6.clean(docs_of(spark, rows), bench).count() == 1 + len(EDGE)
 
 
 # 7
