@@ -80,20 +80,22 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of lower-cased bytes, without a loop over words."""
-    b = np.frombuffer(text, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.uint64)
-    inside = ~_SPACE[b]
+def run_hashes(codes: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of codes that lie inside, without a loop over runs."""
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
-    _grow(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _powers[: len(b)], out=total[1:])
+    _grow(len(codes) + 1)
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers[: len(codes)], out=total[1:])
     return _mix((total[end] - total[start]) * _inverse[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of lower-cased bytes."""
+    b = np.frombuffer(text, np.uint8)
+    return run_hashes(b, ~_SPACE[b])
+
+
 def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the text's n-word shingles, or of all its words if they are fewer."""
     w = word_hashes(text.lower())

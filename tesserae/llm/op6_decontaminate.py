@@ -31,14 +31,15 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, read_table
+from .op2_minhash_dedup import run_hashes
 
 SEED, COVERAGE, FEW = 5, 0.5, 200_000
 BITS_A_SEED, MOST_BITS = 16, 29
@@ -66,24 +67,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class Words(dict):
-    """64-bit numbers of words, the same in every process; at most about ``most`` are held."""
-
-    most = 500_000
+@lru_cache(1)
+def _word_characters() -> np.ndarray:
+    """Whether a code point belongs to words, for all code points."""
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in re.findall(r"\w", "".join(map(chr, range(0x110000))))]] = True
+    return out
 
-    def __missing__(self, word: str) -> int:
-        x = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return x
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.most:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def numbers(text: str) -> np.ndarray:
+    """A 64-bit hash of each token of a text, the same in every process."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return run_hashes(codes, _word_characters()[codes])
 
 
-def seeds(numbers: np.ndarray, n: int) -> np.ndarray:
+def seeds(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all windows of n words, told apart by n."""
-    return _mixed(rolling(numbers, n) + np.uint64(n))
+    return _mixed(rolling(words, n) + np.uint64(n))
 
 
 def common_runs(doc: np.ndarray, item: np.ndarray, n: int) -> list[tuple[int, int, int]]:
@@ -135,26 +135,31 @@ def covered(doc: list[str], item: list[str], seed: int = SEED) -> tuple[int, int
     return len(t), sum(x[2] for x in t)
 
 
-def _probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(h >> np.uint64(s)) & np.uint64((1 << bits) - 1) for s in (0, 17, 35)]
+_SHIFTS = (0, 17, 35)
+
+
+def _probe(h: np.ndarray, bits: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of hashes in a bitmap."""
+    p = (h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+    return (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)
 
 
 def in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for p in _probes(h, bits):
-        out &= (bitmap[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return out
+    """The hashes whose bits are all set."""
+    for s in _SHIFTS:
+        at, bit = _probe(h, bits, s)
+        h = h[bitmap[at] & bit != 0]
+    return h
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item (a number of its own for each row), item_id, text, n (the seed's tokens), seeds."""
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
             n, found = [], []
             for t in b.column("text").to_pylist():
-                w = words.numbers(tokens(t))
+                w = numbers(t)
                 n.append(min(SEED, len(w)))
                 found.append(np.unique(seeds(w, n[-1])).view(np.int64) if len(w) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "n", "seeds"])
@@ -169,8 +174,8 @@ def bitmap_of(items: DataFrame, bits: int) -> np.ndarray:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
-            for p in _probes(b.column(0).flatten().to_numpy().view(np.uint64), bits):
-                np.bitwise_or.at(out, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+            for s in _SHIFTS:
+                np.bitwise_or.at(out, *_probe(b.column(0).flatten().to_numpy().view(np.uint64), bits, s))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bitmap"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,13 +202,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     sent = docs.sparkSession.sparkContext.broadcast(bitmap_of(items, bits))
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for b in batches:
             rows, found = [], []
             for k, t in enumerate(b.column(0)):
-                w = words.numbers(tokens(t.as_py()))
+                w = numbers(t.as_py())
                 h = np.concatenate([np.zeros(0, np.uint64), *(seeds(w, n) for n in lengths)])
-                h = h[in_bitmap(sent.value, h, bits)]
+                h = in_bitmap(sent.value, h, bits)
                 if len(h):
                     rows.append(k)
                     found.append(np.unique(h).view(np.int64))
