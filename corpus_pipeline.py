@@ -1,8 +1,10 @@
 """The corpus pipeline: classify, dedup, decontaminate, mix, shard.
 
-Each stage takes all rows that the one before it kept, written as Parquet and read again.
-Nulls, empty texts, repeated rows and columns with clashing names are taken as the stages'
-docstrings say; an empty table gives an empty table with the same columns.
+Each stage takes all rows that the one before it kept, written as Parquet and read again; a stage's
+folder is deleted when the next one's is written. Texts of any length go through whole, other columns
+stay as they are, whatever their names (but ``shard`` and ``slot``, which the last stage replaces), and an
+empty table gives an empty table with the same columns. Nulls, empty texts, ties and repeated rows are
+taken as each stage's docstring says.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import fresh_path, read_table
+from tesserae.llm.common import delete, fresh_path, read_table
 from tesserae.llm.op2_minhash_dedup import near_duplicates
 from tesserae.llm.op3_quality_classifier import accepted
 from tesserae.llm.op6_decontaminate import clean
@@ -18,6 +20,10 @@ from tesserae.llm.op7_shards import shuffled
 from tesserae.llm.op9_mix import mix
 
 
+#: Percent of similarity from which documents are near-duplicates here.
+SIMILARITY = 80
+
+
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id is in dropped; rows with a null doc_id stay."""
     gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
@@ -30,8 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates. Rows that repeat a doc_id are one document and stay together; null ids and texts without words stay."""
-    return _without(docs, near_duplicates(docs).where("NOT kept"))
+    """One document of each group of near-duplicates (``SIMILARITY``), the one with the smallest id. Rows that repeat a doc_id are one document and stay together; null ids and texts without words stay."""
+    return _without(docs, near_duplicates(docs, SIMILARITY).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over documents; the result is the last stage's table."""
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         out = fresh_path(spark, f"stage-{i}")
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if last:
+            delete(spark, last)
+        last = out
     return docs
