@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -861,7 +862,7 @@ def test_pipeline_stages(spark):
     good = stage["quality classifier"](spark, d, SF)
     assert good.columns == columns and ids(good) == ids(op3.classify(d, labels).where("predicted = 1"))
     one = stage["near-duplicates"](spark, d, SF)
-    want = plain_components(plain_sets([(r.doc_id, r.text) for r in d.collect()]))
+    want = plain_components(plain_sets([(r.doc_id, r.text) for r in d.collect()]), 80)
     assert one.columns == columns and ids(one) == {i for i, c in want.items() if i == c}
     clean = stage["decontamination"](spark, d, SF)
     assert clean.columns == columns and ids(clean) == ids(d) - ids(op6.leaks(d, bench))
@@ -872,6 +873,8 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 50 and {"doc_id", "text", "shard", "slot"} <= set(got.columns)
+    shared = op7.fresh_path(spark, "x").rsplit("/", 1)[0]
+    assert [p for p in os.listdir(shared) if p.startswith("stage-")] == [got.inputFiles()[0].rsplit("/", 2)[-2]]
 
 
 def test_pipeline_stages_take_edges(spark, tmp_path):
