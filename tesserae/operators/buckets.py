@@ -69,12 +69,14 @@ def assign(images: DataFrame, buckets=DEFAULT_BUCKETS) -> DataFrame:
 
 
 def assign_by_join(images: DataFrame, buckets: DataFrame, key: str = "image_id") -> DataFrame:
-    """The same by a join with a bucket table that is only known as a DataFrame (at most 10,000 rows, checked)."""
+    """The same with a bucket table that is only known as a DataFrame (at most 10,000 rows, checked, broadcast as one array): no row of images is multiplied or shuffled."""
     if buckets.limit(10_001).count() > 10_000:
         raise ValueError("a bucket table of more than 10,000 rows")
-    d = sound(images).join(F.broadcast(buckets), F.lit(True))
-    distance = F.abs(F.ln(F.col("bw") / F.col("bh")) - F.ln(F.col("width") / F.col("height")))
-    return d.groupBy(key).agg(F.min(F.struct(distance.alias("d"), "bucket_id", "bucket")).alias("m")).select(key, "m.bucket_id", "m.bucket")
+    row = F.struct("bucket_id", "bucket", F.ln(F.col("bw") / F.col("bh")).alias("r"))
+    d = sound(images).crossJoin(F.broadcast(buckets.agg(F.sort_array(F.collect_list(row)).alias("__b"))))
+    target = F.ln(F.col("width") / F.col("height"))
+    best = F.array_min(F.transform("__b", lambda b: F.struct(F.abs(b["r"] - target).alias("d"), b["bucket_id"].alias("bucket_id"), b["bucket"].alias("bucket"))))
+    return d.withColumn("m", best).where("m IS NOT NULL").select(key, "m.bucket_id", "m.bucket")
 
 
 def counts(assigned: DataFrame, batch_size: int) -> DataFrame:

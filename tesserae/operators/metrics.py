@@ -10,23 +10,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vq import usage
+
 MIN_IMAGES, MIN_USAGE, DECIBEL_PLACES = 20, 0.5, 2
-#: Tasks that return moments to the driver, and the widest features they are taken for.
-PARTS, MAX_DIM = 64, 4096
+#: Tasks that add up what others found, before one task a group does.
+PARTS = 64
 
 
-def moment_sums(features: DataFrame, columns: list[str], by: str | None = None) -> dict[tuple[str | None, str], np.ndarray]:
-    """(group, column) -> sums of (1, x) (1, x)' over its rows, in one pass over all columns.
+def moment_sums(features: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """whole, g, c, m: for each group g (and for all, where whole) and column c, the flattened sums of (1, x) (1, x)' over its rows.
 
-    Each task adds up its own rows; PARTS tasks add up what those found, and only they report
-    to the driver. ``by`` should have few values (buckets).
+    One pass over all columns. Each task adds up its own rows, PARTS tasks add up what those found,
+    and one task a group and column adds the last PARTS; nothing goes to the driver. ``by`` should have
+    few values (buckets). Rows with a null feature are left out.
     """
-    d = features.select((F.col(by) if by else F.lit(0)).cast("string").alias("g"), *(F.col(c).cast("array<double>").alias(c) for c in columns))
-    kind = "p int, g string, c string, m array<double>"
+    d = features.select((F.col(by) if by else F.lit(0)).cast("string").alias("g"), *(F.col(c).cast("array<double>").alias(c) for c in columns)).dropna(subset=columns)
+    kind = "p int, whole boolean, g string, c string, m array<double>"
 
     def rows(total: dict) -> Iterator[pa.RecordBatch]:
-        for (g, c), m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([g], pa.string()), pa.array([c]), pa.array([m.ravel()], pa.list_(pa.float64()))], ["p", "g", "c", "m"])
+        for (whole, g, c), m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([whole]), pa.array([g], pa.string()), pa.array([c]), pa.array([m.ravel()], pa.list_(pa.float64()))], ["p", "whole", "g", "c", "m"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict = {}
@@ -34,32 +37,32 @@ def moment_sums(features: DataFrame, columns: list[str], by: str | None = None)
             g = np.array(b.column(0).to_pylist(), object)
             for c in columns:
                 x = b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                if x.shape[1] > MAX_DIM:
-                    raise ValueError(f"features of more than {MAX_DIM} dimensions")
                 x = np.column_stack([np.ones(len(x)), x])
                 for k in dict.fromkeys(g.tolist()):
                     y = x[g == k]
-                    total[k, c] = total.get((k, c), 0) + y.T @ y
+                    total[False, k, c] = total.get((False, k, c), 0) + y.T @ y
         yield from rows(total)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {}
-        for b in batches:
-            for g, c, m in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                total[g, c] = total.get((g, c), 0) + m.values.to_numpy()
-        yield from rows(total)
+    def add(both: bool):
+        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict = {}
+            for b in batches:
+                for whole, g, c, m in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), b.column(4), strict=True):
+                    x = m.values.to_numpy()
+                    for key in ((whole, g, c), (True, None, c))[: 1 + both]:
+                        total[key] = total[key] + x if key in total else x
+            yield from rows(total)
+
+        return added
 
-    found = d.mapInArrow(own, kind).repartition(PARTS, "p").sortWithinPartitions("p", "g", "c").mapInArrow(add, kind).collect()
-    out: dict = {}
-    for r in sorted(found, key=lambda r: r.p):
-        m = np.array(r.m)
-        side = int(round(len(m) ** 0.5))
-        out[r.g, r.c] = out.get((r.g, r.c), 0) + m.reshape(side, side)
-    return out
+    parts = d.mapInArrow(own, kind).repartition(PARTS, "p").sortWithinPartitions("p", "g", "c").mapInArrow(add(True), kind)
+    return parts.repartition("whole", "g", "c").sortWithinPartitions("whole", "g", "c", "p").mapInArrow(add(False), kind).drop("p")
 
 
 def moments(m: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, mean and covariance (n - 1) from sums; of one row the covariance is NaN."""
+    side = round(m.size**0.5)
+    m = m.reshape(side, side)
     n, mean = m[0, 0], m[0, 1:] / m[0, 0]
     with np.errstate(invalid="ignore", divide="ignore"):
         return int(n), mean, (m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
@@ -67,10 +70,15 @@ def moments(m: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
 
 def covariance(features: DataFrame, column: str = "z") -> DataFrame:
     """i, j, cov of all features."""
-    m = moment_sums(features, [column])
-    cov = moments(m["0", column])[2] if m else np.zeros((0, 0))
-    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(len(cov))]
-    return features.sparkSession.createDataFrame(rows, "i bigint, j bigint, cov double")
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for m in b.column(0):
+                cov = moments(m.values.to_numpy())[2]
+                for i, row in enumerate(cov):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i)), pa.array(np.arange(len(row))), pa.array(row)], ["i", "j", "cov"])
+
+    return moment_sums(features, [column]).where("whole").select("m").mapInArrow(cells, "i bigint, j bigint, cov double")
 
 
 def frechet_distance(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.ndarray) -> float:
@@ -83,29 +91,51 @@ def frechet_distance(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.nd
 
 
 def frechet(pairs: DataFrame, by: str = "label", least: int = MIN_IMAGES) -> DataFrame:
-    """bucket (null: all), num_images, rfid between features x and y; null below ``least`` images."""
-    sums = moment_sums(pairs, ["x", "y"], by)
-    groups = sorted({g for g, _ in sums}, key=str)
-    rows = []
-    for members, name, few in [(groups, None, 2), *(([g], g, least) for g in groups)]:
-        if members:
-            (n, mu1, s1), (_, mu2, s2) = (moments(sum(sums[g, c] for g in members)) for c in ("x", "y"))
-            rows.append((name, n, None if n < few else frechet_distance(mu1, s1, mu2, s2)))
-    return pairs.sparkSession.createDataFrame(rows, "bucket string, num_images bigint, rfid double")
+    """bucket (null: all), num_images, rfid between features x and y; null below ``least`` images. One task a bucket, one row each."""
+
+    def distance(t: pa.Table) -> pa.Table:
+        whole = t.column("whole")[0].as_py()
+        of = {c: moments(m.values.to_numpy()) for c, m in zip(t.column("c").to_pylist(), t.column("m"), strict=True)}
+        (n, mu1, s1), (_, mu2, s2) = of["x"], of["y"]
+        rfid = None if n < (2 if whole else least) else frechet_distance(mu1, s1, mu2, s2)
+        return pa.table({"whole": pa.array([whole]), "bucket": pa.array([t.column("g")[0].as_py()], pa.string()), "num_images": pa.array([n], pa.int64()), "rfid": pa.array([rfid], pa.float64())})
+
+    return moment_sums(pairs, ["x", "y"], by).groupBy("whole", "g").applyInArrow(distance, "whole boolean, bucket string, num_images bigint, rfid double").drop("whole")
 
 
 def evaluation(images: DataFrame, by: str = "label", least: int = MIN_IMAGES) -> DataFrame:
-    """Image-weighted means of l1 and psnr for each bucket and for all (bucket null), and whether a bucket has enough images."""
-    d = images.select(F.col(by).cast("string").alias("bucket"), "l1", "psnr").rollup("bucket")
-    d = d.agg(F.grouping("bucket").alias("g"), F.count("*").alias("num_images"), F.avg("l1").alias("l1"), F.avg("psnr").alias("psnr"))
+    """Image-weighted means of l1 and psnr (and of perceptual, where there is one) for each bucket and for all (bucket null), and whether a bucket has enough images."""
+    means = [c for c in ("l1", "psnr", "perceptual") if c in images.columns]
+    d = images.select(F.col(by).cast("string").alias("bucket"), *means).rollup("bucket")
+    d = d.agg(F.grouping("bucket").alias("g"), F.count("*").alias("num_images"), *(F.avg(c).alias(c) for c in means))
     return d.withColumn("enough", (F.col("g") == 1) | (F.col("num_images") >= least)).drop("g")
 
 
-def report(per_bucket: DataFrame) -> DataFrame:
-    """Formatted lines (bucket, images, rfid, l1, psnr), buckets in string order."""
+def evaluate(images: DataFrame, features: DataFrame, hist: DataFrame, by: str = "label", least: int = MIN_IMAGES) -> DataFrame:
+    """The whole evaluation for each bucket and for all (bucket null): num_images, mean l1, psnr and perceptual, rfid, and on the row for all the codebook's usage.
+
+    images: a row of metrics for each image; features: x and y of each image; hist: uses of each code. An
+    evaluation without images raises ValueError.
+    """
+    e = evaluation(images, by, least).drop("enough")
+    if not (total := images.count()):
+        raise ValueError("there are no images to evaluate")
+    f = frechet(features, by, least).select(F.col("bucket").alias("__of"), "rfid")
+    used = usage(hist).select("usage", "is_low")
+    d = e.join(F.broadcast(f), F.col("bucket").eqNullSafe(F.col("__of")), "left").drop("__of").crossJoin(F.broadcast(used))
+    every = F.col("bucket").isNull() & (F.col("num_images") == total)
+    return d.withColumn("usage", F.when(every, F.col("usage"))).withColumn("is_low", F.when(every, F.col("is_low")))
+
+
+def report(evaluated: DataFrame) -> DataFrame:
+    """Formatted lines (bucket, images, rfid, l1, psnr, codebook) of ``evaluate``, buckets in string order, then the row for all ("overall"), with a warning where few codes are used."""
     text = lambda c, n: F.format_string(f"%.{n}f", c)
-    d = per_bucket.where("bucket IS NOT NULL").orderBy("bucket")
-    return d.select("bucket", F.col("num_images").cast("string").alias("images"), F.when(F.col("rfid").isNull(), "n/a (few)").otherwise(text("rfid", 4)).alias("rfid"), text("l1", 4).alias("l1"), text("psnr", DECIBEL_PLACES).alias("psnr"))
+    d = evaluated.orderBy(F.col("bucket").isNull(), "bucket")
+    codebook = F.when(F.col("usage").isNull(), "").otherwise(F.concat(text("usage", 4), F.when(F.col("is_low"), " (low)").otherwise("")))
+    return d.select(
+        F.coalesce("bucket", F.lit("overall")).alias("bucket"), F.col("num_images").cast("string").alias("images"), F.when(F.col("rfid").isNull(), "n/a (few)").otherwise(text("rfid", 4)).alias("rfid"),
+        text("l1", 4).alias("l1"), text("psnr", DECIBEL_PLACES).alias("psnr"), codebook.alias("codebook"),
+    )
 
 
 def quick_validation(plan: DataFrame, l1: DataFrame, key: str, bucket: str, batches: int = 40) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import hash_key
-from .ordering import checkpoint, row_numbers
+from .ordering import FEW, checkpoint, row_numbers
 
 #: Bytes of codebook that are sent to every task at once.
 BLOCK_BYTES, ROWS = 256 << 20, 4096
@@ -19,14 +21,23 @@ BLOCK_BYTES, ROWS = 256 << 20, 4096
 def codes_of(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Codes in ascending order and their vectors, after a check of their size."""
     n, dim = codebook.agg(F.count("*"), F.max(F.size("e"))).first()
+    if not n:
+        raise ValueError("the codebook is empty")
     if n * (dim or 0) * 8 > BLOCK_BYTES:
         raise ValueError(f"a codebook of {n} x {dim} is larger than {BLOCK_BYTES} bytes")
-    rows = codebook.orderBy("code").select("code", "e").collect()
-    return np.array([r.code for r in rows], np.int64), np.array([r.e for r in rows], np.float64)
+    t = codebook.select(F.col("code").cast("long").alias("code"), F.col("e").cast("array<double>").alias("e")).toArrow().combine_chunks()
+    codes = t.column("code").to_numpy()
+    order = np.argsort(codes, kind="stable")
+    return codes[order], t.column("e").combine_chunks().flatten().to_numpy().reshape(n, -1)[order]
+
+
+def nearest(z: np.ndarray, e: np.ndarray, square: np.ndarray) -> np.ndarray:
+    """Places of the nearest vectors of e, of equal ones the first, by matrix products over blocks of rows."""
+    return np.concatenate([np.zeros(0, np.int64), *((square - 2 * (z[i : i + ROWS] @ e.T)).argmin(1) for i in range(0, len(z), ROWS))])
 
 
 def assign(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Adds code and its squared distance d: matrix products over blocks of rows; of equal codes the least."""
+    """Adds code and its squared distance d; of equal codes the least, for a null vector null. An empty codebook raises ValueError."""
     codes, e = codes_of(codebook)
     sent = vectors.sparkSession.sparkContext.broadcast((codes, e))
 
@@ -34,17 +45,52 @@ def assign(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id") -> Data
         codes, e = sent.value
         square = (e * e).sum(1)
         for b in batches:
-            for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                z = part.column("z").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                best = (square - 2 * (z @ e.T)).argmin(1)
-                d = ((z - e[best]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codes[best]), pa.array(d)], [*part.schema.names, "code", "d"])
+            z, there = b.column("z"), b.column("z").is_valid().to_numpy(zero_copy_only=False)
+            z = z.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, e.shape[1])
+            best = nearest(z, e, square) if len(z) else np.zeros(0, np.int64)
+            code, d = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+            if len(z):
+                code[there], d[there] = codes[best], ((z - e[best]) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code, mask=~there), pa.array(d, mask=~there)], [*b.schema.names, "code", "d"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
     return vectors.mapInArrow(near, f"{fields}, code bigint, d double")
 
 
+def tokenize(features: DataFrame, codebook: DataFrame, height: int, width: int, column: str = "z", out: str = "codes") -> DataFrame:
+    """Adds the token grid (rows of codes) of encoder features, an array of channels x height x width; null features give null."""
+    sent = features.sparkSession.sparkContext.broadcast(codes_of(codebook))
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def grid(z: pd.Series) -> pd.Series:
+        codes, e = sent.value
+        square = (e * e).sum(1)
+        one = lambda x: codes[nearest(np.asarray(x, float).reshape(e.shape[1], -1).T, e, square)].reshape(height, width)
+        return pd.Series([None if x is None else [list(r) for r in one(x)] for x in z])
+
+    return features.withColumn(out, grid(F.col(column).cast("array<double>")))
+
+
+def untokenize(grids: DataFrame, codebook: DataFrame, column: str = "codes", out: str = "z") -> DataFrame:
+    """Adds decoder features (channels x height x width, flat) of token grids; a code that the codebook lacks raises."""
+    sent = grids.sparkSession.sparkContext.broadcast(codes_of(codebook))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def gathered(c: pd.Series) -> pd.Series:
+        codes, e = sent.value
+
+        def one(x):
+            k = np.asarray([list(r) for r in x], np.int64).ravel()
+            at = np.minimum(np.searchsorted(codes, k), len(codes) - 1)
+            if (codes[at] != k).any():
+                raise ValueError("a token that the codebook lacks")
+            return e[at].T.ravel()
+
+        return pd.Series([None if x is None else one(x) for x in c])
+
+    return grids.withColumn(out, gathered(F.col(column).cast("array<array<bigint>>")))
+
+
 def gather(tokens: DataFrame, codebook: DataFrame) -> DataFrame:
     """Code vectors of tokens, as column e; a code that the codebook lacks is dropped."""
     return tokens.join(codebook, "code")
@@ -90,10 +136,11 @@ def revive(dead_codes: DataFrame, vectors: DataFrame, seed: int = 42, key: str =
 
 
 def dead_by_window(codebook: DataFrame, tokens: DataFrame, window: Column) -> DataFrame:
-    """window_no, code: the codes that no token of a window uses; the sets are no larger than the codebook."""
-    seen = tokens.groupBy(window.alias("window_no")).agg(F.collect_set("code").alias("seen"))
-    every = codebook.agg(F.collect_set("code").alias("every"))
-    return seen.join(F.broadcast(every)).select("window_no", F.explode(F.array_except("every", "seen")).alias("code"))
+    """window_no, code: the codes that no token of a window uses."""
+    seen = tokens.select(window.alias("window_no"), "code").distinct()
+    every = codebook.select("code")
+    every = F.broadcast(every) if every.limit(FEW + 1).count() <= FEW else every
+    return seen.select("window_no").distinct().crossJoin(every).join(seen, ["window_no", "code"], "left_anti")
 
 
 def revive_by_window(dead_codes: DataFrame, vectors: DataFrame, window: Column, seed: int = 42, key: str = "vec_id") -> DataFrame:
@@ -107,8 +154,27 @@ def revive_by_window(dead_codes: DataFrame, vectors: DataFrame, window: Column,
 
 
 def sums(assigned: DataFrame) -> DataFrame:
-    """code, dim, n, s: members and sum of each coordinate; combined in tasks before the shuffle."""
-    return assigned.select("code", F.posexplode("z").alias("dim", "v")).groupBy("code", "dim").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    """code, dim, n, s: members and sum of each coordinate. Each task adds up whole vectors by code; only its sums are taken apart. Rows without a code are left out."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, n, s = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            both, at = np.unique(np.concatenate([codes, b.column(0).to_numpy()]), return_inverse=True)
+            more, many = np.zeros((len(both), z.shape[1])), np.zeros(len(both), np.int64)
+            if s is not None:
+                more[at[: len(codes)]], many[at[: len(codes)]] = s, n
+            np.add.at(more, at[len(codes) :], z)
+            np.add.at(many, at[len(codes) :], 1)
+            codes, n, s = both, many, more
+        if s is not None:
+            for i in range(0, len(codes), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + ROWS]), pa.array(n[i : i + ROWS]), pa.array(list(s[i : i + ROWS]), pa.list_(pa.float64()))], ["code", "n", "s"])
+
+    d = assigned.where("code IS NOT NULL").select("code", F.col("z").cast("array<double>")).mapInArrow(added, "code bigint, n bigint, s array<double>")
+    return d.select("code", "n", F.posexplode("s").alias("dim", "s")).groupBy("code", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def ema(codebook: DataFrame, assigned: DataFrame, decay: float = 0.99, epsilon: float = 1e-5, start_size: float = 1.0) -> DataFrame:
@@ -129,3 +195,35 @@ def kmeans(vectors: DataFrame, codebook: DataFrame, iterations: int) -> DataFram
         new = new.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("new"))
         c = checkpoint(c.join(new, "code", "left").select("code", F.coalesce("new", "e").alias("e")))
     return c
+
+
+def kmeans_init(vectors: DataFrame, codebook: DataFrame, iterations: int = 15, seed: int = 42, key: str = "vec_id") -> DataFrame:
+    """code, e, ema_n, ema_sum, started: a codebook started from vectors (those of the first batches of a plan, say).
+
+    Codes in ascending order take the vectors of the least hash of seed and key; then follow ``iterations`` Lloyd
+    rounds. Moving averages start at one member, the centre itself. With fewer vectors than codes the codebook stays
+    as it is (started is false).
+    """
+    k = codebook.count()
+    v = vectors.where("z IS NOT NULL").select(key, "z")
+    first = v.select(key, "z", hash_key(seed, "kmeans", F.col(key)).alias("__h")).orderBy("__h", key).limit(k)
+    enough = first.count() >= k
+    c = codebook.select("code", "e")
+    if enough:
+        codes = row_numbers(c.select("code"), "code", out="__n")
+        c = codes.join(row_numbers(first, "__h", key, out="__n").select("__n", F.col("z").alias("e")), "__n").select("code", "e")
+        c = kmeans(v, c, iterations)
+    return c.select("code", "e", F.lit(1.0).alias("ema_n"), F.col("e").alias("ema_sum"), F.lit(enough).alias("started"))
+
+
+def revived(codebook: DataFrame, plan: DataFrame, vectors: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The codebook (code, e, and where it has them ema_n, ema_sum, usage) after a revival ``plan`` (code, key).
+
+    A revived code takes its vector, also as its moving average, with one member; the usage counter of every
+    code starts anew.
+    """
+    new = plan.join(vectors.select(key, F.col("z").alias("__new")), key).select("code", "__new")
+    d = codebook.join(new, "code", "left")
+    set_to = {"e": F.col("__new"), "ema_sum": F.col("__new"), "ema_n": F.when(F.col("__new").isNotNull(), F.lit(1.0))}
+    columns = [F.coalesce(set_to[c], F.col(c)).alias(c) if c in set_to else F.lit(0).cast("bigint").alias(c) if c == "usage" else F.col(c) for c in codebook.columns]
+    return d.select(*columns)

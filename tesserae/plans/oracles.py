@@ -57,8 +57,8 @@ SOFTPLUS = "(greatest({0}, 0.0) + ln(1 + exp(-abs({0}))))"
 SHARD_COLUMNS = "rank, local_no, batch_no, pos, image_id"
 
 
-def kmeans(n: int) -> str:
-    parts, c = [VECTORS], "cb"
+def kmeans(n: int, start: str = "") -> str:
+    parts, c = [VECTORS, start] if start else [VECTORS], "st" if start else "cb"
     for k in range(n):
         parts.append(near("v", c, f"t{k}"))
         parts.append(f"s{k} AS (SELECT code, d AS dim, avg(x) AS x FROM (SELECT code, unnest(range(1, 65)) AS d, unnest(z) AS x FROM t{k}) GROUP BY ALL)")
@@ -113,7 +113,11 @@ ORACLES = {
     "psnr_by_bucket": f"WITH {METRICS} SELECT label, round(avg(psnr), 6) AS psnr FROM m GROUP BY label",
     "feature_covariance": f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(z) AS x FROM v) SELECT p.i, q.i AS j, round(covar_samp(p.x, q.x), 6) AS cov FROM l p JOIN l q USING (vec_id) GROUP BY p.i, q.i",
     "eval_rollup": f"WITH {METRICS} SELECT label::VARCHAR AS bucket, count(*) AS num_images, round(avg(l1), 6) AS l1, round(avg(psnr), 6) AS psnr, label IS NULL OR count(*) >= 20 AS enough FROM m GROUP BY ROLLUP (label)",
-    "eval_report": f"""WITH {METRICS} SELECT label::VARCHAR AS bucket, count(*)::VARCHAR AS images, CASE WHEN count(*) >= 20 THEN printf('%.4f', round(avg(l1) / 2, 4)) ELSE 'n/a (few)' END AS rfid, printf('%.4f', avg(l1)) AS l1, printf('%.2f', avg(psnr)) AS psnr FROM m GROUP BY label""",
+    "kmeans_start": kmeans(2, "st AS (SELECT code, z AS e FROM (SELECT code, row_number() OVER (ORDER BY code) AS n FROM cb) JOIN (SELECT z, row_number() OVER (ORDER BY md5('42:kmeans:' || vec_id), vec_id) AS n FROM v) USING (n))"),
+    "revive_codes": f"""WITH {DEAD}, r AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS rn FROM dead WHERE window_no = 0),
+ x AS (SELECT z, row_number() OVER (ORDER BY md5('42:revive:' || vec_id), vec_id) - 1 AS vn, count(*) OVER () AS n FROM v WHERE vec_id // 100 = 0),
+ w AS (SELECT code, z FROM r JOIN x ON rn % n = vn)
+ SELECT cb.code, round(list_sum(coalesce(z, e)), 6) AS total, round(list_sum(coalesce(z, e)), 6) AS ema_total, CASE WHEN z IS NULL THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS ema_n, 0::BIGINT AS usage FROM cb LEFT JOIN w USING (code)""",
     "quick_validation": f"WITH {METRICS}, {plan('v', 'vec_id', 'label', False)}, x AS (SELECT batch_no, label, avg(l1) AS l1 FROM plan JOIN (SELECT vec_id, l1 FROM m) USING (vec_id) WHERE batch_no < 40 GROUP BY ALL) SELECT label::VARCHAR AS bucket, count(*) AS n_batches, round(avg(l1), 6) AS recon_l1 FROM x GROUP BY ROLLUP (label)",
     "telemetry_long": f"WITH {EVENTS} SELECT 'train/seconds' AS tag, step, seconds AS value FROM te UNION ALL SELECT 'train_bucket_' || bucket || '/seconds', step, seconds FROM te WHERE step % 50 = 0",
     "step_spikes": f"WITH {EVENTS}, x AS (SELECT *, avg(seconds) OVER (ORDER BY step ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS before FROM te) SELECT step, seconds, round(before, 6) AS before FROM x WHERE seconds > 5 * before",

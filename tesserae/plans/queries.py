@@ -276,8 +276,22 @@ def eval_rollup(spark, d):
 
 @query
 def eval_report(spark, d):
-    e = metrics.evaluation(image_metrics(spark, d))
-    return metrics.report(e.withColumn("rfid", F.when(F.col("enough"), F.round(F.col("l1") / 2, 4))))
+    return metrics.report(metrics.evaluate(image_metrics(spark, d), pairs(spark, d), code_histogram(spark, d)))
+
+
+@query
+def kmeans_start(spark, d):
+    c = vq.kmeans_init(X.vectors(spark, d), X.codebook(spark, d), 2, SEED)
+    return _long(c.where("started AND ema_n = 1 AND ema_sum = e"))
+
+
+@query
+def revive_codes(spark, d):
+    """The codebook after the revival check of the first window, with moving averages and counters."""
+    book = X.codebook(spark, d).select("code", "e", F.lit(5.0).alias("ema_n"), F.col("e").alias("ema_sum"), F.lit(9).cast("bigint").alias("usage"))
+    plan = revive_plan(spark, d).where("window_no = 0").select("code", "vec_id")
+    r = vq.revived(book, plan, X.vectors(spark, d))
+    return r.select("code", r6(S.array_sum(F.col("e"))).alias("total"), r6(S.array_sum(F.col("ema_sum"))).alias("ema_total"), "ema_n", "usage")
 
 
 @query

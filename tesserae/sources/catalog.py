@@ -5,15 +5,20 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ordering import row_numbers
 
 # The image suffixes.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
-HEAD = 1 << 18
+#: Bytes of a file that are read first; more follow until its header is found.
+HEAD = 1 << 15
 
 
 def is_image(path: Column) -> Column:
@@ -73,22 +78,33 @@ def image_size(head: bytes) -> tuple[int, int]:
     raise ValueError("no image header that is known")
 
 
-def with_sizes(files: DataFrame) -> DataFrame:
-    """Adds width and height to files of path, reading only the first bytes of each; a corrupt file fails the job."""
+def read_size(read) -> tuple[int, int]:
+    """(width, height) from ``read(n)``, the next bytes of a file: as many as its header needs, to the end if it must be."""
+    head = read(HEAD)
+    while True:
+        try:
+            return image_size(head)
+        except (ValueError, struct.error):
+            more = read(len(head)) if head else b""
+            if not more:
+                raise
+            head += more
+
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
+def with_sizes(files: DataFrame) -> DataFrame:
+    """Adds width and height to files of path, reading no more of each than its header needs; a corrupt file fails the job."""
 
-        for f in frames:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             sizes = []
-            for p in f["path"]:
+            for p in b.column("path").to_pylist():
                 store, at = fs.FileSystem.from_uri(p) if ":" in p.split("/", 1)[0] else (fs.LocalFileSystem(), p)
-                with store.open_input_stream(at) as s:
-                    sizes.append(image_size(s.read(HEAD)))
-            yield f.assign(width=[w for w, _ in sizes], height=[h for _, h in sizes])
+                with store.open_input_stream(at, compression=None) as s:
+                    sizes.append(read_size(s.read))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([w for w, _ in sizes], pa.int32()), pa.array([h for _, h in sizes], pa.int32())], [*b.schema.names, "width", "height"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.mapInPandas(read, f"{kinds}, width int, height int")
+    return files.mapInArrow(read, f"{kinds}, width int, height int")
 
 
 def load_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -97,5 +113,20 @@ def load_catalog(spark: SparkSession, root: str) -> DataFrame:
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:
-    """Decoded images (JVM readers: JPEG, PNG, BMP)."""
-    return spark.read.format("image").option("recursiveFileLookup", "true").load(root)
+    """path, width, height, rgb of decoded images (JVM readers: JPEG, PNG, BMP; no WebP): three bytes a pixel, row by row, whatever the file's mode.
+
+    Files that the readers can't decode fail here, as they are dropped silently otherwise.
+    """
+    d = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select("image.*")
+
+    @F.pandas_udf(T.BinaryType())
+    def rgb(data: pd.Series, channels: pd.Series, origin: pd.Series) -> pd.Series:
+        out = []
+        for x, n, name in zip(data, channels, origin, strict=True):
+            if n not in (1, 3, 4):
+                raise ValueError(f"{name} can't be decoded")
+            p = np.frombuffer(x, np.uint8).reshape(-1, n)
+            out.append((p[:, 2::-1] if n > 1 else np.repeat(p, 3, 1)).tobytes())  # the readers give BGR
+        return pd.Series(out)
+
+    return d.select(F.col("origin").alias("path"), "width", "height", rgb("data", "nChannels", "origin").alias("rgb"))

@@ -141,6 +141,50 @@ def test_assign_ties_go_to_the_least_code(spark):
     assert vq.assign(v, codes(spark)).first().code == 0
 
 
+def test_assign_of_null_vectors_and_empty_codebooks(spark):
+    v = spark.createDataFrame([(0, [0.9, 0.9]), (1, None), (2, [2.2, 2.0])], "vec_id bigint, z array<double>")
+    a = vq.assign(v, codes(spark))
+    assert {r.vec_id: r.code for r in a.collect()} == {0: 1, 1: None, 2: 2}
+    assert {(r.code, r.dim): (r.n, r.s) for r in vq.sums(a).collect()} == {(1, 0): (1, 0.9), (1, 1): (1, 0.9), (2, 0): (1, 2.2), (2, 1): (1, 2.0)}
+    assert vq.assign(v.where("vec_id = 1"), codes(spark)).first().code is None
+    with pytest.raises(ValueError, match="empty"):
+        vq.assign(v, codes(spark).limit(0))
+
+
+def test_kmeans_start(spark):
+    v = spark.createDataFrame([(i, [float(i % 5), 1.0]) for i in range(40)], "vec_id bigint, z array<double>")
+    few = vq.kmeans_init(v.limit(3), codes(spark)).collect()
+    assert {r.code: list(r.e) for r in few} == {i: [float(i)] * 2 for i in range(4)} and not any(r.started for r in few)
+    zero = {tuple(r.e) for r in vq.kmeans_init(v, codes(spark), 0).collect()}
+    many = vq.kmeans_init(v, codes(spark), 3).collect()
+    assert zero <= {(float(i), 1.0) for i in range(5)} and len(many) == 4
+    assert all(r.started and r.ema_n == 1 and r.ema_sum == r.e for r in many)
+
+
+def test_revived_codes_start_anew(spark):
+    book = codes(spark).withColumns({"ema_n": F.lit(9.0), "ema_sum": F.col("e"), "usage": F.lit(3).cast("bigint")})
+    v = spark.createDataFrame([(7, [0.5, 0.25])], "vec_id bigint, z array<double>")
+    got = {r.code: (list(r.e), r.ema_n, list(r.ema_sum), r.usage) for r in vq.revived(book, spark.createDataFrame([(2, 7)], "code bigint, vec_id bigint"), v).collect()}
+    assert got[2] == ([0.5, 0.25], 1.0, [0.5, 0.25], 0) and got[1] == ([1.0, 1.0], 9.0, [1.0, 1.0], 0)
+
+
+def test_images_to_tokens_and_back(spark):
+    """An encoder that takes the mean of 2 x 2 patches, and a decoder that repeats it."""
+
+    def encoder():
+        return lambda x: np.stack([x.reshape(-1, 2, 2, 3, 2).mean((2, 4))] * 2, 1)
+
+    def decoder():
+        return lambda z: z[:, 0].repeat(2, 1).repeat(2, 2)
+
+    image = np.kron([[0, 1, 2], [3, 2, 0]], np.ones((2, 2)))
+    d = spark.createDataFrame([(0, image.ravel().tolist())], "image_id bigint, pixels array<double>")
+    t = infer.encode(d, "pixels", encoder, [4, 6], codes(spark), 2, 3)
+    assert t.first().codes == [[0, 1, 2], [3, 2, 0]]
+    back = infer.decode(t, "codes", decoder, [2, 2, 3], codes(spark)).first().image
+    assert np.array_equal(np.reshape(back, (4, 6)), image)
+
+
 def test_ema_of_unvisited_codes(spark):
     c, v = codes(spark), spark.createDataFrame([(0, [1.0, 1.0])], "vec_id bigint, z array<double>")
     a = vq.assign(v, c)
@@ -174,10 +218,55 @@ def test_revival_by_window(spark):
     assert got[0, 1] != got[0, 2] and {got[0, 1], got[0, 2]} <= {0, 1, 2} and {got[1, c] for c in (0, 2, 3)} == {10}
 
 
-def test_report_of_small_buckets(spark):
-    m = spark.createDataFrame([(0, 0.25, 30.0)] * 20 + [(1, 0.5, 20.0)], "label long, l1 double, psnr double")
-    e = metrics.evaluation(m).withColumn("rfid", F.when(F.col("enough"), F.lit(1.5)))
-    assert [tuple(r) for r in metrics.report(e).collect()] == [("0", "20", "1.5000", "0.2500", "30.00"), ("1", "1", "n/a (few)", "0.5000", "20.00")]
+def plain_frechet(x, y):
+    """By the eigenvalues of the product of the covariances."""
+    a, b = np.cov(x, rowvar=False), np.cov(y, rowvar=False)
+    root = np.sqrt(np.maximum(np.linalg.eigvals(a @ b).real, 0)).sum()
+    return ((x.mean(0) - y.mean(0)) ** 2).sum() + np.trace(a) + np.trace(b) - 2 * root
+
+
+def test_evaluation_against_plain_numbers(spark):
+    rng = np.random.default_rng(3)
+    label = np.repeat([0, 1, 2], [40, 25, 19])
+    x = rng.uniform(-1, 1, (84, 6))
+    y = np.clip(x + rng.normal(0, 0.1, x.shape), -1, 1)
+    p = spark.createDataFrame([(int(g), a.tolist(), b.tolist()) for g, a, b in zip(label, x, y, strict=True)], "label long, x array<double>, y array<double>").repartition(5)
+    m = p.select("label", S.mean_abs_diff(F.col("x"), F.col("y")).alias("l1"), S.psnr(F.col("x"), F.col("y")).alias("psnr"), F.lit(0.5).alias("perceptual"))
+    hist = spark.createDataFrame([(0, 5), (1, 0), (2, 0)], "code long, n long")
+    got = {r.bucket: r for r in metrics.evaluate(m, p, hist).collect()}
+    for g in (0, 1, 2, None):
+        k = label >= 0 if g is None else label == g
+        r = got[None if g is None else str(g)]
+        mse = ((x[k] - y[k]) ** 2).mean(1) / 4
+        assert r.num_images == k.sum() and abs(r.l1 - np.abs(x[k] - y[k]).mean()) < 1e-9 and abs(r.psnr - (10 * np.log10(1 / mse)).mean()) < 1e-9 and r.perceptual == 0.5
+        assert r.rfid is None if g == 2 else abs(r.rfid - plain_frechet(x[k], y[k])) < 1e-8
+        assert (r.usage, r.is_low) == ((1 / 3, True) if g is None else (None, None))
+    lines = [tuple(r) for r in metrics.report(metrics.evaluate(m, p, hist)).collect()]
+    assert [x[0] for x in lines] == ["0", "1", "2", "overall"] and lines[2][2] == "n/a (few)" and lines[3][5] == "0.3333 (low)" and lines[0][5] == ""
+    with pytest.raises(ValueError, match="no images"):
+        metrics.evaluate(m.limit(0), p.limit(0), hist)
+
+
+def test_report_query_shows_the_real_distance(spark):
+    from conftest import SF
+
+    from tesserae.plans.queries import QUERIES
+
+    rfid = {r.bucket or "overall": r.rfid for r in QUERIES["frechet"](spark, SF).collect()}
+    rows = QUERIES["eval_report"](spark, SF).collect()
+    assert len(rows) == len(rfid) and all(r.rfid == ("n/a (few)" if rfid[r.bucket] is None else f"{rfid[r.bucket]:.4f}") for r in rows)
+    assert any(v for v in rfid.values()) and rows[-1].codebook == "1.0000"
+
+
+def test_moments_of_wide_features_come_as_one_row_a_group(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 300))
+    d = spark.createDataFrame([("ab"[i % 2], r.tolist()) for i, r in enumerate(x)] + [("a", None)], "g string, z array<double>").repartition(6)
+    sums = metrics.moment_sums(d, ["z"], "g")
+    assert sorted((r.whole, r.g or "") for r in sums.select("whole", "g").collect()) == [(False, "a"), (False, "b"), (True, "")]
+    got = {(r.i, r["j"]): r["cov"] for r in metrics.covariance(d).collect()}
+    want = np.cov(x, rowvar=False)
+    assert len(got) == 90_000 and all(abs(got[i, k] - want[i, k]) < 1e-9 for i, k in [(0, 0), (3, 299), (299, 3), (150, 20)])
 
 
 def test_frechet_closed_forms():
@@ -241,6 +330,25 @@ def test_image_headers():
         catalog.image_size(b"none")
 
 
+def test_headers_behind_long_segments(spark, tmp_path):
+    long = b"\xff\xe2" + struct.pack(">H", 65535) + b"\0" * 65533
+    whole = jpeg(640, 480)
+    (tmp_path / "x.jpg").write_bytes(whole[:20] + long * 17 + whole[20:] + b"\xff\xd9")
+    (tmp_path / "y.png").write_bytes(png(3, 4))
+    got = {r.path[-5:]: (r.width, r.height) for r in catalog.load_catalog(spark, str(tmp_path)).collect()}
+    assert got == {"x.jpg": (640, 480), "y.png": (3, 4)}
+    with pytest.raises((ValueError, struct.error)):
+        parts = [b"", b"\xff\xd8\xff"]
+        catalog.read_size(lambda n: parts.pop())
+
+
+def test_decoded_images_are_rgb(spark, tmp_path):
+    head = b"BM" + struct.pack("<IHHI", 54 + 8, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 1, 1, 24, 0, 8, 0, 0, 0, 0)
+    (tmp_path / "x.bmp").write_bytes(head + bytes([0, 0, 255, 255, 0, 0, 0, 0]))  # red, blue as BGR
+    r = catalog.images(spark, str(tmp_path)).first()
+    assert (r.width, r.height, bytes(r.rgb)) == (2, 1, bytes([255, 0, 0, 0, 0, 255]))
+
+
 def test_catalog_of_a_folder(spark, tmp_path):
     for name, data in {"a-b/x.PNG": png(64, 32), "a/x.bmp": bmp(30, 30), "a/n.txt": b"", "a/.hid.png": png(1, 1), "a/_u.png": png(1, 1)}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
