@@ -8,7 +8,8 @@ coverage is the share of its tokens under tiles. As tiles may stand in any order
 passages count in full. A document is contaminated if an item is covered to ``COVERAGE``.
 
 1. A bitmap of the items' seeds (``BITS_A_SEED`` bits each, 2 ** ``MOST_BITS`` at most: 64 MB; it only saves
-   work, so a larger benchmark costs more candidates, never a match) is built by tasks and sent to all.
+   work, so a larger benchmark costs more candidates, never a match; a text without a seed of the benchmark
+   passes it with a chance of a few per thousand) is built by tasks and sent to all.
 2. One pass over the documents, whatever the size of the benchmark, keeps the texts with a seed
    in the bitmap, equal texts once, with those seeds.
 3. Seeds join the items that have them; the distinct pairs of text and item are tiled, a text with one
@@ -42,7 +43,7 @@ from .common import checkpoint, read_table
 from .op2_minhash_dedup import run_hashes
 
 SEED, COVERAGE, FEW = 5, 0.5, 200_000
-BITS_A_SEED, MOST_BITS = 16, 29
+BITS_A_SEED, MOST_BITS = 32, 29
 _WORD = re.compile(r"\w+")
 _B = np.uint64(0x5851F42D4C957F2D)
 
@@ -135,12 +136,12 @@ def covered(doc: list[str], item: list[str], seed: int = SEED) -> tuple[int, int
     return len(t), sum(x[2] for x in t)
 
 
-_SHIFTS = (0, 17, 35)
+_SHIFTS = (0, 5, 10, 15, 20, 25, 30, 35)
 
 
 def _probe(h: np.ndarray, bits: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte and bit of hashes in a bitmap."""
-    p = (h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+    p = ((h >> np.uint64(shift)) * np.uint64(0x9E3779B97F4A7C15 + 2 * shift) >> np.uint64(64 - bits)) & np.uint64((1 << bits) - 1)
     return (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)
 
 
