@@ -11,11 +11,24 @@ from .ordering import rolling
 WINDOW, SPIKE = 50, 5.0
 
 
-def scalars(steps: DataFrame, log_every: int = 50) -> DataFrame:
-    """tag, step, value: each step's seconds, and every log_every steps those of the step's bucket."""
-    all_ = steps.select(F.lit("train/seconds").alias("tag"), "step", F.col("seconds").alias("value"))
-    some = steps.where(every(F.col("step"), log_every)).select(F.concat(F.lit("train_bucket_"), "bucket", F.lit("/seconds")).alias("tag"), "step", F.col("seconds").alias("value"))
-    return all_.unionByName(some)
+def scalars(steps: DataFrame, log_every: int = 50, always=("seconds",), logged=(), bucketed=("seconds",), system=()) -> DataFrame:
+    """tag, step, value, in one pass over the steps.
+
+    The columns ``always`` (train/*) and ``system`` (system/*) give a row for each step, ``logged`` (train/*)
+    and ``bucketed`` (train_bucket_<bucket>/*) for each step that log_every divides. Null values give none.
+    """
+    due = every(F.col("step"), log_every)
+    value = lambda prefix, c: F.struct(F.concat(prefix, F.lit(f"/{c}")).alias("tag"), F.col(c).cast("double").alias("value"))
+    now = [value(F.lit(k), c) for k, columns in (("train", always), ("system", system)) for c in columns]
+    then = [value(F.lit("train"), c) for c in logged] + [value(F.concat(F.lit("train_bucket_"), "bucket"), c) for c in bucketed]
+    rows = steps.select("step", F.explode(F.array(*now, *(F.when(due, x) for x in then))).alias("row"))
+    return rows.where("row.value IS NOT NULL").select("row.tag", "step", "row.value")
+
+
+def validation_scalars(validated: DataFrame, step: int) -> DataFrame:
+    """tag, step, value of ``metrics.quick_validation``'s rows: val/recon_l1, and val_bucket_<bucket>/recon_l1 for each bucket."""
+    of = F.when(F.col("bucket").isNull(), F.lit("val")).otherwise(F.concat(F.lit("val_bucket_"), "bucket"))
+    return validated.select(F.concat(of, F.lit("/recon_l1")).alias("tag"), F.lit(step).cast("bigint").alias("step"), F.col("recon_l1").alias("value"))
 
 
 def write_scalars(rows: DataFrame, path: str) -> None:

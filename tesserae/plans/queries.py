@@ -307,6 +307,25 @@ def telemetry_long(spark, d):
     return telemetry.scalars(X.telemetry(spark, d))
 
 
+@query
+def telemetry_families(spark, d):
+    """Tags of each step (seconds, epoch) and of each 50th (learning rate, seconds of the bucket)."""
+    t = X.telemetry(spark, d).withColumn("epoch", F.floor(F.col("step") / 3000)).withColumn("lr_generator", F.round(S.warmup(F.col("step"), 1500), 6))
+    return telemetry.scalars(t, always=("seconds", "epoch"), logged=("lr_generator",))
+
+
+@query
+def validation_scalars(spark, d):
+    return telemetry.validation_scalars(quick_validation(spark, d), 2000)
+
+
+@query
+def checkpoint_json(spark, d):
+    """Checkpoints as JSON text and read back."""
+    c = X.checkpoints(spark, d).select(F.to_json(F.struct("step", "epoch", "batch_offset")).alias("text"))
+    return c.select("text", F.from_json("text", "step bigint, epoch bigint, batch_offset bigint").alias("c")).select("text", "c.step", "c.batch_offset")
+
+
 @query
 def step_spikes(spark, d):
     return telemetry.spikes(X.telemetry(spark, d)).select("step", "seconds", r6("before").alias("before"))

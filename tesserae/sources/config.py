@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import argparse
 import json
 import os
-from dataclasses import asdict, dataclass, field, replace
+import uuid
+from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.buckets import DEFAULT
 
@@ -90,6 +93,29 @@ CRITICAL = (
 )
 
 
+# Command-line flags that set a value. Each sets the field of its name in all sections that have one.
+VALUE_FLAGS = (
+    "train-dir", "val-dir", "output-dir", "target-epochs", "batch-size", "accumulation-steps", "lr-generator", "lr-discriminator", "num-workers", "seed", "resume-from",
+    "codebook-size", "discriminator-start-step", "lambda-perceptual", "lambda-adv", "commitment-beta", "dead-code-revival-every", "codebook-init", "kmeans-init-batches",
+    "kmeans-init-iters", "lr-warmup-steps", "log-every", "image-log-every", "checkpoint-every", "val-every",
+)
+CHOICES = {"codebook-init": ("uniform", "kmeans")}
+
+# Flags without a value, the field of each and what it becomes. None turns its field back.
+SWITCHES = {"use-ema": ("use_ema", True), "dead-code-revival": ("dead_code_revival", True), "no-mixed-precision": ("mixed_precision", False), "no-grad-checkpointing": ("grad_checkpointing", False)}
+
+
+def _checked(section: str, kind: type, values: dict) -> dict:
+    """values, if each is of the type of its field's default; whole numbers also pass for fractions."""
+    for f in fields(kind):
+        if f.name in values:
+            default = getattr(kind(), f.name)
+            wanted = {float: (int, float), tuple: (list, tuple), list: (list, tuple)}.get(type(default), type(default))
+            if not isinstance(v := values[f.name], wanted) or isinstance(v, bool) is not isinstance(default, bool):
+                raise TypeError(f"{section}.{f.name} is {v!r}, but should be of type {type(default).__name__}")
+    return values
+
+
 @dataclass(frozen=True)
 class Config:
     model: Model = field(default_factory=Model)
@@ -99,8 +125,8 @@ class Config:
 
     @classmethod
     def parse(cls, tree: dict) -> Config:
-        """Missing keys take defaults; an unknown key of a section raises TypeError."""
-        return cls(**{name: kind(**tree.get(name, {})) for name, kind in SECTIONS.items()})
+        """Missing keys take defaults; an unknown key of a section, or a value of another type, raises TypeError."""
+        return cls(**{name: kind(**_checked(name, kind, tree.get(name, {}))) for name, kind in SECTIONS.items()})
 
     def tree(self) -> dict:
         return asdict(self)
@@ -113,13 +139,23 @@ def load(path: str | None = None, default: str | None = None) -> Config:
     return Config()
 
 
-def save(config: Config, path: str) -> None:
-    """Writes beside the file, then renames."""
+def write_whole(path: str, text: str) -> None:
+    """Puts text at path so that readers, and a crash, find either the old file or the new one: a file of its own beside it, on disk before it takes the name."""
     p = Path(path)
     p.parent.mkdir(parents=True, exist_ok=True)
-    new = p.with_name(p.name + ".tmp")
-    new.write_text(json.dumps(config.tree(), indent=2), encoding="utf-8")
-    os.replace(new, p)
+    new = p.with_name(f".{p.name}.{uuid.uuid4().hex}")
+    try:
+        with open(new, "w", encoding="utf-8") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(new, p)
+    finally:
+        new.unlink(missing_ok=True)
+
+
+def save(config: Config, path: str) -> None:
+    write_whole(path, json.dumps(config.tree(), indent=2))
 
 
 def sync(config: Config, path: str) -> bool:
@@ -166,6 +202,39 @@ def cli_override(config: Config, flags: dict[str, object]) -> Config:
     return config
 
 
+def _places(name: str) -> list[str]:
+    return [f"{s}.{name}" for s, kind in SECTIONS.items() if name in kind.__dataclass_fields__]
+
+
+def command_line(argv: list[str], default: str | None = None) -> tuple[Config, bool, str | None]:
+    """The configuration of --config (else of default) under the flags that are given, whether to start afresh, and the file's path."""
+    p = argparse.ArgumentParser(argument_default=argparse.SUPPRESS, allow_abbrev=False)
+    p.add_argument("--config", default=None)
+    p.add_argument("--fresh", action="store_true", default=False)
+    plain = Config().tree()
+    for flag in VALUE_FLAGS:
+        section, name = _places(flag.replace("-", "_"))[0].split(".")
+        p.add_argument(f"--{flag}", type=type(plain[section][name]), choices=CHOICES.get(flag))
+    for flag, (name, value) in SWITCHES.items():
+        p.add_argument(f"--{flag}", dest=name, action="store_const", const=value)
+    given = vars(p.parse_args(argv))
+    path, fresh = given.pop("config"), given.pop("fresh")
+    return cli_override(load(path, default), {place: v for name, v in given.items() for place in _places(name)}), fresh, path or default
+
+
+def _spark_type(value) -> T.DataType:
+    if isinstance(value, dict):
+        return T.StructType([T.StructField(k, _spark_type(v)) for k, v in value.items()])
+    if isinstance(value, list | tuple):
+        return T.ArrayType(_spark_type(value[0]))
+    return {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}[type(value)]
+
+
+def schema() -> T.StructType:
+    """A configuration tree as a Spark type, for from_json."""
+    return _spark_type(Config().tree())
+
+
 def ranks(env=os.environ) -> tuple[int, int, int]:
     """(local rank, rank, world size) of a launcher's environment; a single process without one."""
     return int(env.get("LOCAL_RANK", "0")), int(env.get("RANK", "0")), int(env.get("WORLD_SIZE", "1"))

@@ -384,6 +384,50 @@ def test_checkpoint_manifest(spark, tmp_path):
     assert checkpoints.find_resume(spark, m, fresh=True) is None
 
 
+def test_manifest_rows_appear_whole_and_carry_configurations(spark, tmp_path):
+    m = tmp_path / "manifest"
+    c = config.cli_override(config.Config(), {"model.codebook_size": 64, "train.seed": 7})
+    checkpoints.append(spark, str(m), 10, 0, 80, "step_10", c)
+    assert [p.name.split("-")[:2] for p in m.iterdir() if not p.name.startswith(".")] == [["checkpoint", "10"]]
+    row = checkpoints.with_config(checkpoints.read(spark, str(m))).first().config.asDict(True)
+    assert row == {**c.tree(), "model": {**c.tree()["model"], "channel_mults": list(c.model.channel_mults)}}
+
+
+def test_configuration_types(tmp_path):
+    assert config.Config.parse({"loss": {"lambda_adv": 1}}).loss.lambda_adv == 1
+    for section, key, value in (("model", "codebook_size", "64"), ("model", "use_ema", 1), ("train", "seed", True), ("train", "seed", 1.5), ("data", "train_dir", None), ("model", "no_such", 1)):
+        with pytest.raises(TypeError):
+            config.Config.parse({section: {key: value}})
+    path = tmp_path / "a" / "config.json"
+    for c in (config.Config(), config.cli_override(config.Config(), {"train.seed": 7})):
+        config.save(c, str(path))
+        assert config.load(str(path)) == c
+    assert [p.name for p in path.parent.iterdir()] == ["config.json"]
+
+
+def test_command_line(tmp_path):
+    path = str(tmp_path / "c.json")
+    config.save(config.cli_override(config.Config(), {"model.use_ema": True, "train.seed": 7}), path)
+    c, fresh, at = config.command_line(["--config", path, "--num-workers", "3", "--lambda-adv", "0.5", "--no-mixed-precision", "--dead-code-revival", "--codebook-init", "kmeans"])
+    assert (fresh, at) == (False, path)
+    assert (c.data.num_workers, c.train.num_workers, c.loss.lambda_adv, c.train.seed) == (3, 3, 0.5, 7)
+    assert (c.model.use_ema, c.model.dead_code_revival, c.train.mixed_precision, c.train.grad_checkpointing) == (True, True, False, True)
+    assert c.model.codebook_init == "kmeans"
+    assert config.command_line(["--fresh"], path)[0].train.seed == 7
+    assert config.command_line(["--fresh"]) == (config.Config(), True, None)
+    for bad in (["--codebook-init", "zeros"], ["--mixed-precision"], ["--seed", "x"]):
+        with pytest.raises(SystemExit):
+            config.command_line(bad)
+
+
+def test_scalar_families(spark):
+    t = spark.createDataFrame([(49, "a", 1.0, 2.0, None, 5.0), (50, "b", 3.0, 4.0, 0.5, 6.0)], "step bigint, bucket string, perplexity double, recon_loss double, vram double, lr double")
+    got = {(r.tag, r.step, r.value) for r in telemetry.scalars(t, 50, ("perplexity",), ("lr",), ("recon_loss",), ("vram",)).collect()}
+    assert got == {("train/perplexity", 49, 1.0), ("train/perplexity", 50, 3.0), ("system/vram", 50, 0.5), ("train/lr", 50, 6.0), ("train_bucket_b/recon_loss", 50, 4.0)}
+    v = spark.createDataFrame([("a", 1, 0.5), (None, 1, 0.25)], "bucket string, n_batches bigint, recon_l1 double")
+    assert {tuple(r) for r in telemetry.validation_scalars(v, 9).collect()} == {("val_bucket_a/recon_l1", 9, 0.5), ("val/recon_l1", 9, 0.25)}
+
+
 def test_scalar_sink(spark, tmp_path):
     rows = spark.createDataFrame([("train/a", 1, 0.5), ("val/b", 1, 2.0)], "tag string, step bigint, value double")
     for _ in range(2):
