@@ -72,19 +72,22 @@ def measure(docs: DataFrame) -> DataFrame:
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     d = d.withColumns({"__words": F.array_remove(F.split(text, SPACE), ""), "__lines": F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)})
     words = F.col("__words")
-    window = lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p"))
-    spaces = sum((_count(text, c) for c in " \t\n\x0b\x0c\r"), F.lit(0).cast("long"))
+    window = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
     d = d.select(
         "doc_id",
         F.size("__words").cast("long").alias("n_words"),
-        (F.length(text) - spaces).alias("word_chars"),
-        sum((_count(text, c) for c in SYMBOLS), F.lit(0).cast("long")).alias("n_symbols"),
+        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         _count(text, "!").alias("n_exclaims"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("__words")).cast("long").alias("n_distinct_words"),
-        F.sort_array(F.slice(F.transform(words, window), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))).alias("__sorted"),
+        F.slice(F.transform(words, window), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))).alias("__windows"),
     )
+    h = F.col("__windows")
+    placed = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
+    # most texts repeat no window and need no sort
+    d = d.withColumn("__sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(placed)))
     s = F.col("__sorted")
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     d = d.withColumn("__again", F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))))
@@ -95,7 +98,7 @@ def measure(docs: DataFrame) -> DataFrame:
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"].cast("long"),
     )
-    return d.withColumn("n_repeat_words", seen).drop("__sorted", "__again")
+    return d.withColumn("n_repeat_words", F.coalesce(seen, F.lit(0).cast("long"))).drop("__windows", "__sorted", "__again")
 
 
 def ledger(docs: DataFrame, rules=RULES) -> DataFrame:
