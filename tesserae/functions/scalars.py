@@ -48,6 +48,13 @@ def denormalize(values: Column) -> Column:
     return F.transform(values, unit_range)
 
 
+def side_by_side(x: Column, y: Column, width: int) -> Column:
+    """One image with the rows of x, each followed by the same row of y; both are flat, in rows of ``width`` values."""
+    row = lambda v, r: F.slice(v, r * width + 1, F.lit(width))
+    rows = F.filter(F.sequence(F.lit(0), F.floor(F.size(x) / width).cast("int")), lambda r: r * width < F.size(x))
+    return F.flatten(F.transform(rows, lambda r: F.concat(row(x, r), row(y, r))))
+
+
 def array_sum(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 

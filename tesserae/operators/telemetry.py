@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import every, warmup
+from ..functions.scalars import denormalize, every, side_by_side, warmup
 from .ordering import rolling
 
 WINDOW, SPIKE = 50, 5.0
@@ -31,6 +31,13 @@ def validation_scalars(validated: DataFrame, step: int) -> DataFrame:
     return validated.select(F.concat(of, F.lit("/recon_l1")).alias("tag"), F.lit(step).cast("bigint").alias("step"), F.col("recon_l1").alias("value"))
 
 
+def image_grids(pairs: DataFrame, key: str, width: int, most: int = 4, bucket: str = "train") -> DataFrame:
+    """tag, key, width, pixels of the first images by key: each input beside its reconstruction (columns x and y, flat, in [-1, 1]), as values in [0, 1]."""
+    first = pairs.orderBy(key).limit(most)
+    pixels = side_by_side(denormalize(F.col("x")), denormalize(F.col("y")), width)
+    return first.select(F.lit(f"{bucket}/input_vs_reconstruction").alias("tag"), key, F.lit(2 * width).alias("width"), pixels.alias("pixels"))
+
+
 def write_scalars(rows: DataFrame, path: str) -> None:
     """Appends to a table that is partitioned by tag."""
     rows.write.mode("append").partitionBy("tag").parquet(path)

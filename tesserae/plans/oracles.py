@@ -122,6 +122,8 @@ ORACLES = {
     "validation_scalars": f"WITH {METRICS}, {plan('v', 'vec_id', 'label', False)}, x AS (SELECT batch_no, label, avg(l1) AS l1 FROM plan JOIN (SELECT vec_id, l1 FROM m) USING (vec_id) WHERE batch_no < 40 GROUP BY ALL) SELECT CASE WHEN label IS NULL THEN 'val' ELSE 'val_bucket_' || label::VARCHAR END || '/recon_l1' AS tag, 2000::BIGINT AS step, round(avg(l1), 6) AS value FROM x GROUP BY ROLLUP (label)",
     "telemetry_families": f"""WITH {EVENTS}, s AS (SELECT *, step // 3000 AS epoch, round(least(1.0, (step + 1) / 1500), 6) AS lr FROM te) SELECT 'train/seconds' AS tag, step, seconds AS value FROM s UNION ALL SELECT 'train/epoch', step, epoch::DOUBLE FROM s
  UNION ALL SELECT 'train/lr_generator', step, lr FROM s WHERE step % 50 = 0 UNION ALL SELECT 'train_bucket_' || bucket || '/seconds', step, seconds FROM s WHERE step % 50 = 0""",
+    "image_grid": f"""WITH {TOKENS}, f AS (SELECT * FROM tok ORDER BY vec_id LIMIT 4), i AS (SELECT *, unnest(range(0, 128)) AS i FROM f)
+ SELECT 'train/input_vs_reconstruction' AS tag, vec_id, i, round((greatest(-1.0, least(1.0, CASE WHEN i % 16 < 8 THEN z[i // 16 * 8 + i % 16 + 1] ELSE e[i // 16 * 8 + i % 16 - 7] END)) + 1) / 2, 6) AS value FROM i""",
     "checkpoint_json": f"WITH {CHECKPOINTS} SELECT to_json({{'step': step, 'epoch': epoch, 'batch_offset': batch_offset}})::VARCHAR AS text, step, batch_offset FROM ck",
     "telemetry_long": f"WITH {EVENTS} SELECT 'train/seconds' AS tag, step, seconds AS value FROM te UNION ALL SELECT 'train_bucket_' || bucket || '/seconds', step, seconds FROM te WHERE step % 50 = 0",
     "step_spikes": f"WITH {EVENTS}, x AS (SELECT *, avg(seconds) OVER (ORDER BY step ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS before FROM te) SELECT step, seconds, round(before, 6) AS before FROM x WHERE seconds > 5 * before",

@@ -319,6 +319,13 @@ def validation_scalars(spark, d):
     return telemetry.validation_scalars(quick_validation(spark, d), 2000)
 
 
+@query
+def image_grid(spark, d):
+    """Vectors stand in for images of 8 x 8."""
+    g = telemetry.image_grids(pairs(spark, d), "vec_id", 8)
+    return g.select("tag", "vec_id", F.posexplode("pixels").alias("i", "v")).select("tag", "vec_id", F.col("i").cast("bigint").alias("i"), r6("v").alias("value"))
+
+
 @query
 def checkpoint_json(spark, d):
     """Checkpoints as JSON text and read back."""

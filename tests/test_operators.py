@@ -420,6 +420,13 @@ def test_command_line(tmp_path):
             config.command_line(bad)
 
 
+def test_images_side_by_side(spark):
+    d = spark.createDataFrame([(2, [1.0] * 4, [-1.0] * 4), (1, [-1.0, 1.0, 0.0, 3.0], [1.0, -1.0, -3.0, 0.0]), (3, [], [])], "id bigint, x array<double>, y array<double>")
+    got = {r.id: (r.width, r.pixels) for r in telemetry.image_grids(d, "id", 2).collect()}
+    assert got == {1: (4, [0.0, 1.0, 1.0, 0.0, 0.5, 1.0, 0.0, 0.5]), 2: (4, [1.0, 1.0, 0.0, 0.0] * 2), 3: (4, [])}
+    assert [r.id for r in telemetry.image_grids(d, "id", 2, most=2).collect()] == [1, 2]
+
+
 def test_scalar_families(spark):
     t = spark.createDataFrame([(49, "a", 1.0, 2.0, None, 5.0), (50, "b", 3.0, 4.0, 0.5, 6.0)], "step bigint, bucket string, perplexity double, recon_loss double, vram double, lr double")
     got = {(r.tag, r.step, r.value) for r in telemetry.scalars(t, 50, ("perplexity",), ("lr",), ("recon_loss",), ("vram",)).collect()}
