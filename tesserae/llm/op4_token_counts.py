@@ -61,6 +61,20 @@ class Counter:
         self.kept: dict[str, int] = {}
 
     def word(self, w: str) -> int:
+        return self.known_word(w) if self.single.issuperset(w) else self.any_word(w)
+
+    def known_word(self, w: str) -> int:
+        """Of a word whose characters are all pieces: each place is the end of one, and nothing is unknown."""
+        best, num = [-math.inf] * (len(w) + 1), [0] * (len(w) + 1)
+        best[0] = 0.0
+        for end, (size, score) in self.automaton.iter(w):
+            start, end = end + 1 - size, end + 1
+            s = best[start] + score
+            if s > best[end]:
+                best[end], num[end] = s, num[start] + 1
+        return num[-1]
+
+    def any_word(self, w: str) -> int:
         n = len(w)
         single, unknown, by_bytes = self.single, self.unknown, self.bytes
         best: list[float] = [0.0] * (n + 1)
