@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import checkpoint, delete, fresh_path, shared_dir
 
-__all__ = ["SPACE", "checkpoint", "delete", "fresh_path", "partitions", "read_table", "shared_dir", "text_bytes"]
+__all__ = ["CRC_TABLE_SQL", "SPACE", "checkpoint", "crc_sql", "delete", "fresh_path", "partitions", "read_table", "shared_dir", "text_bytes"]
 
 #: Java and DuckDB pattern of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -29,3 +29,12 @@ def text_bytes(name: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: DuckDB: the table of CRC-32 by bytes, for a relation crc(t).
+CRC_TABLE_SQL = "SELECT list_transform(range(256), lambda x: list_reduce([x::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))) AS t"
+
+
+def crc_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of an ASCII text, where t is the table's column."""
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({text}, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])))"
