@@ -57,6 +57,28 @@ SOFTPLUS = "(greatest({0}, 0.0) + ln(1 + exp(-abs({0}))))"
 SHARD_COLUMNS = "rank, local_no, batch_no, pos, image_id"
 
 
+def resized(out: str, source: str, size: str, new: str, offset: str, places: str, keep: str) -> str:
+    """Weights of a bicubic pass along one side, in whole numbers, and what it makes of ``source`` (image_id, {keep}, j, v) at ``places`` from ``offset`` on."""
+    x = "abs((j + 0.5 - (i + 0.5) * {0} / {1}) / greatest({0} / {1}, 1.0))".format(size, new)
+    return f"""{out}_k AS (SELECT {size}, {new}, i, j, CASE WHEN x < 1 THEN (1.5 * x - 2.5) * x * x + 1 WHEN x < 2 THEN ((2.5 - 0.5 * x) * x - 4) * x + 2 ELSE 0.0 END AS k FROM (
+   SELECT {size}, {new}, i, j, {x} AS x FROM (SELECT {size}, {new}, i, unnest(range({size})) AS j FROM (SELECT {size}, {new}, unnest(range({new})) AS i FROM (SELECT DISTINCT {size}, {new} FROM pl))))),
+ {out}_w AS (SELECT {size}, {new}, i, j, (floor(abs(n) * 4194304 + 0.5) * sign(n))::BIGINT AS k FROM (SELECT *, k / sum(k) OVER (PARTITION BY {size}, {new}, i) AS n FROM {out}_k)),
+ {out} AS (SELECT image_id, {keep}, w.i - {offset} AS o, greatest(0, least(255, floor((sum(w.k * v) + 2097152) / 4194304)))::BIGINT AS v
+   FROM {source} JOIN pl USING (image_id) JOIN {out}_w w USING ({size}, {new}, j) WHERE w.i >= {offset} AND w.i < {offset} + {places} GROUP BY ALL)"""
+
+
+SMALL = f"""{VECTORS}, sm AS (SELECT vec_id AS image_id, CASE label % 2 WHEN 0 THEN 4 ELSE 10 END AS width, CASE label % 2 WHEN 0 THEN 5 ELSE 2 END AS height, CASE label % 2 WHEN 0 THEN 0 ELSE 1 END AS bucket_id, CASE label % 2 WHEN 0 THEN 32 ELSE 64 END AS bw, 32 AS bh, z FROM v),
+ sc AS (SELECT *, greatest(bw / width, bh / height) * 1.05::DOUBLE AS s FROM sm),
+ sz AS (SELECT *, greatest(bw, round_even(width * s, 0)::BIGINT) AS new_w, greatest(bh, round_even(height * s, 0)::BIGINT) AS new_h FROM sc),
+ pl AS (SELECT *, {HASH.format('left')} % (new_w - bw + 1) AS lft, {HASH.format('top')} % (new_h - bh + 1) AS tp, {HASH.format('flip')} % 2 = 1 AS flp FROM sz),
+ px AS (SELECT image_id, (n - 1) % 3 AS c, (n - 1) // 3 % width AS j, (n - 1) // 3 // width AS y, floor({UNIT.format('z[n]')} * 255)::BIGINT AS v FROM (SELECT image_id, width, z, unnest(range(1, 61)) AS n FROM sm)),
+ {resized('ph', 'px', 'width', 'new_w', 'lft', 'bw', 'c, y')},
+ pv_in AS (SELECT image_id, c, o AS x, y AS j, v FROM ph),
+ {resized('pv', 'pv_in', 'height', 'new_h', 'tp', 'bh', 'c, x')},
+ pf AS (SELECT image_id, c, v, o * bw + CASE WHEN flp THEN bw - 1 - x ELSE x END + 1 AS place FROM pv JOIN pl USING (image_id)),
+ ps AS (SELECT image_id, c AS i, sum(v)::BIGINT AS total FROM pf GROUP BY ALL UNION ALL SELECT image_id, c + 3, sum(v * place)::BIGINT FROM pf GROUP BY ALL)"""
+
+
 def kmeans(n: int, start: str = "") -> str:
     parts, c = [VECTORS, start] if start else [VECTORS], "st" if start else "cb"
     for k in range(n):
@@ -81,6 +103,7 @@ ORACLES = {
     "cover_geometry_train": f"WITH {cover('1.05')} SELECT * FROM c",
     "center_crop_box": f"WITH {cover('1.0')} SELECT image_id, round_even(((new_w - bw) / 2.0)::DOUBLE, 0)::BIGINT AS \"left\", round_even(((new_h - bh) / 2.0)::DOUBLE, 0)::BIGINT AS top, bw, bh FROM c",
     "augment_plan": f"WITH {cover('1.05')} SELECT image_id, {HASH.format('left')} % (new_w - bw + 1) AS \"left\", {HASH.format('top')} % (new_h - bh + 1) AS top, {HASH.format('flip')} % 2 = 1 AS flip FROM c",
+    "model_input": f"WITH {SMALL}, {plan('sm', 'image_id', 'bucket_id', True)} SELECT batch_no, pos, bucket_id, image_id, i, total FROM plan JOIN ps USING (image_id)",
     "normalize_roundtrip": f"WITH {VECTORS} SELECT vec_id, round(list_sum(list_transform(z, lambda x: (({UNIT.format('x')}) - 0.5) / 0.5)), 6) AS norm_sum, 0.0::DOUBLE AS back_diff FROM v",
     "batch_plan": f"WITH {PLAN} SELECT * FROM plan",
     "rank_shards": f"WITH {SHARDS} SELECT {SHARD_COLUMNS} FROM s",

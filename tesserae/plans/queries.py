@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import buckets as B
-from ..operators import embedding, losses, metrics, sampler, telemetry, vq
+from ..operators import embedding, losses, metrics, pixels, sampler, telemetry, vq
 from ..sources import catalog, config
 from ..sources import fixtures as X
 
@@ -123,6 +124,40 @@ def augment_plan(spark, d):
     )
 
 
+#: Buckets for the small images that are made of vectors.
+SMALL_BUCKETS = (B.Bucket("1:1", 32, 32), B.Bucket("2:1", 64, 32))
+
+
+def small_images(spark, d):
+    """image_id, width, height, rgb: 60 coordinates of a vector as the bytes of 20 pixels, 4 x 5 or 10 x 2."""
+    byte = lambda x: F.lpad(F.hex(F.floor(S.unit_range(x) * 255)), 2, "0")
+    even = F.col("label") % 2 == 0
+    return X.vectors(spark, d).select(
+        F.col("vec_id").alias("image_id"), F.when(even, 4).otherwise(10).alias("width"), F.when(even, 5).otherwise(2).alias("height"), F.unhex(F.array_join(F.transform(F.slice("z", 1, 60), byte), "")).alias("rgb")
+    )
+
+
+def _sums():
+    """For each image of a batch the sums of its bytes in each channel, plain and by place."""
+
+    def sums(x):
+        b = (((x + 1) / 2) * 255).round().astype("int64").reshape(len(x), 3, -1)
+        place = 1 + np.arange(b.shape[2])
+        return [[*map(int, i.sum(1)), *map(int, i @ place)] for i in b]
+
+    return sums
+
+
+@query
+def model_input(spark, d):
+    """Pixels in plan order: resized, cropped, flipped, normalised, a batch at a time."""
+    i = pixels.placed(small_images(spark, d), SMALL_BUCKETS, seed=SEED, epoch=EPOCH)
+    plan = sampler.plan(i, BATCH, SEED, EPOCH)
+    loaded = sampler.load(plan, pixels.fit(i).select("image_id", "bw", "bh", "rgb"))
+    m = pixels.in_batches(loaded, _sums, "array<bigint>", "sums")
+    return m.select("batch_no", "pos", "bucket_id", "image_id", F.posexplode("sums").alias("i", "total")).withColumn("i", F.col("i").cast("bigint"))
+
+
 @query
 def normalize_roundtrip(spark, d):
     v = X.vectors(spark, d).select("vec_id", F.transform("z", S.unit_range).alias("pixels")).withColumn("values", S.normalize(F.col("pixels")))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -12,13 +16,20 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.ordering import row_numbers
+from ..operators.shared import checkpoint
 
 # The image suffixes.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 #: Bytes of a file that are read first; more follow until its header is found.
 HEAD = 1 << 15
+#: Files that a task takes at once.
+FILES = 1000
+#: Spark's names of stores that Arrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+KINDS = {"path": pa.string(), "length": pa.int64(), "width": pa.int32(), "height": pa.int32()}
 
 
 def is_image(path: Column) -> Column:
@@ -31,13 +42,102 @@ def ordered(paths: DataFrame, path: str = "path", out: str = "image_id", start:
     return row_numbers(paths.withColumn("__parts", F.split(path, "/")), "__parts", out=out, start=start).drop("__parts")
 
 
-def list_images(spark: SparkSession, root: str) -> DataFrame:
-    """path, length of the image files below root; contents aren't read. Raises if there are none.
+@lru_cache(64)
+def _store(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
+    """A file system, once a worker, and what precedes a path in it."""
+    if scheme == "file":
+        return fs.LocalFileSystem(), ""
+    store, prefix = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{authority}/")
+    return store, prefix.rstrip("/")
 
-    Names that begin with a dot or underscore are not listed (Spark's file index skips them).
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    found = files.where(is_image(F.col("path")))
+
+def parts_of(path: str) -> tuple[str, str, str]:
+    """Scheme, authority and path of an unescaped location; one without a scheme is local."""
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", path, re.DOTALL)
+    return (m[1].lower(), m[2] or "", m[3]) if m else ("file", "", os.path.abspath(path))
+
+
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a location as Spark writes it, and the path there; no character is special."""
+    scheme, authority, at = parts_of(path)
+    store, prefix = _store(scheme, authority)
+    return store, prefix + at
+
+
+def _name(path: str) -> re.Match | None:
+    return re.search(r"[^/]\.([^./]+)$", path)
+
+
+class Listed(InputPartition):
+    """Folders to be listed to the end, and files that are known."""
+
+    def __init__(self, folders: list[str], files: list[tuple[str, int]]):
+        self.folders, self.files = folders, files
+
+
+class ImageReader(DataSourceReader):
+    """Lists in tasks: the driver only goes down until there are enough folders to deal out. Files are opened where width or height is asked for."""
+
+    def __init__(self, columns: list[str], root: str, parts: int):
+        self.columns, self.root, self.parts = columns, root, parts
+
+    def _found(self, selector: fs.FileSelector) -> Iterator[fs.FileInfo]:
+        yield from sorted(located(self.root)[0].get_file_info(selector), key=lambda f: f.path)
+
+    def partitions(self) -> list[Listed]:
+        folders, files = [located(self.root)[1]], []
+        while folders and len(folders) < self.parts:
+            below = []
+            for folder in folders:
+                for f in self._found(fs.FileSelector(folder)):
+                    if f.type == fs.FileType.Directory:
+                        below.append(f.path)
+                    elif (m := _name(f.path)) and m[1].lower() in SUFFIXES:
+                        files.append((f.path, f.size))
+            folders = below
+        n = max(1, min(len(folders), self.parts))
+        dealt = [Listed(folders[i::n], []) for i in range(n) if folders]
+        return dealt + [Listed([], files[i : i + FILES]) for i in range(0, len(files), FILES)] or [Listed([], [])]
+
+    def read(self, partition: Listed) -> Iterator[pa.RecordBatch]:
+        scheme, authority, _ = parts_of(self.root)
+        store, prefix = _store(scheme, authority)
+        below = ((f.path, f.size) for d in partition.folders for f in self._found(fs.FileSelector(d, recursive=True)) if f.type == fs.FileType.File and (m := _name(f.path)) and m[1].lower() in SUFFIXES)
+        rows = chain(partition.files, below)
+        while some := list(islice(rows, FILES)):
+            got = {"path": [f"{scheme}://{authority}{p.removeprefix(prefix)}" for p, _ in some], "length": [n for _, n in some]}
+            if {"width", "height"} & set(self.columns):
+                sizes = [size_of(store, p) for p, _ in some]
+                got |= {"width": [w for w, _ in sizes], "height": [h for _, h in sizes]}
+            yield pa.RecordBatch.from_arrays([pa.array(got[c], KINDS[c]) for c in self.columns], self.columns)
+
+
+class ImageFiles(DataSource):
+    """Image files below a folder: path, length, width, height. Ask for some of them by ``schema()``; names that begin with a dot or underscore are files like others."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tesserae_images"
+
+    def schema(self) -> str:
+        return "path string, length bigint, width int, height int"
+
+    def reader(self, schema: T.StructType) -> ImageReader:
+        if odd := set(schema.names) - set(KINDS):
+            raise ValueError(f"image files have no {sorted(odd)}")
+        return ImageReader(schema.names, self.options["path"], int(self.options.get("parts", 64)))
+
+
+def files(spark: SparkSession, root: str, *columns: str, parts: int = 64) -> DataFrame:
+    """The given ones of path, length, width, height of the image files below root; contents aren't read for the first two."""
+    spark.dataSource.register(ImageFiles)
+    kinds = {"path": "string", "length": "bigint", "width": "int", "height": "int"}
+    return spark.read.format("tesserae_images").schema(", ".join(f"{c} {kinds[c]}" for c in columns)).option("parts", parts).load(root)
+
+
+def list_images(spark: SparkSession, root: str) -> DataFrame:
+    """path, length of the image files below root; contents aren't read. Raises if there are none."""
+    found = files(spark, root, "path", "length")
     if found.isEmpty():
         raise FileNotFoundError(f"no images under {root}")
     return found
@@ -91,16 +191,17 @@ def read_size(read) -> tuple[int, int]:
             head += more
 
 
+def size_of(store: fs.FileSystem, at: str) -> tuple[int, int]:
+    with store.open_input_stream(at, compression=None) as f:
+        return read_size(f.read)
+
+
 def with_sizes(files: DataFrame) -> DataFrame:
     """Adds width and height to files of path, reading no more of each than its header needs; a corrupt file fails the job."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = []
-            for p in b.column("path").to_pylist():
-                store, at = fs.FileSystem.from_uri(p) if ":" in p.split("/", 1)[0] else (fs.LocalFileSystem(), p)
-                with store.open_input_stream(at, compression=None) as s:
-                    sizes.append(read_size(s.read))
+            sizes = [size_of(*located(p)) for p in b.column("path").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([w for w, _ in sizes], pa.int32()), pa.array([h for _, h in sizes], pa.int32())], [*b.schema.names, "width", "height"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
@@ -108,14 +209,18 @@ def with_sizes(files: DataFrame) -> DataFrame:
 
 
 def load_catalog(spark: SparkSession, root: str) -> DataFrame:
-    """image_id (place in path order), path, length, width, height."""
-    return ordered(with_sizes(list_images(spark, root)))
+    """image_id (place in path order), path, length, width, height. Sizes are read once, in the tasks that list; raises if there are no images."""
+    found = checkpoint(files(spark, root, "path", "length", "width", "height"))
+    if found.isEmpty():
+        raise FileNotFoundError(f"no images under {root}")
+    return ordered(found)
 
 
 def images(spark: SparkSession, root: str) -> DataFrame:
-    """path, width, height, rgb of decoded images (JVM readers: JPEG, PNG, BMP; no WebP): three bytes a pixel, row by row, whatever the file's mode.
+    """path (as the catalog has it), width, height, rgb of decoded images (JVM readers: JPEG, PNG, BMP; no WebP): three bytes a pixel, row by row, whatever the file's mode.
 
-    Files that the readers can't decode fail here, as they are dropped silently otherwise.
+    Files that the readers can't decode fail here, as they are dropped silently otherwise. Spark's own listing is
+    used, which skips names that begin with a dot or underscore.
     """
     d = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root).select("image.*")
 
@@ -129,4 +234,7 @@ def images(spark: SparkSession, root: str) -> DataFrame:
             out.append((p[:, 2::-1] if n > 1 else np.repeat(p, 3, 1)).tobytes())  # the readers give BGR
         return pd.Series(out)
 
-    return d.select(F.col("origin").alias("path"), "width", "height", rgb("data", "nChannels", "origin").alias("rgb"))
+    # origins are escaped, and "+" stands for itself in them
+    path = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*):/(?!/)", "$1:///")
+    return d.select(path.alias("path"), "width", "height", rgb("data", "nChannels", "origin").alias("rgb"))

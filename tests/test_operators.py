@@ -354,7 +354,7 @@ def test_catalog_of_a_folder(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     rows = catalog.load_catalog(spark, str(tmp_path)).orderBy("image_id").collect()
-    assert [(r.image_id, r.path.split("/")[-2:], r.width, r.height) for r in rows] == [(0, ["a", "x.bmp"], 30, 30), (1, ["a-b", "x.PNG"], 64, 32)]
+    assert [(r.image_id, r.path.split("/")[-2:], r.width, r.height) for r in rows] == [(0, ["a", ".hid.png"], 1, 1), (1, ["a", "_u.png"], 1, 1), (2, ["a", "x.bmp"], 30, 30), (3, ["a-b", "x.PNG"], 64, 32)]
     (tmp_path / "empty").mkdir()
     with pytest.raises(FileNotFoundError):
         catalog.list_images(spark, str(tmp_path / "empty"))
