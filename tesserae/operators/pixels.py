@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import scalars as S
 from . import buckets as B
-from .vq import codes_of, nearest
+from .codebook import opened, store
 
 BITS, BLOCK = 22, 64
 
@@ -145,16 +145,15 @@ def in_batches(loaded: DataFrame, f: Callable[[], Callable[[np.ndarray], list]],
 
 def encode_batches(loaded: DataFrame, make: Callable[[], Callable[[np.ndarray], np.ndarray]], codebook: DataFrame, out: str = "codes") -> DataFrame:
     """Adds the token grid of each image of a plan's batches: make() encodes n x 3 x h x w to n x channels x gh x gw, whatever h and w, and each place takes its nearest code."""
-    sent = loaded.sparkSession.sparkContext.broadcast(codes_of(codebook))
+    path = store(codebook).path
 
     def of() -> Callable[[np.ndarray], list]:
-        encoder, (codes, e) = make(), sent.value
-        square = (e * e).sum(1)
+        encoder, blocks = make(), opened(path)
 
         def grids(x: np.ndarray) -> list:
             z = np.asarray(encoder(x), float)
             n, c, gh, gw = z.shape
-            return codes[nearest(z.transpose(0, 2, 3, 1).reshape(-1, c), e, square)].reshape(n, gh, gw).tolist()
+            return blocks.nearest(z.transpose(0, 2, 3, 1).reshape(-1, c))[0].reshape(n, gh, gw).tolist()
 
         return grids
 

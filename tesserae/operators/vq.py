@@ -7,50 +7,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import hash_key
-from .ordering import FEW, checkpoint, row_numbers
+from .codebook import TILE, Stored, opened, store
+from .ordering import checkpoint, row_numbers
 
-#: Bytes of codebook that are sent to every task at once.
-BLOCK_BYTES, ROWS = 256 << 20, 4096
+#: Bytes of sums that a task keeps before it gives them on.
+SUMS = 64 << 20
 
 
-def codes_of(codebook: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Codes in ascending order and their vectors, after a check of their size."""
-    n, dim = codebook.agg(F.count("*"), F.max(F.size("e"))).first()
-    if not n:
-        raise ValueError("the codebook is empty")
-    if n * (dim or 0) * 8 > BLOCK_BYTES:
-        raise ValueError(f"a codebook of {n} x {dim} is larger than {BLOCK_BYTES} bytes")
-    t = codebook.select(F.col("code").cast("long").alias("code"), F.col("e").cast("array<double>").alias("e")).toArrow().combine_chunks()
-    codes = t.column("code").to_numpy()
-    order = np.argsort(codes, kind="stable")
-    return codes[order], t.column("e").combine_chunks().flatten().to_numpy().reshape(n, -1)[order]
-
-
-def nearest(z: np.ndarray, e: np.ndarray, square: np.ndarray) -> np.ndarray:
-    """Places of the nearest vectors of e, of equal ones the first, by matrix products over blocks of rows."""
-    return np.concatenate([np.zeros(0, np.int64), *((square - 2 * (z[i : i + ROWS] @ e.T)).argmin(1) for i in range(0, len(z), ROWS))])
-
-
-def assign(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id") -> DataFrame:
+def assign(vectors: DataFrame, codebook: DataFrame | Stored, key: str = "vec_id") -> DataFrame:
     """Adds code and its squared distance d; of equal codes the least, for a null vector null. An empty codebook raises ValueError."""
-    codes, e = codes_of(codebook)
-    sent = vectors.sparkSession.sparkContext.broadcast((codes, e))
+    book = codebook if isinstance(codebook, Stored) else store(codebook)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, e = sent.value
-        square = (e * e).sum(1)
+        blocks = None
         for b in batches:
+            blocks = blocks or opened(book.path)
             z, there = b.column("z"), b.column("z").is_valid().to_numpy(zero_copy_only=False)
-            z = z.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, e.shape[1])
-            best = nearest(z, e, square) if len(z) else np.zeros(0, np.int64)
+            z = z.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(-1, blocks.dim)
             code, d = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            if len(z):
-                code[there], d[there] = codes[best], ((z - e[best]) ** 2).sum(1)
+            code[there], d[there] = blocks.nearest(z)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code, mask=~there), pa.array(d, mask=~there)], [*b.schema.names, "code", "d"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
@@ -59,13 +40,12 @@ def assign(vectors: DataFrame, codebook: DataFrame, key: str = "vec_id") -> Data
 
 def tokenize(features: DataFrame, codebook: DataFrame, height: int, width: int, column: str = "z", out: str = "codes") -> DataFrame:
     """Adds the token grid (rows of codes) of encoder features, an array of channels x height x width; null features give null."""
-    sent = features.sparkSession.sparkContext.broadcast(codes_of(codebook))
+    path = store(codebook).path
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
     def grid(z: pd.Series) -> pd.Series:
-        codes, e = sent.value
-        square = (e * e).sum(1)
-        one = lambda x: codes[nearest(np.asarray(x, float).reshape(e.shape[1], -1).T, e, square)].reshape(height, width)
+        blocks = opened(path)
+        one = lambda x: blocks.nearest(np.asarray(x, float).reshape(blocks.dim, -1).T)[0].reshape(height, width)
         return pd.Series([None if x is None else [list(r) for r in one(x)] for x in z])
 
     return features.withColumn(out, grid(F.col(column).cast("array<double>")))
@@ -73,20 +53,12 @@ def tokenize(features: DataFrame, codebook: DataFrame, height: int, width: int,
 
 def untokenize(grids: DataFrame, codebook: DataFrame, column: str = "codes", out: str = "z") -> DataFrame:
     """Adds decoder features (channels x height x width, flat) of token grids; a code that the codebook lacks raises."""
-    sent = grids.sparkSession.sparkContext.broadcast(codes_of(codebook))
+    path = store(codebook).path
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def gathered(c: pd.Series) -> pd.Series:
-        codes, e = sent.value
-
-        def one(x):
-            k = np.asarray([list(r) for r in x], np.int64).ravel()
-            at = np.minimum(np.searchsorted(codes, k), len(codes) - 1)
-            if (codes[at] != k).any():
-                raise ValueError("a token that the codebook lacks")
-            return e[at].T.ravel()
-
-        return pd.Series([None if x is None else one(x) for x in c])
+        blocks = opened(path)
+        return pd.Series([None if x is None else blocks.vectors(np.asarray([list(r) for r in x], np.int64).ravel()).T.ravel() for x in c])
 
     return grids.withColumn(out, gathered(F.col(column).cast("array<array<bigint>>")))
 
@@ -136,11 +108,22 @@ def revive(dead_codes: DataFrame, vectors: DataFrame, seed: int = 42, key: str =
 
 
 def dead_by_window(codebook: DataFrame, tokens: DataFrame, window: Column) -> DataFrame:
-    """window_no, code: the codes that no token of a window uses."""
-    seen = tokens.select(window.alias("window_no"), "code").distinct()
-    every = codebook.select("code")
-    every = F.broadcast(every) if every.limit(FEW + 1).count() <= FEW else every
-    return seen.select("window_no").distinct().crossJoin(every).join(seen, ["window_no", "code"], "left_anti")
+    """window_no, code: the codes that no token of a window uses.
+
+    Used codes are a bitmap for each window and 32,768 numbers of codes; a window's dead codes are the codebook's in that
+    stretch whose bit isn't set. Windows aren't joined with codes.
+    """
+    stretch, place = F.bitmap_bucket_number("code"), F.bitmap_bit_position("code")
+    used = tokens.where("code IS NOT NULL").select(window.alias("window_no"), stretch.alias("stretch"), place.alias("place"))
+    used = used.groupBy("window_no", "stretch").agg(F.bitmap_construct_agg("place").alias("used"))
+    book = codebook.groupBy(stretch.alias("stretch")).agg(F.collect_list(F.struct("code", place.alias("place"))).alias("book"))
+    # one array of the stretches that the codebook has, at most a 32,768th of its codes
+    stretches = book.agg(F.collect_list("stretch")).scalar()
+    each = tokens.select(window.alias("window_no")).distinct().select("window_no", F.explode(stretches).alias("stretch"))
+    d = each.join(used, ["window_no", "stretch"], "left").join(book, "stretch")
+    byte = lambda p: F.conv(F.hex(F.substring("used", (p / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    unset = lambda x: F.col("used").isNull() | (F.call_function("shiftright", byte(x["place"]), (x["place"] % 8).cast("int")).bitwiseAND(F.lit(1)) == 0)
+    return d.select("window_no", F.explode(F.filter("book", unset)).alias("x")).select("window_no", "x.code")
 
 
 def revive_by_window(dead_codes: DataFrame, vectors: DataFrame, window: Column, seed: int = 42, key: str = "vec_id") -> DataFrame:
@@ -153,47 +136,127 @@ def revive_by_window(dead_codes: DataFrame, vectors: DataFrame, window: Column,
     return d.select("window_no", "code", (F.col("rn") % F.col("n")).alias("vn")).join(v, ["window_no", "vn"]).select("window_no", "code", key)
 
 
-def sums(assigned: DataFrame) -> DataFrame:
-    """code, dim, n, s: members and sum of each coordinate. Each task adds up whole vectors by code; only its sums are taken apart. Rows without a code are left out."""
+_SUM = "part int, code bigint, n bigint, s array<double>"
+
+
+class _Sums:
+    """Members and sum of vectors for each code seen."""
+
+    def __init__(self):
+        self.at: dict[int, int] = {}
+        self.n, self.s = np.zeros(0, np.int64), None
+
+    def add(self, codes: np.ndarray, n: np.ndarray, z: np.ndarray) -> None:
+        """codes need no order; each brings n members and their sum."""
+        if not len(codes):
+            return
+        order = np.argsort(codes, kind="stable")
+        sorted_codes = codes[order]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_codes[1:] != sorted_codes[:-1]]))
+        at = np.array([self.at.setdefault(c, len(self.at)) for c in sorted_codes[starts].tolist()])
+        if len(self.at) > len(self.n):
+            more = max(len(self.at), 2 * len(self.n)) - len(self.n)
+            self.n = np.concatenate([self.n, np.zeros(more, np.int64)])
+            self.s = np.concatenate([np.zeros((0, z.shape[1])) if self.s is None else self.s, np.zeros((more, z.shape[1]))])
+        self.n[at] += np.add.reduceat(n[order], starts)
+        self.s[at] += np.add.reduceat(z[order], starts)
+
+    @property
+    def bytes(self) -> int:
+        return 0 if self.s is None else self.s.nbytes
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        part, codes = TaskContext.get().partitionId(), list(self.at)
+        dim = 0 if self.s is None else self.s.shape[1]
+        for i in range(0, len(codes), TILE):
+            k = min(len(codes), i + TILE)
+            s = pa.ListArray.from_arrays(pa.array(np.arange(k - i + 1) * dim, pa.int32()), pa.array(self.s[i:k].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k - i, part, np.int32)), pa.array(codes[i:k], pa.int64()), pa.array(self.n[i:k]), s], ["part", "code", "n", "s"])
+        self.__init__()
+
+
+def _reduced(partial: DataFrame) -> DataFrame:
+    """code, n, s (array): the tasks' sums of each code, added up in the order of the tasks; a code has at most a row a task and ``SUMS``."""
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n, s = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        kept = _Sums()
         for b in batches:
             if not b.num_rows:
                 continue
-            z = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            both, at = np.unique(np.concatenate([codes, b.column(0).to_numpy()]), return_inverse=True)
-            more, many = np.zeros((len(both), z.shape[1])), np.zeros(len(both), np.int64)
-            if s is not None:
-                more[at[: len(codes)]], many[at[: len(codes)]] = s, n
-            np.add.at(more, at[len(codes) :], z)
-            np.add.at(many, at[len(codes) :], 1)
-            codes, n, s = both, many, more
-        if s is not None:
-            for i in range(0, len(codes), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + ROWS]), pa.array(n[i : i + ROWS]), pa.array(list(s[i : i + ROWS]), pa.list_(pa.float64()))], ["code", "n", "s"])
-
-    d = assigned.where("code IS NOT NULL").select("code", F.col("z").cast("array<double>")).mapInArrow(added, "code bigint, n bigint, s array<double>")
-    return d.select("code", "n", F.posexplode("s").alias("dim", "s")).groupBy("code", "dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+            codes = b.column(1).to_numpy()
+            kept.add(codes, b.column(2).to_numpy(), b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            if kept.bytes > SUMS:
+                # rows come by code, and codes in order: only the last one may go on
+                last, at = kept.at.popitem()
+                n, s = kept.n[at : at + 1].copy(), kept.s[at : at + 1].copy()
+                yield from kept.out()
+                kept.add(np.array([last]), n, s)
+        yield from kept.out()
+
+    return partial.repartition("code").sortWithinPartitions("code", "part").mapInArrow(added, _SUM).drop("part")
+
+
+def sums(assigned: DataFrame) -> DataFrame:
+    """code, n, s: members of each code and the sum of their vectors (array). Tasks add up whole vectors, then tasks by code what those found. Rows without a code are left out."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = _Sums()
+        for b in batches:
+            if b.num_rows:
+                kept.add(b.column(0).to_numpy(), np.ones(b.num_rows, np.int64), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+            if kept.bytes > SUMS:
+                yield from kept.out()
+        yield from kept.out()
+
+    return _reduced(assigned.where("code IS NOT NULL").select("code", F.col("z").cast("array<double>")).mapInArrow(added, _SUM))
+
+
+def nearest_sums(vectors: DataFrame, book: Stored) -> DataFrame:
+    """``sums(assign(...))`` in one pass: assigned vectors don't leave the task."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, blocks = _Sums(), None
+        for b in batches:
+            blocks = blocks or opened(book.path)
+            z = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, blocks.dim)
+            kept.add(blocks.nearest(z)[0], np.ones(len(z), np.int64), z)
+            if kept.bytes > SUMS:
+                yield from kept.out()
+        yield from kept.out()
+
+    return _reduced(vectors.where("z IS NOT NULL").select(F.col("z").cast("array<double>").alias("z")).mapInArrow(added, _SUM))
+
+
+def smoothed(state: DataFrame, epsilon: float = 1e-5) -> DataFrame:
+    """Adds weight: ema_sum over the Laplace-smoothed ema_n of all codes, whose total and number are one row's scalar."""
+    all_codes = state.agg(F.struct(F.sum("ema_n").alias("total"), F.count("*").alias("k"))).scalar()
+    d = state.withColumn("__all", all_codes)
+    size = (F.col("ema_n") + epsilon) / (F.col("__all.total") + F.col("__all.k") * epsilon) * F.col("__all.total")
+    return d.withColumn("__size", size).withColumn("weight", F.transform("ema_sum", lambda x: x / F.col("__size"))).drop("__all", "__size")
+
+
+def moved(state: DataFrame, found: DataFrame, decay: float = 0.99) -> DataFrame:
+    """State (code, ema_n, ema_sum and others) after a moving-average step towards ``sums``; a code without members keeps its part."""
+    d = state.join(found, "code", "left")
+    zero = F.transform("ema_sum", lambda _: F.lit(0.0))
+    mean = F.zip_with("ema_sum", F.coalesce("s", zero), lambda v, s: decay * v + (1 - decay) * s)
+    return d.withColumns({"ema_sum": mean, "ema_n": decay * F.col("ema_n") + (1 - decay) * F.coalesce("n", F.lit(0))}).drop("n", "s")
 
 
 def ema(codebook: DataFrame, assigned: DataFrame, decay: float = 0.99, epsilon: float = 1e-5, start_size: float = 1.0) -> DataFrame:
-    """code, dim, ema_n, weight after one moving-average step of all codes, with Laplace-smoothed sizes."""
-    long = codebook.select("code", F.posexplode("e").alias("dim", "v"))
-    d = long.join(sums(assigned), ["code", "dim"], "left")
-    d = d.select("code", "dim", (decay * start_size + (1 - decay) * F.coalesce("n", F.lit(0))).alias("ema_n"), (decay * F.col("v") + (1 - decay) * F.coalesce("s", F.lit(0.0))).alias("avg"))
-    total = d.where("dim = 0").agg(F.sum("ema_n").alias("total"), F.count("*").alias("k"))
-    smooth = (F.col("ema_n") + epsilon) / (F.col("total") + F.col("k") * epsilon) * F.col("total")
-    return d.join(F.broadcast(total)).select("code", "dim", "ema_n", (F.col("avg") / smooth).alias("weight"))
+    """code, ema_n, ema_sum, weight (arrays) after one moving-average step of all codes, with Laplace-smoothed sizes."""
+    state = codebook.select("code", F.lit(float(start_size)).alias("ema_n"), F.col("e").alias("ema_sum"))
+    return smoothed(moved(state, sums(assigned), decay), epsilon)
 
 
 def kmeans(vectors: DataFrame, codebook: DataFrame, iterations: int) -> DataFrame:
-    """code, e after a fixed number of Lloyd rounds; an empty cluster keeps its centre. Lineage is cut each round."""
-    c = codebook.select("code", "e")
+    """code, e after a fixed number of Lloyd rounds; an empty cluster keeps its centre. Lineage is cut each round, and a round's blocks go with it."""
+    c, n = codebook.select("code", "e"), None
     for _ in range(iterations):
-        new = sums(assign(vectors.select("z"), c)).select("code", "dim", (F.col("s") / F.col("n")).alias("v"))
-        new = new.groupBy("code").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda x: x["v"]).alias("new"))
-        c = checkpoint(c.join(new, "code", "left").select("code", F.coalesce("new", "e").alias("e")))
+        book = store(c, n)
+        new = nearest_sums(vectors, book).select("code", F.transform("s", lambda x: x / F.col("n")).alias("new"))
+        c, n = checkpoint(c.join(new, "code", "left").select("code", F.coalesce("new", "e").alias("e"))), book.n
+        book.delete(vectors.sparkSession)
     return c
 
 

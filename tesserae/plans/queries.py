@@ -238,6 +238,7 @@ def revive_plan(spark, d):
 @query
 def ema_step(spark, d):
     e = vq.ema(X.codebook(spark, d), tokens(spark, d))
+    e = e.select("code", "ema_n", F.posexplode("weight").alias("dim", "weight"))
     return e.select("code", F.col("dim").cast("bigint").alias("dim"), r6("ema_n").alias("ema_n"), F.round("weight", 5).alias("weight"))
 
 

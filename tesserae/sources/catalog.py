@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
@@ -20,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.ordering import row_numbers
 from ..operators.shared import checkpoint
+from .stores import located, parts_of, store_of
 
 # The image suffixes.
 SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
@@ -27,8 +26,6 @@ SUFFIXES = ("jpg", "jpeg", "png", "webp", "bmp")
 HEAD = 1 << 15
 #: Files that a task takes at once.
 FILES = 1000
-#: Spark's names of stores that Arrow calls otherwise.
-SCHEMES = {"s3a": "s3", "s3n": "s3"}
 KINDS = {"path": pa.string(), "length": pa.int64(), "width": pa.int32(), "height": pa.int32()}
 
 
@@ -42,28 +39,6 @@ def ordered(paths: DataFrame, path: str = "path", out: str = "image_id", start:
     return row_numbers(paths.withColumn("__parts", F.split(path, "/")), "__parts", out=out, start=start).drop("__parts")
 
 
-@lru_cache(64)
-def _store(scheme: str, authority: str) -> tuple[fs.FileSystem, str]:
-    """A file system, once a worker, and what precedes a path in it."""
-    if scheme == "file":
-        return fs.LocalFileSystem(), ""
-    store, prefix = fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{authority}/")
-    return store, prefix.rstrip("/")
-
-
-def parts_of(path: str) -> tuple[str, str, str]:
-    """Scheme, authority and path of an unescaped location; one without a scheme is local."""
-    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", path, re.DOTALL)
-    return (m[1].lower(), m[2] or "", m[3]) if m else ("file", "", os.path.abspath(path))
-
-
-def located(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a location as Spark writes it, and the path there; no character is special."""
-    scheme, authority, at = parts_of(path)
-    store, prefix = _store(scheme, authority)
-    return store, prefix + at
-
-
 def _name(path: str) -> re.Match | None:
     return re.search(r"[^/]\.([^./]+)$", path)
 
@@ -101,7 +76,7 @@ class ImageReader(DataSourceReader):
 
     def read(self, partition: Listed) -> Iterator[pa.RecordBatch]:
         scheme, authority, _ = parts_of(self.root)
-        store, prefix = _store(scheme, authority)
+        store, prefix = store_of(scheme, authority)
         below = ((f.path, f.size) for d in partition.folders for f in self._found(fs.FileSelector(d, recursive=True)) if f.type == fs.FileType.File and (m := _name(f.path)) and m[1].lower() in SUFFIXES)
         rows = chain(partition.files, below)
         while some := list(islice(rows, FILES)):
