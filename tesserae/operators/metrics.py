@@ -10,75 +10,112 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import checkpoint
 from .vq import usage
 
 MIN_IMAGES, MIN_USAGE, DECIBEL_PLACES = 20, 0.5, 2
-#: Tasks that add up what others found, before one task a group does.
-PARTS = 64
+#: Tasks that add up what others found, before one task a tile does; columns in a tile.
+PARTS, TILE = 64, 256
 
+_TILE = "p int, whole boolean, g string, c string, i int, j int, n long, si array<double>, sj array<double>, m array<double>"
+_SCHEMA = pa.schema(
+    [("p", pa.int32()), ("whole", pa.bool_()), ("g", pa.string()), ("c", pa.string()), ("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64()), ("si", pa.list_(pa.float64())), ("sj", pa.list_(pa.float64())), ("m", pa.list_(pa.float64()))]
+)
+_KEY = ["whole", "g", "c", "i", "j"]
 
-def moment_sums(features: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
-    """whole, g, c, m: for each group g (and for all, where whole) and column c, the flattened sums of (1, x) (1, x)' over its rows.
 
-    One pass over all columns. Each task adds up its own rows, PARTS tasks add up what those found,
-    and one task a group and column adds the last PARTS; nothing goes to the driver. ``by`` should have
-    few values (buckets). Rows with a null feature are left out.
+def moment_tiles(features: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
+    """whole, g, c, i, j, n, si, sj, m: for each group g (and for all, where whole), column c and tiles i <= j of ``TILE`` coordinates, the number of rows,
+    the sums of both tiles' coordinates and the flattened sums of their products.
+
+    One pass over all columns. A task sorts its own rows by group and holds the tiles of one group at a time; PARTS tasks add up what
+    tasks found, tile by tile, and one task a tile the last PARTS. Nothing goes to the driver. Rows with a null feature are left out.
     """
     d = features.select((F.col(by) if by else F.lit(0)).cast("string").alias("g"), *(F.col(c).cast("array<double>").alias(c) for c in columns)).dropna(subset=columns)
-    kind = "p int, whole boolean, g string, c string, m array<double>"
 
-    def rows(total: dict) -> Iterator[pa.RecordBatch]:
-        for (whole, g, c), m in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([whole]), pa.array([g], pa.string()), pa.array([c]), pa.array([m.ravel()], pa.list_(pa.float64()))], ["p", "whole", "g", "c", "m"])
+    def row(whole: bool, g: str | None, c: str, i: int, j: int, n: int, si: np.ndarray, sj: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        values = [[TaskContext.get().partitionId()], [whole], [g], [c], [i], [j], [n], [si], [sj], [m.ravel()]]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, _SCHEMA.types, strict=True)], schema=_SCHEMA)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {}
+        of, n, tiles, totals = None, 0, {}, {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for (c, i, j), m in tiles.items():
+                for whole in (False, True):
+                    yield row(whole, None if whole else of[0], c, i, j, n, totals[c, i], totals[c, j], m)
+
         for b in batches:
-            g = np.array(b.column(0).to_pylist(), object)
-            for c in columns:
-                x = b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                x = np.column_stack([np.ones(len(x)), x])
-                for k in dict.fromkeys(g.tolist()):
-                    y = x[g == k]
-                    total[False, k, c] = total.get((False, k, c), 0) + y.T @ y
-        yield from rows(total)
-
-    def add(both: bool):
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: dict = {}
-            for b in batches:
-                for whole, g, c, m in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)), b.column(4), strict=True):
-                    x = m.values.to_numpy()
-                    for key in ((whole, g, c), (True, None, c))[: 1 + both]:
-                        total[key] = total[key] + x if key in total else x
-            yield from rows(total)
-
-        return added
-
-    parts = d.mapInArrow(own, kind).repartition(PARTS, "p").sortWithinPartitions("p", "g", "c").mapInArrow(add(True), kind)
-    return parts.repartition("whole", "g", "c").sortWithinPartitions("whole", "g", "c", "p").mapInArrow(add(False), kind).drop("p")
-
-
-def moments(m: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count, mean and covariance (n - 1) from sums; of one row the covariance is NaN."""
-    side = round(m.size**0.5)
-    m = m.reshape(side, side)
-    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+            g = b.column(0).to_pylist()
+            cuts = [0, *(k for k in range(1, len(g)) if g[k] != g[k - 1]), len(g)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                if start == end:
+                    continue
+                if of != (g[start],):
+                    yield from given() if of else ()
+                    of, n, tiles, totals = (g[start],), 0, {}, {}
+                n += end - start
+                for c in columns:
+                    x = b.column(c).slice(start, end - start).flatten().to_numpy(zero_copy_only=False).reshape(end - start, -1)
+                    cut = [x[:, k : k + TILE] for k in range(0, x.shape[1], TILE)]
+                    for i, y in enumerate(cut):
+                        totals[c, i] = totals.get((c, i), 0) + y.sum(0)
+                        for j in range(i, len(cut)):
+                            tiles[c, i, j] = tiles.get((c, i, j), 0) + y.T @ cut[j]
+        yield from given() if of else ()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, total = None, None
+        for b in batches:
+            keys = list(zip(*(b.column(k).to_pylist() for k in (*_KEY, "n")), strict=True))
+            for k, (*key, n) in enumerate(keys):
+                parts = [b.column(c)[k].values.to_numpy() for c in ("si", "sj", "m")]
+                if key == of:
+                    total = [total[0] + n, *(x + y for x, y in zip(total[1:], parts, strict=True))]
+                    continue
+                if of:
+                    yield row(*of, *total)
+                of, total = key, [n, *parts]
+        if of:
+            yield row(*of, *total)
+
+    parts = d.sortWithinPartitions("g").mapInArrow(own, _TILE).withColumn("p", F.col("p") % PARTS)
+    parts = parts.repartition("p", *_KEY).sortWithinPartitions("p", *_KEY).mapInArrow(added, _TILE)
+    return parts.repartition(*_KEY).sortWithinPartitions(*_KEY, "p").mapInArrow(added, _TILE).drop("p")
+
+
+def tile_covariance(n: int, si: np.ndarray, sj: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The tile's covariances (n - 1); of one row they are NaN."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        return int(n), mean, (m[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+        return (m.reshape(len(si), len(sj)) - np.outer(si, sj) / n) / np.float64(n - 1)
+
+
+def moments(tiles: list[dict]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Count, mean and covariance from the tiles of one group and column."""
+    mean = np.concatenate([np.asarray(t["si"]) / t["n"] for t in sorted(tiles, key=lambda t: t["i"]) if t["i"] == t["j"]])
+    cov = np.empty((len(mean), len(mean)))
+    for t in tiles:
+        x = tile_covariance(t["n"], np.asarray(t["si"]), np.asarray(t["sj"]), np.asarray(t["m"]))
+        i, j = t["i"] * TILE, t["j"] * TILE
+        cov[i : i + x.shape[0], j : j + x.shape[1]] = x
+        cov[j : j + x.shape[1], i : i + x.shape[0]] = x.T
+    return tiles[0]["n"], mean, cov
 
 
 def covariance(features: DataFrame, column: str = "z") -> DataFrame:
-    """i, j, cov of all features."""
+    """i, j, cov of all features, tile by tile."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for m in b.column(0):
-                cov = moments(m.values.to_numpy())[2]
-                for i, row in enumerate(cov):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i)), pa.array(np.arange(len(row))), pa.array(row)], ["i", "j", "cov"])
+            for k in range(b.num_rows):
+                si, sj, m = (b.column(c)[k].values.to_numpy() for c in ("si", "sj", "m"))
+                x, i0, j0 = tile_covariance(b.column("n")[k].as_py(), si, sj, m), b.column("i")[k].as_py() * TILE, b.column("j")[k].as_py() * TILE
+                i, j = np.repeat(i0 + np.arange(len(si)), len(sj)), np.tile(j0 + np.arange(len(sj)), len(si))
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(x.ravel())], ["i", "j", "cov"])
+                if i0 != j0:
+                    yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(i), pa.array(x.ravel())], ["i", "j", "cov"])
 
-    return moment_sums(features, [column]).where("whole").select("m").mapInArrow(cells, "i bigint, j bigint, cov double")
+    return moment_tiles(features, [column]).where("whole").mapInArrow(cells, "i bigint, j bigint, cov double")
 
 
 def frechet_distance(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.ndarray) -> float:
@@ -91,16 +128,18 @@ def frechet_distance(mu1: np.ndarray, s1: np.ndarray, mu2: np.ndarray, s2: np.nd
 
 
 def frechet(pairs: DataFrame, by: str = "label", least: int = MIN_IMAGES) -> DataFrame:
-    """bucket (null: all), num_images, rfid between features x and y; null below ``least`` images. One task a bucket, one row each."""
+    """bucket (null: all), num_images, rfid between features x and y; null below ``least`` images. One task a bucket holds that bucket's tiles."""
 
     def distance(t: pa.Table) -> pa.Table:
-        whole = t.column("whole")[0].as_py()
-        of = {c: moments(m.values.to_numpy()) for c, m in zip(t.column("c").to_pylist(), t.column("m"), strict=True)}
-        (n, mu1, s1), (_, mu2, s2) = of["x"], of["y"]
-        rfid = None if n < (2 if whole else least) else frechet_distance(mu1, s1, mu2, s2)
-        return pa.table({"whole": pa.array([whole]), "bucket": pa.array([t.column("g")[0].as_py()], pa.string()), "num_images": pa.array([n], pa.int64()), "rfid": pa.array([rfid], pa.float64())})
+        whole, g, n = (t.column(c)[0].as_py() for c in ("whole", "g", "n"))
+        rfid = None
+        if n >= (2 if whole else least):
+            rows = [{k: t.column(k)[r].as_py() for k in ("c", "i", "j", "n")} | {k: t.column(k)[r].values.to_numpy() for k in ("si", "sj", "m")} for r in range(t.num_rows)]
+            (_, mu1, s1), (_, mu2, s2) = (moments([r for r in rows if r["c"] == c]) for c in "xy")
+            rfid = frechet_distance(mu1, s1, mu2, s2)
+        return pa.table({"whole": pa.array([whole]), "bucket": pa.array([g], pa.string()), "num_images": pa.array([n], pa.int64()), "rfid": pa.array([rfid], pa.float64())})
 
-    return moment_sums(pairs, ["x", "y"], by).groupBy("whole", "g").applyInArrow(distance, "whole boolean, bucket string, num_images bigint, rfid double").drop("whole")
+    return moment_tiles(pairs, ["x", "y"], by).groupBy("whole", "g").applyInArrow(distance, "whole boolean, bucket string, num_images bigint, rfid double").drop("whole")
 
 
 def evaluation(images: DataFrame, by: str = "label", least: int = MIN_IMAGES) -> DataFrame:
@@ -117,14 +156,16 @@ def evaluate(images: DataFrame, features: DataFrame, hist: DataFrame, by: str =
     images: a row of metrics for each image; features: x and y of each image; hist: uses of each code. An
     evaluation without images raises ValueError.
     """
-    e = evaluation(images, by, least).drop("enough")
-    if not (total := images.count()):
+    e = checkpoint(evaluation(images, by, least).drop("enough"))
+    # of rows without a bucket, that for all has the most images
+    total = e.where("bucket IS NULL").agg(F.max("num_images")).first()[0]
+    if not total:
         raise ValueError("there are no images to evaluate")
     f = frechet(features, by, least).select(F.col("bucket").alias("__of"), "rfid")
-    used = usage(hist).select("usage", "is_low")
-    d = e.join(F.broadcast(f), F.col("bucket").eqNullSafe(F.col("__of")), "left").drop("__of").crossJoin(F.broadcast(used))
+    used = usage(hist).select(F.struct("usage", "is_low").alias("u"))
+    d = e.join(f, F.col("bucket").eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("__used", used.scalar())
     every = F.col("bucket").isNull() & (F.col("num_images") == total)
-    return d.withColumn("usage", F.when(every, F.col("usage"))).withColumn("is_low", F.when(every, F.col("is_low")))
+    return d.withColumn("usage", F.when(every, F.col("__used.usage"))).withColumn("is_low", F.when(every, F.col("__used.is_low"))).drop("__used")
 
 
 def report(evaluated: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import buckets as B
 from ..operators import embedding, losses, metrics, pixels, sampler, telemetry, vq
+from ..operators.shared import checkpoint
 from ..sources import catalog, config
 from ..sources import fixtures as X
 
@@ -44,7 +45,10 @@ def pairs(spark, d):
 
 
 def image_metrics(spark, d):
-    p = pairs(spark, d)
+    return metrics_of(pairs(spark, d))
+
+
+def metrics_of(p):
     return p.select("vec_id", "label", S.mean_abs_diff(F.col("x"), F.col("y")).alias("l1"), S.psnr(F.col("x"), F.col("y")).alias("psnr"))
 
 
@@ -312,7 +316,10 @@ def eval_rollup(spark, d):
 
 @query
 def eval_report(spark, d):
-    return metrics.report(metrics.evaluate(image_metrics(spark, d), pairs(spark, d), code_histogram(spark, d)))
+    # what all parts of the report read: codes are looked for once
+    p = checkpoint(pairs(spark, d))
+    hist = vq.histogram(p.select("code"), X.codebook(spark, d))
+    return metrics.report(metrics.evaluate(metrics_of(p), p, hist))
 
 
 @query

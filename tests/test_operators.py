@@ -258,15 +258,16 @@ def test_report_query_shows_the_real_distance(spark):
     assert any(v for v in rfid.values()) and rows[-1].codebook == "1.0000"
 
 
-def test_moments_of_wide_features_come_as_one_row_a_group(spark):
+def test_moments_of_wide_features_come_in_tiles(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(60, 300))
     d = spark.createDataFrame([("ab"[i % 2], r.tolist()) for i, r in enumerate(x)] + [("a", None)], "g string, z array<double>").repartition(6)
-    sums = metrics.moment_sums(d, ["z"], "g")
-    assert sorted((r.whole, r.g or "") for r in sums.select("whole", "g").collect()) == [(False, "a"), (False, "b"), (True, "")]
+    tiles = metrics.moment_tiles(d, ["z"], "g").collect()
+    assert sorted((r.whole, r.g or "", r.i, r["j"], r.n) for r in tiles) == sorted((w, g, i, k, n) for w, g, n in ((False, "a", 30), (False, "b", 30), (True, "", 60)) for i, k in ((0, 0), (0, 1), (1, 1)))
+    assert {(len(r.si), len(r.sj), len(r.m)) for r in tiles} == {(256, 256, 65536), (256, 44, 256 * 44), (44, 44, 44 * 44)}
     got = {(r.i, r["j"]): r["cov"] for r in metrics.covariance(d).collect()}
     want = np.cov(x, rowvar=False)
-    assert len(got) == 90_000 and all(abs(got[i, k] - want[i, k]) < 1e-9 for i, k in [(0, 0), (3, 299), (299, 3), (150, 20)])
+    assert len(got) == 90_000 and all(abs(got[i, k] - want[i, k]) < 1e-9 for i in range(300) for k in range(300))
 
 
 def test_frechet_closed_forms():
