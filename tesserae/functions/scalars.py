@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CROP_MARGIN = 1.05
@@ -34,6 +34,54 @@ def hash_key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)))
 
 
+#: Rounds of a permutation, and steps after which one that is still outside raises.
+ROUNDS, WALK = 6, 24
+_MODULUS, _FACTOR = (1 << 31) - 1, 1_597_334_677
+
+
+def permutation_keys(*parts: Column | str | int) -> Column:
+    """The keys of a permutation that the parts select."""
+    return F.array(*(hash_number(*parts, i) for i in range(ROUNDS)))
+
+
+def rectangle(n: Column) -> tuple[Column, Column]:
+    """Sides of a rectangle of at least n places, about sqrt(n) each, with fewer than sqrt(n) too many."""
+    a = F.ceil(F.sqrt(n.cast("double")))
+    return a, F.ceil(n / a)
+
+
+def walked(v: Column, n: Column, a: Column, b: Column, keys: Column) -> Column:
+    """From a place at or beyond n, permuted again until it is below: up to ``WALK`` steps, else it raises."""
+    sides = F.transform(keys, lambda k, i: F.struct(k.alias("k"), F.when(i % 2 == 0, a).otherwise(b).alias("side")))
+
+    def once(v: Column) -> Column:
+        start = F.struct((v % a).alias("l"), F.floor(v / a).alias("r"))
+        mix = lambda r, k: (r * F.lit(_FACTOR) + k) % F.lit(_MODULUS)
+        step = lambda s, k: F.struct(s["r"].alias("l"), ((s["l"] + mix(s["r"], k["k"]) * mix(s["r"], k["k"]) % F.lit(_MODULUS)) % k["side"]).alias("r"))
+        return F.aggregate(sides, start, step, lambda s: s["r"] * a + s["l"])
+
+    steps = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), v, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    found = F.filter(F.array(steps), lambda v: v < n)
+    return F.coalesce(F.get(found, F.lit(0)), F.raise_error(F.lit("a permutation didn't come back to its range")).cast("bigint"))
+
+
+def permute(df: DataFrame, x: str, n: str, a: str, b: str, keys: str, out: str) -> DataFrame:
+    """Adds where a keyed permutation of [0, n) puts x: a function of each row alone, so nothing is sorted. a, b: the ``rectangle`` of n.
+
+    A Feistel network over the rectangle's places; what falls at or beyond n is permuted again, which few rows
+    need (fewer than one in sqrt(n)). Any x comes back within ``WALK`` steps where sqrt(n) <= WALK; for larger n one
+    in more than WALK ** WALK would not, and raises. Each round is a projection of its own, in generated code.
+    """
+    d = df.withColumns({"__l": F.col(x) % F.col(a), "__r": F.floor(F.col(x) / F.col(a))})
+    for i in range(ROUNDS):
+        t = f"((__r * {_FACTOR} + `{keys}`[{i}]) % {_MODULUS})"
+        d = d.withColumns({"__l": F.col("__r"), "__r": F.expr(f"(__l + {t} * {t} % {_MODULUS}) % `{b if i % 2 else a}`")})
+    d = d.withColumn("__v", F.col("__r") * F.col(a) + F.col("__l"))
+    again = walked(F.col("__v"), F.col(n), F.col(a), F.col(b), F.col(keys))
+    # filters stop at a generator: pushed below the rounds, they would repeat them
+    return d.withColumn(out, F.explode(F.array(F.when(F.col("__v") < F.col(n), F.col("__v")).otherwise(again)))).drop("__l", "__r", "__v")
+
+
 def normalize(pixels: Column) -> Column:
     """[0, 1] to [-1, 1]."""
     return F.transform(pixels, lambda x: (x - 0.5) / 0.5)

@@ -5,30 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash_key
-from .ordering import group_row_numbers, row_numbers
+from ..functions.scalars import hash_number, permutation_keys, permute, rectangle
+from .ordering import group_places
 
 
-def plan(items: DataFrame, batch_size: int, seed: int = 42, epoch: int = 0, drop_last: bool = True, key: str = "image_id", bucket: str = "bucket_id") -> DataFrame:
-    """batch_no, bucket, pos, key: items in hash order within their bucket, cut into batches, batches in hash order.
+def index(items: DataFrame, key: str = "image_id", bucket: str = "bucket_id") -> DataFrame:
+    """key, bucket, place (gapless in the bucket, from 0), n (the bucket's size): what plans of all epochs are made of. Worth storing."""
+    return group_places(items.select(key, bucket), [bucket], hash_number("index", F.col(key)), key)
 
-    The same for the same (seed, epoch, items), whatever the partitioning. Batches, not items,
-    are put in global order; items follow by a join.
+
+def planned(indexed: DataFrame, batch_size: int, seed: int = 42, epoch: int = 0, drop_last: bool = True, key: str = "image_id", bucket: str = "bucket_id", total: bool = False) -> DataFrame:
+    """batch_no, bucket, pos, key (and batches, how many there are, where ``total``) of an ``index``: each bucket's places permuted and cut into batches, and all batches permuted, by keys of (seed, epoch).
+
+    Each row's batch follows from its place, so an epoch's plan shuffles only a row a bucket; the same for the same
+    (seed, epoch, items), whatever the partitioning.
     """
-    d = items.select(key, bucket).withColumn("__k", hash_key(seed, epoch, F.col(key)))
-    d = group_row_numbers(d, [bucket], "__k", key).withColumns({"local": F.floor((F.col("rn") - 1) / batch_size), "pos": (F.col("rn") - 1) % batch_size})
-    batches = d.groupBy(bucket, "local").agg(F.count("*").alias("n"))
-    if drop_last:
-        batches = batches.where(F.col("n") == batch_size)
-    batches = batches.withColumn("__b", hash_key(seed, epoch, "batch", F.col(bucket), F.col("local")))
-    batches = row_numbers(batches, "__b", bucket, "local", out="batch_no", start=0).select(bucket, "local", "batch_no")
-    return d.join(batches, [bucket, "local"]).select("batch_no", bucket, "pos", key)
+    full = F.floor if drop_last else F.ceil
+    b = indexed.groupBy(bucket).agg(F.first("n").alias("__n")).withColumn("__b", full(F.col("__n") / batch_size))
+    # buckets are few: a row each
+    b = b.withColumns({"__first": F.sum("__b").over(Window.orderBy(bucket)) - F.col("__b"), "__all": F.sum("__b").over(Window.partitionBy(F.lit(0)))})
+    (x, y), (x2, y2) = rectangle(F.col("__n")), rectangle(F.col("__all"))
+    b = b.withColumns({"__x": x, "__y": y, "__x2": x2, "__y2": y2, "__keys": permutation_keys(seed, epoch, F.col(bucket)), "__keys2": permutation_keys(seed, epoch, "batch")})
+    d = permute(indexed.drop("n").join(F.broadcast(b), bucket), "place", "__n", "__x", "__y", "__keys", "__to")
+    local = F.floor(F.col("__to") / batch_size)
+    d = d.where(local < F.col("__b")).withColumn("__no", F.col("__first") + local)
+    d = permute(d, "__no", "__all", "__x2", "__y2", "__keys2", "batch_no")
+    return d.select("batch_no", bucket, (F.col("__to") % batch_size).alias("pos"), key, *([F.col("__all").alias("batches")] if total else []))
+
+
+def plan(items: DataFrame, batch_size: int, seed: int = 42, epoch: int = 0, drop_last: bool = True, key: str = "image_id", bucket: str = "bucket_id", total: bool = False) -> DataFrame:
+    """batch_no, bucket, pos, key: single-bucket batches of all items in a seeded order. For several epochs, store the ``index`` and use ``planned``."""
+    return planned(index(items, key, bucket), batch_size, seed, epoch, drop_last, key, bucket, total)
 
 
 def shard(plan: DataFrame, world: int) -> DataFrame:
-    """Adds rank and local_no; ranks get equally many batches, the rest is dropped."""
-    total = plan.agg((F.coalesce(F.max("batch_no"), F.lit(-1)) + 1).alias("total"))
-    d = plan.join(F.broadcast(total)).where(F.floor(F.col("batch_no") / world) < F.floor(F.col("total") / world)).drop("total")
+    """Adds rank and local_no; ranks get equally many batches, the rest is dropped. A plan without ``batches`` is read twice."""
+    if "batches" not in plan.columns:
+        plan = plan.withColumn("batches", plan.agg(F.max("batch_no") + 1).scalar())
+    d = plan.where(F.floor(F.col("batch_no") / world) < F.floor(F.col("batches") / world)).drop("batches")
     return d.withColumns({"rank": (F.col("batch_no") % world).cast("bigint"), "local_no": F.floor(F.col("batch_no") / world)})
 
 

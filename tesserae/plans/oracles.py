@@ -24,12 +24,30 @@ def cover(margin: str) -> str:
     return f"{ASSIGNED}, c AS (SELECT image_id, bucket_id, bw, bh, greatest(bw::BIGINT, round_even(width * {s}, 0)::BIGINT) AS new_w, greatest(bh::BIGINT, round_even(height * {s}, 0)::BIGINT) AS new_h FROM a)"
 
 
+def _keys(*parts: str) -> str:
+    """The six keys of a permutation, with the side of the rectangle that each round takes."""
+    one = "('0x' || substr(md5({0} || ':{1}'), 1, 8))::BIGINT"
+    return ", ".join(f"{{{{'l': 0::BIGINT, 'r': 0::BIGINT, 'k': {one.format(' || '.join(parts), i)}, 'm': {'ab'[i % 2]}}}}}" for i in range(6)).replace("{{", "{").replace("}}", "}")
+
+
+def _permuted(x: str, keys: str) -> str:
+    """Where x goes, in a relation with n, the sides a and b, and keys."""
+    t = "((s.r * 1597334677 + e.k) % 2147483647)"
+    once = f"list_reduce(list_concat([{{'l': ({{0}}) % a, 'r': ({{0}}) // a, 'k': 0::BIGINT, 'm': 0::BIGINT}}], {keys}), lambda s, e: {{'l': s.r, 'r': (s.l + {t} * {t} % 2147483647) % e.m, 'k': 0::BIGINT, 'm': 0::BIGINT}})"
+    place = "({0}).r * a + ({0}).l"
+    whole = place.format(once)
+    return f"list_reduce(list_concat([{whole.replace('{0}', x)}], list_transform(range(24), lambda i: -1::BIGINT)), lambda v, w: CASE WHEN v < n THEN v ELSE {whole.replace('{0}', 'v')} END)"
+
+
 def plan(items: str, key: str, bucket: str, drop_last: bool) -> str:
-    keep = "WHERE n = 8" if drop_last else ""
-    return f"""r AS (SELECT {key}, {bucket}, row_number() OVER (PARTITION BY {bucket} ORDER BY md5('42:0:' || {key}), {key}) - 1 AS rn FROM {items}),
- l AS (SELECT {key}, {bucket}, rn // 8 AS local, rn % 8 AS pos FROM r),
- g AS (SELECT {bucket}, local, row_number() OVER (ORDER BY md5('42:0:batch:' || {bucket} || ':' || local), {bucket}, local) - 1 AS batch_no FROM (SELECT {bucket}, local, count(*) AS n FROM l GROUP BY ALL) {keep}),
- plan AS (SELECT batch_no, {bucket}, pos, {key} FROM l JOIN g USING ({bucket}, local))"""
+    full = "n // 8" if drop_last else "(n + 7) // 8"
+    sides = lambda n: f"ceil(sqrt({n}::DOUBLE))::BIGINT"
+    return f"""ix AS (SELECT {key}, {bucket}, row_number() OVER (PARTITION BY {bucket} ORDER BY ('0x' || substr(md5('index:' || {key}), 1, 8))::BIGINT, {key}) - 1 AS place FROM {items}),
+ bk AS (SELECT *, sum({full}) OVER (ORDER BY {bucket})::BIGINT - {full} AS first_, sum({full}) OVER ()::BIGINT AS total, {full} AS full_, [{_keys("'42:0:'", bucket)}] AS ks
+   FROM (SELECT {bucket}, n, {sides('n')} AS a, ceil(n / {sides('n')})::BIGINT AS b FROM (SELECT {bucket}, count(*) AS n FROM ix GROUP BY ALL))),
+ lo AS (SELECT {key}, {bucket}, first_, total, full_, {_permuted('place', 'ks')} AS dest FROM ix JOIN bk USING ({bucket})),
+ fu AS (SELECT {key}, {bucket}, dest % 8 AS pos, first_ + dest // 8 AS x, total AS n, {sides('total')} AS a, ceil(total / {sides('total')})::BIGINT AS b FROM lo WHERE dest // 8 < full_),
+ plan AS (SELECT {_permuted('x', '[' + _keys("'42:0:batch'") + ']')} AS batch_no, {bucket}, pos, {key} FROM fu)"""
 
 
 PLAN = f"{ASSIGNED}, {plan('a', 'image_id', 'bucket_id', True)}"

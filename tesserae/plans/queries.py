@@ -52,8 +52,8 @@ def metrics_of(p):
     return p.select("vec_id", "label", S.mean_abs_diff(F.col("x"), F.col("y")).alias("l1"), S.psnr(F.col("x"), F.col("y")).alias("psnr"))
 
 
-def the_plan(spark, d):
-    return sampler.plan(assigned_images(spark, d), BATCH, SEED, EPOCH)
+def the_plan(spark, d, total=False):
+    return sampler.plan(assigned_images(spark, d), BATCH, SEED, EPOCH, total=total)
 
 
 @query
@@ -175,17 +175,17 @@ def batch_plan(spark, d):
 
 @query
 def rank_shards(spark, d):
-    return sampler.shard(the_plan(spark, d), WORLD).select("rank", "local_no", "batch_no", "pos", "image_id")
+    return sampler.shard(the_plan(spark, d, total=True), WORLD).select("rank", "local_no", "batch_no", "pos", "image_id")
 
 
 @query
 def resume_slice(spark, d):
-    return sampler.resume(sampler.shard(the_plan(spark, d), WORLD), rank=1, offset=5).select("rank", "local_no", "batch_no", "pos", "image_id")
+    return sampler.resume(sampler.shard(the_plan(spark, d, total=True), WORLD), rank=1, offset=5).select("rank", "local_no", "batch_no", "pos", "image_id")
 
 
 @query
 def accum_windows(spark, d):
-    return sampler.accumulate(sampler.shard(the_plan(spark, d), WORLD), ACCUMULATION)
+    return sampler.accumulate(sampler.shard(the_plan(spark, d, total=True), WORLD), ACCUMULATION)
 
 
 @query
