@@ -62,9 +62,10 @@ def test_places_have_no_gaps_and_dont_depend_on_cells(spark):
     assert all(sorted(p) == list(range(n)) for (_, n), p in by.items()) and sum(n for _, n in by) == 500
 
 
-def test_plans_of_epochs_come_from_one_index(spark):
+def test_plans_of_epochs_come_from_one_index(spark, tmp_path):
     items = spark.createDataFrame([(i, i % 7 % 3) for i in range(400)], "image_id bigint, bucket_id int")
-    stored = sampler.index(items).cache()
+    sampler.index(items).write.parquet(str(tmp_path / "index"))
+    stored = spark.read.parquet(str(tmp_path / "index"))
     for epoch in (0, 1):
         want = sorted(map(tuple, sampler.plan(items.repartition(9), 8, 5, epoch).collect()))
         d = sampler.planned(stored, 8, 5, epoch)
