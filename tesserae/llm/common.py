@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.shared import checkpoint, delete, fresh_path, shared_dir
 
-__all__ = ["CRC_TABLE_SQL", "SPACE", "checkpoint", "crc_sql", "delete", "fresh_path", "partitions", "read_table", "shared_dir", "text_bytes"]
+__all__ = ["CRC_TABLE_SQL", "SPACE", "checkpoint", "crc_sql", "delete", "fresh_name", "fresh_path", "partitions", "read_table", "shared_dir", "text_bytes"]
 
 #: Java and DuckDB pattern of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,6 +22,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(name: str = "text") -> Column:
     """The column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")

@@ -56,9 +56,18 @@ def row_bytes(docs: DataFrame) -> Column:
     return total
 
 
+def _has_map(kind: T.DataType) -> bool:
+    """Whether a type is or holds one that can't be hashed."""
+    if isinstance(kind, T.ArrayType):
+        return _has_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def row_hash(docs: DataFrame, seed: int) -> Column:
-    """A hash of all columns; maps, which can't be hashed, as JSON."""
-    return F.xxhash64(F.lit(seed), *(F.to_json(F.col(f"`{c}`")) if k.startswith("map") else F.col(f"`{c}`") for c, k in docs.dtypes))
+    """A hash of all columns; those that are or hold maps or variants, which can't be hashed, as JSON."""
+    return F.xxhash64(F.lit(seed), *(F.to_json(F.struct(F.col(f"`{f.name}`"))) if _has_map(f.dataType) else F.col(f"`{f.name}`") for f in docs.schema.fields))
 
 
 def shuffled(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
