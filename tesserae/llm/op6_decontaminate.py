@@ -12,9 +12,10 @@ passages count in full. A document is contaminated if an item is covered to ``CO
    passes it with a chance of a few per thousand) is built by tasks and sent to all.
 2. One pass over the documents, whatever the size of the benchmark, keeps the texts with a seed
    in the bitmap, equal texts once, with those seeds.
-3. Seeds join the items that have them; the distinct pairs of text and item are tiled, a text with one
-   item at a time. So a passage in a third of all documents costs each distinct text its own tiling, and
-   no group is collected.
+3. An item is posted under its rarest seeds, as many as a text that covers it can't miss; texts join those, and pairs that share
+   too few seeds in all are dropped, so that a common phrase alone pairs nothing. Only then are texts read: each pair is
+   tiled, a text with one item at a time. A passage in a third of all documents costs each distinct text its own tiling,
+   and no group is collected.
 4. The contaminated texts, known by their SHA-256, are looked up where the documents lie: broadcast up to
    ``FEW`` of them, joined by a shuffle beyond that.
 
@@ -30,16 +31,17 @@ are ignored by ``leaks`` and kept by ``clean``, whatever their names.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, read_table
+from .common import checkpoint, fresh_name, read_table
 from .op2_minhash_dedup import run_hashes
 
 SEED, COVERAGE, FEW = 5, 0.5, 200_000
@@ -153,41 +155,86 @@ def in_bitmap(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return h
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """item (a number of its own for each row), item_id, text, n (the seed's tokens), seeds."""
+def items_of(benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+    """item (a number of its own for each row), item_id, text, n (the seed's tokens), seeds (different ones), weights (places of each) and needed.
+
+    Tiles that cover w tokens, n each at least, hold w / n places of seeds or more; so a text covers the item only if the seeds that both
+    have take ``needed`` of the item's places.
+    """
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, found = [], []
+            n, found, weights, needed = [], [], [], []
             for t in b.column("text").to_pylist():
                 w = numbers(t)
                 n.append(min(SEED, len(w)))
-                found.append(np.unique(seeds(w, n[-1])).view(np.int64) if len(w) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64()))], [*b.schema.names, "n", "seeds"])
+                s, m = np.unique(seeds(w, n[-1]), return_counts=True) if len(w) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                found.append(s.view(np.int64))
+                weights.append(m.astype(np.int32))
+                # w >= coverage * len(item) has the tolerance of that product
+                needed.append(max(1, math.ceil(math.ceil(coverage * len(w) - 1e-9) / n[-1])) if len(w) else 1)
+            more = [pa.array(n, pa.int32()), pa.array(found, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32())), pa.array(needed, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "n", "seeds", "weights", "needed"])
 
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return checkpoint(b.mapInArrow(seeded, "item_id long, text string, n int, seeds array<long>").where("n > 0").withColumn("item", F.monotonically_increasing_id()))
+    return checkpoint(b.mapInArrow(seeded, "item_id long, text string, n int, seeds array<long>, weights array<int>, needed int").where("n > 0").withColumn("item", F.monotonically_increasing_id()))
+
+
+#: Bytes of a bitmap that are put together at once.
+SEGMENT = 1 << 16
 
 
 def bitmap_of(items: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of all items' seeds: one of each task, put together by one task, 2 ** bits / 8 bytes each."""
+    """The bitmap of all items' seeds, 2 ** bits / 8 bytes: each task gives the segments that it has set, which are put together segment by segment."""
+    size = min(SEGMENT, 1 << (bits - 3))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(1 << (bits - 3), np.uint8)
         for b in batches:
             for s in _SHIFTS:
                 np.bitwise_or.at(out, *_probe(b.column(0).flatten().to_numpy().view(np.uint64), bits, s))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bitmap"])
+        for k in np.flatnonzero(out.reshape(-1, size).any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([out[k * size : (k + 1) * size].tobytes()], pa.binary())], ["segment", "bitmap"])
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << (bits - 3), np.uint8)
+        of, out = None, np.zeros(size, np.uint8)
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([of]), pa.array([out.tobytes()], pa.binary())], ["segment", "bitmap"])
+
         for b in batches:
-            for x in b.column(0):
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if k != of:
+                    if of is not None:
+                        yield row()
+                    of, out = k, np.zeros(size, np.uint8)
                 out |= np.frombuffer(x.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bitmap"])
-
-    got = items.select("seeds").mapInArrow(put, "bitmap binary").repartition(1).mapInArrow(together, "bitmap binary").collect()
-    return np.frombuffer(bytes(got[0].bitmap), np.uint8) if got else np.zeros(1 << (bits - 3), np.uint8)
+        if of is not None:
+            yield row()
+
+    kind = "segment long, bitmap binary"
+    whole = np.zeros(1 << (bits - 3), np.uint8)
+    for r in items.select("seeds").mapInArrow(put, kind).repartition("segment").sortWithinPartitions("segment").mapInArrow(together, kind).collect():
+        whole[r.segment * size : (r.segment + 1) * size] = np.frombuffer(bytes(r.bitmap), np.uint8)
+    return whole
+
+
+def candidates(mine: DataFrame, items: DataFrame) -> DataFrame:
+    """digest, item: texts (digest, seeds) and items that share enough seeds for the text to cover the item.
+
+    An item is posted under its rarest seeds alone: the seeds left out, which most texts have, together take fewer places than
+    ``needed``, so a text that covers the item has a posted one. What texts and items merely share by a common phrase is never paired;
+    the pairs that are left are held against all their seeds, before any text is read.
+    """
+    each = mine.select("digest", F.explode("seeds").alias("h"))
+    texts = each.groupBy("h").agg(F.count("*").alias("texts"))
+    seeds_ = items.select("item", "needed", F.explode(F.arrays_zip("seeds", "weights")).alias("s")).select("item", "needed", F.col("s.seeds").alias("h"), F.col("s.weights").alias("w"))
+    # most frequent first; seeds that no text has are rarest
+    order = Window.partitionBy("item").orderBy(F.col("texts").desc_nulls_last(), "h").rowsBetween(Window.unboundedPreceding, 0)
+    posted = seeds_.join(texts, "h", "left").withColumn("taken", F.sum("w").over(order)).where("taken >= needed AND texts IS NOT NULL")
+    pairs = each.join(posted.select("item", "h"), "h").select("digest", "item").distinct()
+    both = pairs.join(items.select("item", F.col("seeds").alias("theirs"), "needed", (F.aggregate("weights", F.lit(0), lambda a, w: a + w) - F.size("weights")).alias("again")), "item").join(mine.select("digest", "seeds"), "digest")
+    return both.where(F.size(F.array_intersect("seeds", "theirs")) + F.col("again") >= F.col("needed")).select("digest", "item")
 
 
 def digest_of(text: Column) -> Column:
@@ -196,7 +243,7 @@ def digest_of(text: Column) -> Column:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """digest (of a text), item_ids, coverage (the most of any item), n_tiles and n_words of the texts that cover an item."""
-    items = items_of(benchmark)
+    items = items_of(benchmark, coverage)
     size = items.agg(F.sum(F.size("seeds")), F.collect_set("n")).first()
     lengths = sorted(size[1] or [])
     bits = min(MOST_BITS, max(16, int(np.ceil(np.log2(BITS_A_SEED * (size[0] or 1))))))
@@ -217,9 +264,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     t = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(seeded, "text string, seeds array<long>")
     t = checkpoint(t.groupBy(digest_of(F.col("text")).alias("digest")).agg(F.first("text").alias("doc"), F.first("seeds").alias("seeds")))
-    mine = t.select("digest", F.explode("seeds").alias("h"))
-    theirs = items.select("item", F.explode("seeds").alias("h"))
-    pairs = checkpoint(mine.join(theirs, "h").select("digest", "item").distinct())
+    pairs = checkpoint(candidates(t.select("digest", "seeds"), items))
     rows = pairs.join(items.select("item", "item_id", "text"), "item").join(t.select("digest", "doc"), "digest").select("digest", "doc", "item_id", "text")
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +307,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of docs that cover no item; they are not shuffled for it unless very many texts are contaminated."""
-    found = contaminated(docs, benchmark, coverage).select(F.col("digest").alias("__digest"))
-    return docs.join(_near(found), _digest(docs) == F.col("__digest"), "left_anti")
+    name = fresh_name(docs, "__digest")
+    found = contaminated(docs, benchmark, coverage).select(F.col("digest").alias(name))
+    return docs.join(_near(found), _digest(docs) == F.col(name), "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,14 @@ import string
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from tesserae.llm import op6_decontaminate as op6
+from tesserae.llm import op7_shards as op7
 from tesserae.llm import op11_secrets as op11
 from tesserae.llm import op12_conversations as op12
 from tesserae.llm import op13_merkle as op13
@@ -280,3 +285,81 @@ def test_op13_finds_a_changed_node(spark, tmp_path, monkeypatch):
     assert op13.fold(own, 19, 20, 0, 1, siblings) == root != op13.fold(own, 19, 20, 0, 1, siblings[::-1])
     with pytest.raises(ValueError):
         op13.fold(own, 19, 20, 0, 1, siblings[64:])
+
+
+# names and types in other operators
+
+
+def test_op6_common_phrases_pair_nothing(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(6))
+    phrase = "all rights reserved by the owner"
+    texts = [(i, " ".join([*(word() for _ in range(30)), phrase, *(word() for _ in range(30))]), "en", "s", 1) for i in range(120)]
+    items = [(i, " ".join([*(word() for _ in range(12)), phrase, *(word() for _ in range(12))])) for i in range(40)]
+    texts.append((500, "x " + items[7][1] + " y", "en", "s", 1))
+    half = items[9][1].split()
+    texts.append((501, " ".join(half[20:] + ["q"] + half[8:19]), "en", "s", 1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = op6.items_of(bench)
+    found = spark.createDataFrame([(str(i), [int(x) for x in op6.seeds(op6.numbers(t), 5).view("int64")]) for i, t, *_ in texts], "digest string, seeds array<long>")
+    # the whole benchmark's seeds pass for each text: only the two that cover an item are paired
+    assert sorted(r.digest for r in op6.candidates(found, known).collect()) == ["500", "501"]
+    assert {r.doc_id: r.item_ids for r in op6.leaks(docs_of(spark, texts), bench).collect()} == {500: [7], 501: [9]}
+
+
+@pytest.mark.parametrize("coverage", [0.2, 0.5, 0.8, 1.0])
+def test_op6_candidates_lose_nothing(spark, coverage):
+    rng = random.Random(int(coverage * 10))
+    words = [f"w{i}" for i in range(9)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, text(rng.choice([2, 4, 5, 6, 9, 14, 30]))) for i in range(25)]
+    docs = []
+    for i in range(60):
+        w = text(rng.randrange(30)).split()
+        for _ in range(rng.randrange(4)):
+            x = rng.choice(items)[1].split()
+            a = rng.randrange(len(x))
+            w += x[a : a + rng.randrange(1, 20)] + text(rng.randrange(3)).split()
+        docs.append((i, " ".join(w), "en", "s", 1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {}
+    for i, t, *_ in docs:
+        for k, x in items:
+            x = op6.tokens(x)
+            if op6.covered(op6.tokens(t), x)[1] >= coverage * len(x):
+                want.setdefault(i, set()).add(k)
+    assert {r.doc_id: set(r.item_ids) for r in op6.leaks(docs_of(spark, docs), bench, coverage).collect()} == want and want
+
+
+def test_op6_bitmap_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(op6, "SEGMENT", 16)
+    items = op6.items_of(spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(12))) for i in range(30)], "item_id long, text string").repartition(5))
+    bitmap = op6.bitmap_of(items, 14)
+    found = [x for r in items.collect() for x in r.seeds]
+    assert len(op6.in_bitmap(bitmap, np.array(found, np.int64).view(np.uint64), 14)) == len(found)
+    assert np.unpackbits(bitmap).sum() <= len(found) * 8
+
+
+#: Names that the library uses inside.
+INNER = "__gone __digest __of __source __take cut doc key digest __text h id bucket slot_ __row __n item seeds n w size rank cum taken needed __h row hash ids share rest"
+
+
+def test_pipeline_takes_inner_names_and_nested_maps(spark, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = spark.read.parquet(f"{SF}/documents.parquet").limit(60).select("*", *(F.col("doc_id").alias(c) for c in INNER.split()))
+    maps = F.create_map(F.lit("k"), F.col("doc_id"))
+    d = d.withColumns({"in_array": F.array(maps), "in_struct": F.struct(maps.alias("m")), "plain": maps, "deep": F.array(F.struct(F.array(maps).alias("x")))})
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(d.columns) <= set(out.columns)
+    rows = out.collect()
+    assert rows and all(r["__gone"] == r["doc_id"] == r["in_array"][0]["k"] == r["deep"][0]["x"][0]["k"] for r in rows)
+
+
+def test_op7_maps_anywhere(spark):
+    maps = F.create_map(F.lit("k"), F.col("doc_id"))
+    d = docs_of(spark, [(i, "t", "en", "s", 1) for i in range(40)]).withColumns({"a": F.array(maps), "b": F.struct(F.array(maps).alias("m")), "c": F.when(F.col("doc_id") > 5, maps)})
+    got = op7.shuffled(d).select("doc.doc_id", "shard", "slot").collect()
+    assert sorted(r.doc_id for r in got) == list(range(40)) and len({(r.shard, r.slot) for r in got}) == 40
+    assert op7.row_hash(d, 1) is not None and d.select(op7.row_hash(d, 1).alias("h")).distinct().count() == 40
