@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import delete, fresh_path, read_table
+from tesserae.llm.common import delete, fresh_name, fresh_path, read_table
 from tesserae.llm.op2_minhash_dedup import near_duplicates
 from tesserae.llm.op3_quality_classifier import accepted
 from tesserae.llm.op6_decontaminate import clean
@@ -26,8 +26,9 @@ SIMILARITY = 80
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs less the rows whose doc_id is in dropped; rows with a null doc_id stay."""
-    gone = dropped.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    name = fresh_name(docs, "__gone")
+    gone = dropped.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
