@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, read_table, text_bytes
 
-CACHED, SHARD_WORDS, SHARDS = 200_000, 4_000_000, 20_000
+CACHED, SHARD_WORDS, SHARDS = 200_000, 1_000_000, 200_000
 SIDE, DIM, HIDDEN, ROUNDS, FAN, BATCH = 2, 12, 32, 4, 32, 2048
 LEAST, MOST = 16, 250
 
@@ -390,5 +390,41 @@ def score(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
+def held_out(docs: DataFrame, one_in: int = 10) -> tuple[float, float, int]:
+    """Mean log probability of a word's class in texts that the network wasn't trained on (one in so many, by hash, equal texts together), the same by the classes' frequencies in the others, and how many words.
+
+    A word's share of its class adds the same to both, so the difference is what the words beside it tell.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+    vocab = vocabulary(texts)
+    codes, classes = encoded(texts, vocab), vocab.size
+    held = F.pmod(F.xxhash64("ids", F.lit(one_in)), F.lit(one_in)) == 0
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(classes + 1, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                n += np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=classes + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(n[:classes])], ["class", "n"])
+
+    counts = np.ones(classes)
+    for r in codes.where(~held).select("ids").mapInArrow(seen, "class long, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        counts[r["class"]] += r.n
+    sent = docs.sparkSession.sparkContext.broadcast((fit(codes.where(~held), classes), np.log(counts / counts.sum())))
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, plain = sent.value
+        total, n = np.zeros(2), 0
+        for b in batches:
+            for _, part in _groups(b):
+                ids, at = _stream(part, classes)
+                total += (log_probs(flat, contexts(ids, at), ids[at]).sum(), plain[ids[at]].sum())
+                n += len(at)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*total, n)], ["net", "plain", "n"])
+
+    r = codes.where(held).select("doc_id", "ids").mapInArrow(judged, "net double, plain double, n long").agg(F.sum("net"), F.sum("plain"), F.sum("n")).first()
+    return r[0] / r[2], r[1] / r[2], r[2]
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(read_table(spark, sf_dir, "documents"))

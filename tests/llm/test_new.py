@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tesserae.llm import op6_decontaminate as op6
 from tesserae.llm import op7_shards as op7
+from tesserae.llm import op10_lm_score as op10
 from tesserae.llm import op11_secrets as op11
 from tesserae.llm import op12_conversations as op12
 from tesserae.llm import op13_merkle as op13
@@ -363,3 +364,8 @@ def test_op7_maps_anywhere(spark):
     got = op7.shuffled(d).select("doc.doc_id", "shard", "slot").collect()
     assert sorted(r.doc_id for r in got) == list(range(40)) and len({(r.shard, r.slot) for r in got}) == 40
     assert op7.row_hash(d, 1) is not None and d.select(op7.row_hash(d, 1).alias("h")).distinct().count() == 40
+
+
+def test_op10_beats_word_frequencies_on_texts_it_has_not_seen(spark):
+    net, plain, n = op10.held_out(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert n > 10_000 and net > plain + 0.3
