@@ -35,8 +35,35 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop's."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _at(spark, path)
+    return fs.exists(p)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder; nothing, if there is none."""
+    fs, p = _at(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def move(spark: SparkSession, made: str, to: str) -> bool:
+    """Renames a folder; False, and nothing moved, if the target is there."""
+    fs, p = _at(spark, made)
+    _, q = _at(spark, to)
+    if fs.exists(q):
+        return False
+    if not fs.rename(p, q):
+        raise OSError(f"{made} can't be renamed to {to}")
+    return True
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Removes a folder of the shared store, with what is in it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, p = _at(spark, path)
+    fs.delete(p, True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import denormalize, every, side_by_side, warmup
 from .ordering import rolling
+from .shared import checkpoint, exists
 
 WINDOW, SPIKE = 50, 5.0
 
@@ -38,9 +39,19 @@ def image_grids(pairs: DataFrame, key: str, width: int, most: int = 4, bucket: s
     return first.select(F.lit(f"{bucket}/input_vs_reconstruction").alias("tag"), key, F.lit(2 * width).alias("width"), pixels.alias("pixels"))
 
 
-def write_scalars(rows: DataFrame, path: str) -> None:
-    """Appends to a table that is partitioned by tag."""
-    rows.write.mode("append").partitionBy("tag").parquet(path)
+def write_scalars(rows: DataFrame, path: str, span: int = 10_000) -> None:
+    """Puts rows (tag, step, value) into a table that is partitioned by tag and by ``span`` steps; a (tag, step) that is there is replaced.
+
+    Only partitions that the rows touch are read and written anew, from a checkpoint, by dynamic overwrite, so a repeated call changes
+    nothing and an interrupted one can be repeated. Of several rows of a (tag, step) the greatest value stays.
+    """
+    spark = rows.sparkSession
+    new = checkpoint(rows.groupBy("tag", "step").agg(F.max("value").alias("value")).withColumn("steps", F.floor(F.col("step") / span)))
+    if exists(spark, path):
+        old = spark.read.schema("step bigint, value double, tag string, steps bigint").parquet(path)
+        old = old.join(new.select("tag", "steps").distinct(), ["tag", "steps"], "left_semi").join(new, ["tag", "step"], "left_anti")
+        new = checkpoint(old.unionByName(new))
+    new.repartition("tag", "steps").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tag", "steps").parquet(path)
 
 
 def spikes(steps: DataFrame, window: int = WINDOW, factor: float = SPIKE) -> DataFrame:

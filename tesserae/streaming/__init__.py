@@ -1,4 +1 @@
-"""Intentionally empty: the data this engine handles is finite, and every operator is a batch plan.
-
-Telemetry and scalar tables are appended in batches (``operators.telemetry.write_scalars``).
-"""
+"""State that goes from micro-batch to micro-batch."""

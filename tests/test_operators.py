@@ -436,11 +436,19 @@ def test_scalar_families(spark):
     assert {tuple(r) for r in telemetry.validation_scalars(v, 9).collect()} == {("val_bucket_a/recon_l1", 9, 0.5), ("val/recon_l1", 9, 0.25)}
 
 
-def test_scalar_sink(spark, tmp_path):
-    rows = spark.createDataFrame([("train/a", 1, 0.5), ("val/b", 1, 2.0)], "tag string, step bigint, value double")
+def test_scalar_sink_replaces_steps(spark, tmp_path):
+    path = str(tmp_path / "s")
+    schema = "tag string, step bigint, value double"
+    first = [(t, s, float(s)) for t in ("train/a", "val/b") for s in range(0, 40, 2)]
+    telemetry.write_scalars(spark.createDataFrame(first, schema), path, span=10)
+    untouched = sorted(p.name for p in (tmp_path / "s/tag=val%2Fb").rglob("*.parquet"))
+    again = [("train/a", s, -1.0) for s in range(6, 13)] + [("train/a", 7, -3.0), ("train/c", 1, 5.0)]
     for _ in range(2):
-        telemetry.write_scalars(rows, str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).where("tag = 'val/b'").count() == 2
+        telemetry.write_scalars(spark.createDataFrame(again, schema), path, span=10)
+        want = {(t, s): v for t, s, v in first} | {("train/a", s): -1.0 for s in range(6, 13)} | {("train/c", 1): 5.0}
+        rows = spark.read.parquet(path).select("tag", "step", "value").collect()
+        assert len(rows) == len(want) and {(r.tag, r.step): r.value for r in rows} == want
+    assert untouched == sorted(p.name for p in (tmp_path / "s/tag=val%2Fb").rglob("*.parquet"))
 
 
 def test_inference_boundary(spark):
