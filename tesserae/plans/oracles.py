@@ -2,14 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import BASE_CONFIG, OTHER_CONFIG, OVERRIDES
-
-
-def _values(rows) -> str:
-    q = lambda x: "NULL" if x is None else "'" + x + "'"
-    return "(VALUES " + ", ".join(f"({q(k)}, {q(v)})" for k, v in rows) + ") t(key, value)"
-
-
 BUCKETS = "b(bucket_id, bucket, bw, bh) AS (VALUES (0,'1:1',768,768),(1,'4:5',608,768),(2,'5:4',768,608),(3,'4:3',768,576),(4,'3:4',576,768),(5,'3:2',768,512),(6,'2:3',512,768),(7,'16:9',768,448),(8,'9:16',448,768))"
 IMAGES = "im AS (SELECT o_orderkey::BIGINT AS image_id, (320 + (o_custkey * 7919) % 3841)::INT AS width, (240 + (o_orderkey * 104729) % 2161)::INT AS height FROM orders)"
 #: The exact integer rule for the default table: squares of ratios against products of neighbouring ratios.
@@ -108,11 +100,24 @@ def kmeans(n: int, start: str = "") -> str:
     return f"WITH {', '.join(parts)} SELECT code, unnest(range(0, 64)) AS dim, round(unnest(e), 5) AS v FROM {c}"
 
 
+def trained(k: int) -> str:
+    """State q<k + 1> after a step on the vectors of ids k mod 2."""
+    return f"""b{k} AS (SELECT * FROM v WHERE vec_id % 2 = {k}), c{k} AS (SELECT code, list(e ORDER BY dim) AS e FROM q{k} GROUP BY code), {near(f'b{k}', f'c{k}', f't{k}')},
+ m{k} AS (SELECT code, dim, count(*) AS k, sum(x) AS x FROM (SELECT code, unnest(range(0, 64)) AS dim, unnest(z) AS x FROM t{k}) GROUP BY ALL),
+ a{k} AS (SELECT q.code, q.dim, 0.99::DOUBLE * s + 0.01::DOUBLE * coalesce(x, 0) AS s, 0.99::DOUBLE * n + 0.01::DOUBLE * coalesce(k, 0) AS n, u + coalesce(k, 0) AS u FROM q{k} q LEFT JOIN m{k} m USING (code, dim)),
+ q{k + 1} AS (SELECT code, dim, s / ((n + 1e-5) / (total + codes * 1e-5) * total) AS e, s, n, u FROM a{k}, (SELECT sum(n) AS total, count(*) AS codes FROM a{k} WHERE dim = 0))"""
+
+
+_SETTING = """SELECT 'run' || user_id || '.' || CASE event_type WHEN 'click' THEN 'codebook_size' WHEN 'view' THEN 'use_ema' ELSE event_type END AS key,
+   (arg_max({{'v': CASE WHEN {0} = 1 AND round(value * 100)::BIGINT % 3 = 0 THEN NULL ELSE round(value * 100)::BIGINT::VARCHAR END}}, event_id)).v AS value FROM events WHERE event_id % 2 = {0} GROUP BY 1"""
+SETTINGS = f"a AS ({_SETTING.format(0)}), o AS ({_SETTING.format(1)})"
+
+
 ORACLES = {
     "catalog_filter": f"WITH {PATHS} SELECT image_id, path FROM pf",
     "catalog_count": f"WITH {PATHS} SELECT count(*) AS n_images FROM pf",
     "catalog_order": f"WITH {PATHS} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS place FROM pf",
-    "bucket_geometry": f"WITH {BUCKETS} SELECT bucket_id, bucket, bw, bh, bw / bh AS aspect_ratio, (bh // 32)::BIGINT AS grid_h, (bw // 32)::BIGINT AS grid_w, ((bh // 32) * (bw // 32))::BIGINT AS num_tokens FROM b",
+    "bucket_geometry": f"WITH {ASSIGNED} SELECT bucket_id, bucket, bw, bh, bw / bh AS aspect_ratio, (bh // 32)::BIGINT AS grid_h, (bw // 32)::BIGINT AS grid_w, ((bh // 32) * (bw // 32))::BIGINT AS num_tokens, n_images, n_images * (bh // 32) * (bw // 32) AS total_tokens FROM b JOIN (SELECT bucket_id, count(*) AS n_images FROM a GROUP BY ALL) USING (bucket_id)",
     "bucket_assign": f"WITH {ASSIGNED} SELECT image_id, width, height, bucket_id, bucket FROM a",
     "bucket_assign_join": f"WITH {BUCKETS}, {IMAGES} SELECT image_id, bucket_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY abs(ln(bw / bh) - ln(width / height)), bucket_id) AS k FROM im, b) WHERE k = 1",
     "bucket_counts": f"WITH {ASSIGNED} SELECT bucket_id, bucket, count(*) AS n_images, (count(*) // 8)::BIGINT AS full_batches FROM a GROUP BY ALL",
@@ -146,7 +151,7 @@ ORACLES = {
     "kmeans_3": kmeans(3),
     "recon_l1": f"WITH {METRICS} SELECT round(avg(l1), 6) AS recon_l1 FROM m",
     "vq_losses": f"WITH {TOKENS}, q AS (SELECT avg(d / 64) AS c FROM tok) SELECT false AS use_ema, round(c, 6) AS codebook_loss, round(c, 6) AS commitment_loss, round(c * 1.15::DOUBLE, 6) AS loss FROM q UNION ALL SELECT true, 0.0::DOUBLE, round(c, 6), round(c * 0.15::DOUBLE, 6) FROM q",
-    "adv_losses": f"""WITH {VECTORS}, f AS (SELECT z[1] AS r, z[2] AS k FROM v)
+    "adv_losses": f"""WITH {VECTORS}, f AS (SELECT unnest(z[1:32]) AS r, unnest(z[33:64]) AS k FROM v)
  SELECT 'hinge' AS kind, round(-avg(k), 6) AS generator, round(0.5::DOUBLE * (avg(greatest(0.0, 1 - r)) + avg(greatest(0.0, 1 + k))), 6) AS discriminator FROM f
  UNION ALL SELECT 'non_saturating', round(avg({SOFTPLUS.format('(-k)')}), 6), round(0.5::DOUBLE * (avg({SOFTPLUS.format('(-r)')}) + avg({SOFTPLUS.format('(k)')})), 6) FROM f""",
     "adaptive_weight": f"WITH {TOKENS} SELECT vec_id, round(least(1e4, greatest(0.0, sqrt(list_sum(list_transform(z, lambda x: x * x))) / (sqrt(d) + 1e-4))), 6) AS weight FROM tok",
@@ -155,9 +160,9 @@ ORACLES = {
     "feature_covariance": f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(z) AS x FROM v) SELECT p.i, q.i AS j, round(covar_samp(p.x, q.x), 6) AS cov FROM l p JOIN l q USING (vec_id) GROUP BY p.i, q.i",
     "eval_rollup": f"WITH {METRICS} SELECT label::VARCHAR AS bucket, count(*) AS num_images, round(avg(l1), 6) AS l1, round(avg(psnr), 6) AS psnr, label IS NULL OR count(*) >= 20 AS enough FROM m GROUP BY ROLLUP (label)",
     "kmeans_start": kmeans(2, "st AS (SELECT code, z AS e FROM (SELECT code, row_number() OVER (ORDER BY code) AS n FROM cb) JOIN (SELECT z, row_number() OVER (ORDER BY md5('42:kmeans:' || vec_id), vec_id) AS n FROM v) USING (n))"),
-    "revive_codes": f"""WITH {DEAD}, r AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS rn FROM dead WHERE window_no = 0),
- x AS (SELECT z, row_number() OVER (ORDER BY md5('42:revive:' || vec_id), vec_id) - 1 AS vn, count(*) OVER () AS n FROM v WHERE vec_id // 100 = 0),
- w AS (SELECT code, z FROM r JOIN x ON rn % n = vn)
+    "revive_codes": f"""WITH {DEAD}, r AS (SELECT *, row_number() OVER (PARTITION BY window_no ORDER BY code) - 1 AS rn FROM dead),
+ x AS (SELECT z, vec_id // 100 AS window_no, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY md5('42:revive:' || vec_id), vec_id) - 1 AS vn, count(*) OVER (PARTITION BY vec_id // 100) AS n FROM v),
+ w AS (SELECT code, arg_max(z, r.window_no) AS z FROM r JOIN x ON r.window_no = x.window_no AND rn % n = vn GROUP BY code)
  SELECT cb.code, round(list_sum(coalesce(z, e)), 6) AS total, round(list_sum(coalesce(z, e)), 6) AS ema_total, CASE WHEN z IS NULL THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS ema_n, 0::BIGINT AS usage FROM cb LEFT JOIN w USING (code)""",
     "quick_validation": f"WITH {METRICS}, {plan('v', 'vec_id', 'label', False)}, x AS (SELECT batch_no, label, avg(l1) AS l1 FROM plan JOIN (SELECT vec_id, l1 FROM m) USING (vec_id) WHERE batch_no < 40 GROUP BY ALL) SELECT label::VARCHAR AS bucket, count(*) AS n_batches, round(avg(l1), 6) AS recon_l1 FROM x GROUP BY ROLLUP (label)",
     "validation_scalars": f"WITH {METRICS}, {plan('v', 'vec_id', 'label', False)}, x AS (SELECT batch_no, label, avg(l1) AS l1 FROM plan JOIN (SELECT vec_id, l1 FROM m) USING (vec_id) WHERE batch_no < 40 GROUP BY ALL) SELECT CASE WHEN label IS NULL THEN 'val' ELSE 'val_bucket_' || label::VARCHAR END || '/recon_l1' AS tag, 2000::BIGINT AS step, round(avg(l1), 6) AS value FROM x GROUP BY ROLLUP (label)",
@@ -175,10 +180,12 @@ ORACLES = {
     "format_duration": f"WITH {EVENTS}, s AS (SELECT step, greatest(0, trunc((seconds - 10) * 97)::BIGINT) AS s FROM te) SELECT step, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') ELSE lpad((s // 60)::VARCHAR, 2, '0') END || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS text FROM s",
     "ckpt_retention": f"WITH {CHECKPOINTS}, r AS (SELECT *, step % 1000 = 0 AS milestone, row_number() OVER (ORDER BY step DESC) <= 5 AS recent FROM ck) SELECT * FROM r WHERE milestone OR recent",
     "resume_point": f"WITH {CHECKPOINTS} SELECT * FROM ck ORDER BY step DESC LIMIT 1",
-    "config_overlay": f"WITH a AS (SELECT * FROM {_values(BASE_CONFIG)}), o AS (SELECT * FROM {_values(OVERRIDES)}) SELECT a.key, coalesce(o.value, a.value) AS value FROM a LEFT JOIN o ON a.key = o.key",
-    "config_diff": f"""WITH a AS (SELECT * FROM {_values(BASE_CONFIG)}), o AS (SELECT * FROM {_values(OTHER_CONFIG)}), j AS (SELECT coalesce(a.key, o.key) AS key, a.value AS left_value, o.value AS right_value FROM a FULL JOIN o ON a.key = o.key)
- SELECT *, key IN ('model.use_ema', 'model.codebook_size') AS critical FROM j WHERE left_value IS DISTINCT FROM right_value""",
-    "pos_embedding": """WITH p AS (SELECT c, y, x, pow(10000.0, -(c % 4) / 4.0::DOUBLE) * CASE WHEN c < 8 THEN y ELSE x END AS a FROM range(16) t(c), range(4) u(y), range(6) w(x))
- SELECT c, y, x, round(CASE WHEN c // 4 % 2 = 0 THEN sin(a) ELSE cos(a) END, 6) AS value FROM p""",
+    "config_overlay": f"WITH {SETTINGS} SELECT a.key, coalesce(o.value, a.value) AS value FROM a LEFT JOIN o ON a.key = o.key",
+    "config_diff": f"""WITH {SETTINGS}, j AS (SELECT coalesce(a.key, o.key) AS key, a.value AS left_value, o.value AS right_value FROM a FULL JOIN o ON a.key = o.key)
+ SELECT *, string_split(key, '.')[2] IN ('use_ema', 'codebook_size') AS critical FROM j WHERE left_value IS DISTINCT FROM right_value""",
+    "pos_embedding": f"""WITH {VECTORS}, p AS (SELECT vec_id, c, z[c + 1] AS v, pow(10000.0, -(c % 4) / 4.0::DOUBLE) * CASE WHEN c < 8 THEN vec_id // 6 % 4 ELSE vec_id % 6 END AS a FROM v, range(16) t(c))
+ SELECT vec_id, c, round(v + CASE WHEN c // 4 % 2 = 0 THEN sin(a) ELSE cos(a) END, 6) AS value FROM p""",
+    "quantizer_steps": f"""WITH {VECTORS}, q0 AS (SELECT code, unnest(range(0, 64)) AS dim, unnest(e) AS e, unnest(e) AS s, 1.0::DOUBLE AS n, 0::BIGINT AS u FROM cb), {trained(0)}, {trained(1)}
+ SELECT code, round(any_value(n), 6) AS ema_n, any_value(u) AS usage, round(sum(e), 5) AS total, round(sum(s), 5) AS ema_total FROM q2 GROUP BY code""",
     "swish": f"WITH {VECTORS}, l AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(z) AS x FROM v) SELECT vec_id, i, round(x / (1 + exp(-x)), 6) AS value FROM l",
 }

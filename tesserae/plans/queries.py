@@ -9,17 +9,14 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import buckets as B
 from ..operators import embedding, losses, metrics, pixels, sampler, telemetry, vq
-from ..operators.shared import checkpoint
+from ..operators.shared import checkpoint, fresh_path
 from ..sources import catalog, config
 from ..sources import fixtures as X
+from ..streaming import quantizer
 
 BATCH, WORLD, ACCUMULATION, SEED, EPOCH = 8, 2, 8, 42, 0
 QUERIES: dict = {}
 
-BASE_CONFIG = [("train.batch_size", "2"), ("train.seed", "42"), ("model.use_ema", "false"), ("loss.lambda_adv", "0.1"), ("data.val_dir", '"data/val"')]
-OVERRIDES = [("train.batch_size", "16"), ("train.seed", None), ("model.use_ema", "true")]
-OTHER_CONFIG = [("train.batch_size", "2"), ("train.seed", "7"), ("model.use_ema", "true"), ("loss.lambda_adv", "0.1"), ("model.codebook_size", "1024")]
-
 
 def query(f):
     QUERIES[f.__name__] = f
@@ -73,7 +70,9 @@ def catalog_order(spark, d):
 
 @query
 def bucket_geometry(spark, d):
-    return B.geometry(B.table(spark))
+    """Geometry of the buckets that images take, and how many tokens those make."""
+    n = assigned_images(spark, d).groupBy("bucket_id").agg(F.count("*").alias("n_images"))
+    return B.geometry(B.table(spark)).join(n, "bucket_id").withColumn("total_tokens", F.col("n_images") * F.col("num_tokens"))
 
 
 @query
@@ -274,8 +273,9 @@ def vq_losses(spark, d):
 
 @query
 def adv_losses(spark, d):
-    """The first two coordinates of a vector stand in for the logits of a real and a reconstructed patch."""
-    v = X.vectors(spark, d).select(F.element_at("z", 1).alias("real"), F.element_at("z", 2).alias("fake"))
+    """The halves of a vector stand in for the logits of 32 real and 32 reconstructed patches."""
+    half = lambda i: F.slice("z", i, 32)
+    v = X.vectors(spark, d).select(F.explode(F.arrays_zip(half(1).alias("real"), half(33).alias("fake"))).alias("p")).select("p.real", "p.fake")
     each = [v.agg(losses.generator_term(F.col("fake"), k).alias("g"), losses.discriminator_term(F.col("real"), F.col("fake"), k).alias("d")).select(F.lit(k).alias("kind"), r6("g").alias("generator"), r6("d").alias("discriminator")) for k in losses.KINDS]
     return each[0].unionByName(each[1])
 
@@ -330,9 +330,9 @@ def kmeans_start(spark, d):
 
 @query
 def revive_codes(spark, d):
-    """The codebook after the revival check of the first window, with moving averages and counters."""
+    """The codebook after the revival checks of all windows (a code that was dead several times has the last vector), with moving averages and counters."""
     book = X.codebook(spark, d).select("code", "e", F.lit(5.0).alias("ema_n"), F.col("e").alias("ema_sum"), F.lit(9).cast("bigint").alias("usage"))
-    plan = revive_plan(spark, d).where("window_no = 0").select("code", "vec_id")
+    plan = revive_plan(spark, d).groupBy("code").agg(F.max_by("vec_id", "window_no").alias("vec_id"))
     r = vq.revived(book, plan, X.vectors(spark, d))
     return r.select("code", r6(S.array_sum(F.col("e"))).alias("total"), r6(S.array_sum(F.col("ema_sum"))).alias("ema_total"), "ema_n", "usage")
 
@@ -418,23 +418,43 @@ def resume_point(spark, d):
     return telemetry.resume_point(X.checkpoints(spark, d))
 
 
-def _kv(spark, rows):
-    return spark.createDataFrame(rows, "key string, value string")
+def settings(spark, d, given):
+    """key, value: fields of runs (users), by their latest event among those of even or odd ids; some of the odd ones are null."""
+    e = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_id") % 2 == int(given))
+    field = F.when(F.col("event_type") == "click", "codebook_size").when(F.col("event_type") == "view", "use_ema").otherwise(F.col("event_type"))
+    n = F.round(F.col("value") * 100).cast("bigint")
+    value = F.when((n % 3 == 0) & F.lit(given), None).otherwise(n.cast("string"))
+    return e.select(F.concat(F.lit("run"), F.col("user_id").cast("string"), F.lit("."), field).alias("key"), F.struct("event_id", value.alias("value")).alias("v")).groupBy("key").agg(F.max("v").alias("v")).select("key", "v.value")
 
 
 @query
 def config_overlay(spark, d):
-    return config.overlay(_kv(spark, BASE_CONFIG), _kv(spark, OVERRIDES))
+    return config.overlay(settings(spark, d, False), settings(spark, d, True))
 
 
 @query
 def config_diff(spark, d):
-    return config.differences(_kv(spark, BASE_CONFIG), _kv(spark, OTHER_CONFIG)).withColumn("critical", F.substring_index("key", ".", -1).isin(*config.CRITICAL))
+    return config.differences(settings(spark, d, False), settings(spark, d, True)).withColumn("critical", F.substring_index("key", ".", -1).isin(*config.CRITICAL))
 
 
 @query
 def pos_embedding(spark, d):
-    return embedding.positions(spark, 4, 6, 16).select("c", "y", "x", r6("value").alias("value"))
+    """Vectors as tokens of grids of 4 x 6: their first 16 channels with the position added."""
+    i = F.col("vec_id")
+    v = X.vectors(spark, d).select("vec_id", (F.floor(i / 6) % 4).alias("y"), (i % 6).alias("x"), F.posexplode(F.slice("z", 1, 16)).alias("c", "v")).withColumn("c", F.col("c").cast("bigint"))
+    # 384 rows
+    p = F.broadcast(embedding.positions(spark, 4, 6, 16))
+    return v.join(p, ["c", "y", "x"]).select("vec_id", "c", r6(F.col("v") + F.col("value")).alias("value"))
+
+
+@query
+def quantizer_steps(spark, d):
+    """The codebook after two training steps, on the vectors of even and then of odd ids."""
+    root = fresh_path(spark, "quantizer")
+    quantizer.start(X.codebook(spark, d), root)
+    for k in range(2):
+        quantizer.step(X.vectors(spark, d).where(F.col("vec_id") % 2 == k), root, k)
+    return quantizer.version(spark, root).select("code", r6("ema_n").alias("ema_n"), "usage", F.round(S.array_sum(F.col("e")), 5).alias("total"), F.round(S.array_sum(F.col("ema_sum")), 5).alias("ema_total"))
 
 
 @query
