@@ -52,6 +52,22 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def age(spark: SparkSession, path: str) -> float:
+    """When a file or folder was last modified, in seconds."""
+    fs, p = _at(spark, path)
+    return fs.getFileStatus(p).getModificationTime() / 1000
+
+
+def create(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file with its folders; one that is there is replaced."""
+    fs, p = _at(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def move(spark: SparkSession, made: str, to: str) -> bool:
     """Renames a folder; False, and nothing moved, if the target is there."""
     fs, p = _at(spark, made)
