@@ -7,8 +7,8 @@ unit is found in windows as long as the template. A unit is lower-cased and cut
 letters and digits. With A and B the bigram sets of unit and template, 2|A & B| / (|A| + |B|)
 can't reach t unless |A| lies between |B| t / (2 - t) and |B| (2 - t) / t, and |A & B| is at least
 |B| t / (2 - t): only templates within these bounds are compared. Each unit keeps its best template
-(of equal ones the first by name), each template its best window (the first of equal ones). Of matches
-that overlap, the one with the most common bigrams stays, of equal ones the one of the larger
+(of equal ones the first by name), each template all windows that reach t, so a licence that occurs again is found
+again. Of matches that overlap, the one with the most common bigrams stays, of equal ones the one of the larger
 coefficient, then the earlier, then the first by name.
 
 Everything happens inside a row: nothing is shuffled; the templates are a constant of about
@@ -23,6 +23,7 @@ table gives no rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -142,11 +143,12 @@ class Scanner:
                     best = (n, dice, name)
         return best
 
-    def window(self, pairs: list[tuple[str, str]], i: int) -> tuple[int, float, int, int]:
-        """Of the best window as long as template i: common bigrams, Dice coefficient, the window's first bigram and the one after its last."""
-        b, n = self.templates[i][1], min(self.lengths[i] - 1, len(pairs))
+    def windows(self, pairs: list[tuple[str, str]], i: int) -> list[tuple[int, float, str, int, int]]:
+        """All windows as long as template i that reach the threshold: common bigrams, Dice coefficient, name, the window's first bigram and the one after its last."""
+        name, b = self.templates[i]
+        n, size = min(self.lengths[i] - 1, len(pairs)), len(b)
         seen: dict[tuple[str, str], int] = {}
-        common, best = 0, (0, 0.0, 0, 0)
+        common, out = 0, []
         for k, x in enumerate(pairs):
             m = seen.get(x, 0)
             seen[x] = m + 1
@@ -157,9 +159,9 @@ class Scanner:
                 if not seen[y]:
                     del seen[y]
                     common -= y in b
-            if k >= n - 1 and (d := 2 * common / (len(seen) + len(b))) > best[1]:
-                best = (common, d, k - n + 1, k + 1)
-        return best
+            if k >= n - 1 and (d := 2 * common / (len(seen) + size)) >= self.t:
+                out.append((common, d, name, k - n + 1, k + 1))
+        return out
 
     def text(self, text: str) -> list[tuple[str, float]]:
         """Name and Dice coefficient of the matches, in their order in the text."""
@@ -184,14 +186,16 @@ class Scanner:
             unit(0)
         pairs = list(zip(words, words[1:]))  # noqa: B905
         for i in self.hits(set(pairs)):
-            n, d, lo, hi = self.window(pairs, i)
-            if d >= self.t:
-                found.append((n, d, self.templates[i][0], lo, hi))
-        taken: list[tuple[int, int, str, float]] = []
+            found += self.windows(pairs, i)
+        # matches that are taken don't overlap, so of those in order only the neighbours can overlap another
+        starts: list[int] = []
+        taken: dict[int, tuple[int, str, float]] = {}
         for _, d, name, lo, hi in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[2], x[4])):
-            if all(hi <= a or b <= lo for a, b, _, _ in taken):
-                taken.append((lo, hi, name, d))
-        return [(name, d) for _, _, name, d in sorted(taken)]
+            k = bisect_right(starts, lo)
+            if (not k or taken[starts[k - 1]][0] <= lo) and (k == len(starts) or hi <= starts[k]):
+                starts.insert(k, lo)
+                taken[lo] = (hi, name, d)
+        return [taken[lo][1:] for lo in starts]
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -605,13 +605,12 @@ def plain_scan(text, templates):
                 best = (len(a & b), d, name, lo, hi - 1)
         found += [best] if best else []
     for name, t in templates:
-        b, n, best = grams(toks(t)), len(toks(t)), None
+        b, n = grams(toks(t)), len(toks(t))
         for lo in range(max(1, len(words) - n + 1)):
             a = grams(words[lo : lo + n])
             d = 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
-            if d >= op8.THRESHOLD and (best is None or d > best[1]):
-                best = (len(a & b), d, name, lo, min(lo + n, len(words)) - 1)
-        found += [best] if best else []
+            if d >= op8.THRESHOLD:
+                found.append((len(a & b), d, name, lo, min(lo + n, len(words)) - 1))
     kept = []
     for x in sorted(found, key=lambda x: (-x[0], -x[1], x[3], x[2], x[4])):
         if not any(x[3] < y[4] and y[3] < x[4] for y in kept):

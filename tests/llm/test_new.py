@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 from collections import defaultdict
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tesserae.llm import op6_decontaminate as op6
 from tesserae.llm import op7_shards as op7
+from tesserae.llm import op8_licenses as op8
 from tesserae.llm import op10_lm_score as op10
 from tesserae.llm import op11_secrets as op11
 from tesserae.llm import op12_conversations as op12
@@ -369,3 +371,18 @@ def test_op7_maps_anywhere(spark):
 def test_op10_beats_word_frequencies_on_texts_it_has_not_seen(spark):
     net, plain, n = op10.held_out(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     assert n > 10_000 and net > plain + 0.3
+
+
+def test_op8_finds_every_repeat_inside_longer_lines():
+    notice = op8.license_texts()["Apache-2.0"]
+    s = op8.Scanner()
+    short = next(t for k, t in op8.default_templates() if k == "Apache-2.0" and 15 < len(t.split()) < 200)
+    line = " ".join(short.split())
+    one = s.text(f"words before {line} words after")
+    assert [k for k, _ in one] == ["Apache-2.0"]
+    for gap in ("", "and in another place again "):
+        assert [k for k, _ in s.text(f"words before {line} {gap}{line} {gap}{line} words after")] == ["Apache-2.0"] * 3
+    flat = " ".join(notice.split())
+    assert [k for k, _ in s.text(f"x {flat} y {flat} z")].count("Apache-2.0") == 2
+    began = time.time()
+    assert len(s.text("Released under the MIT License.\n" * 12_000)) == 12_000 and time.time() - began < 20
