@@ -88,6 +88,11 @@ SMALL = f"""{VECTORS}, sm AS (SELECT vec_id AS image_id, CASE label % 2 WHEN 0 T
  pf AS (SELECT image_id, c, v, o * bw + CASE WHEN flp THEN bw - 1 - x ELSE x END + 1 AS place FROM pv JOIN pl USING (image_id)),
  ps AS (SELECT image_id, c AS i, sum(v)::BIGINT AS total FROM pf GROUP BY ALL UNION ALL SELECT image_id, c + 3, sum(v * place)::BIGINT FROM pf GROUP BY ALL)"""
 
+GRIDS = f"""{SMALL}, {plan('sm', 'image_id', 'bucket_id', True)}, co AS (SELECT code, e[1:3] AS e FROM cb),
+ ce AS (SELECT image_id, bw // 32 AS wide, (place - 1) % bw // 32 AS x, c, avg(v) / 255 * 2 - 1 AS m FROM pf JOIN (SELECT image_id, bw FROM pl) USING (image_id) JOIN (SELECT image_id FROM plan) USING (image_id) GROUP BY ALL),
+ cv AS (SELECT image_id, wide, x, list(m ORDER BY c) AS z FROM ce GROUP BY ALL),
+ tk AS (SELECT image_id, wide, x, arg_min(code, {{'d': (z[1] - e[1]) ** 2 + (z[2] - e[2]) ** 2 + (z[3] - e[3]) ** 2, 'c': code}}) AS code FROM cv, co GROUP BY ALL)"""
+
 
 def kmeans(n: int, start: str = "") -> str:
     parts, c = [VECTORS, start] if start else [VECTORS], "st" if start else "cb"
@@ -127,6 +132,8 @@ ORACLES = {
     "center_crop_box": f"WITH {cover('1.0')} SELECT image_id, round_even(((new_w - bw) / 2.0)::DOUBLE, 0)::BIGINT AS \"left\", round_even(((new_h - bh) / 2.0)::DOUBLE, 0)::BIGINT AS top, bw, bh FROM c",
     "augment_plan": f"WITH {cover('1.05')} SELECT image_id, {HASH.format('left')} % (new_w - bw + 1) AS \"left\", {HASH.format('top')} % (new_h - bh + 1) AS top, {HASH.format('flip')} % 2 = 1 AS flip FROM c",
     "model_input": f"WITH {SMALL}, {plan('sm', 'image_id', 'bucket_id', True)} SELECT batch_no, pos, bucket_id, image_id, i, total FROM plan JOIN ps USING (image_id)",
+    "encode_images": f"WITH {GRIDS} SELECT image_id, 0::BIGINT AS y, x, code FROM tk",
+    "decode_tokens": f"WITH {GRIDS} SELECT image_id, c * wide + x AS i, round(e[c + 1], 6) AS value FROM tk JOIN co USING (code), range(3) r(c)",
     "normalize_roundtrip": f"WITH {VECTORS} SELECT vec_id, round(list_sum(list_transform(z, lambda x: (({UNIT.format('x')}) - 0.5) / 0.5)), 6) AS norm_sum, 0.0::DOUBLE AS back_diff FROM v",
     "batch_plan": f"WITH {PLAN} SELECT * FROM plan",
     "rank_shards": f"WITH {SHARDS} SELECT {SHARD_COLUMNS} FROM s",

@@ -161,6 +161,37 @@ def model_input(spark, d):
     return m.select("batch_no", "pos", "bucket_id", "image_id", F.posexplode("sums").alias("i", "total")).withColumn("i", F.col("i").cast("bigint"))
 
 
+def _cells():
+    """Stands in for an encoder, whose weights are outside the engine: means of each channel over 32 x 32 places."""
+    return lambda x: x.reshape(len(x), 3, x.shape[2] // 32, 32, x.shape[3] // 32, 32).astype("float64").mean((3, 5))
+
+
+def colours(spark, d):
+    """A codebook of three channels: the first coordinates of the first vectors."""
+    return X.codebook(spark, d).select("code", F.slice("e", 1, 3).alias("e"))
+
+
+def encoded(spark, d):
+    i = pixels.placed(small_images(spark, d), SMALL_BUCKETS, seed=SEED, epoch=EPOCH)
+    loaded = sampler.load(sampler.plan(i, BATCH, SEED, EPOCH), pixels.fit(i).select("image_id", "bw", "bh", "rgb"))
+    return pixels.encode_batches(loaded, _cells, colours(spark, d))
+
+
+@query
+def encode_images(spark, d):
+    """The token grid of each image of the plan."""
+    e = encoded(spark, d).select("image_id", F.posexplode("codes").alias("y", "row"))
+    e = e.select("image_id", "y", F.posexplode("row").alias("x", "code"))
+    return e.select("image_id", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"), "code")
+
+
+@query
+def decode_tokens(spark, d):
+    """The features (channels, then places) of each token grid, as a decoder gets them."""
+    f = vq.untokenize(encoded(spark, d).select("image_id", "codes"), colours(spark, d))
+    return f.select("image_id", F.posexplode("z").alias("i", "v")).select("image_id", F.col("i").cast("bigint").alias("i"), r6("v").alias("value"))
+
+
 @query
 def normalize_roundtrip(spark, d):
     v = X.vectors(spark, d).select("vec_id", F.transform("z", S.unit_range).alias("pixels")).withColumn("values", S.normalize(F.col("pixels")))
