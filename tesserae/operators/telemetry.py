@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import denormalize, every, side_by_side, warmup
-from .ordering import rolling
+from .ordering import rolling, rolling_mean
 from .shared import checkpoint, exists
 
 WINDOW, SPIKE = 50, 5.0
@@ -56,7 +56,7 @@ def write_scalars(rows: DataFrame, path: str, span: int = 10_000) -> None:
 
 def spikes(steps: DataFrame, window: int = WINDOW, factor: float = SPIKE) -> DataFrame:
     """Steps that took more than factor times the mean of the steps before (window at most; never the first step)."""
-    d = rolling(steps, "step", (-window, -1), before=F.avg("seconds"))
+    d = rolling_mean(steps, "step", "seconds", (-window, -1), "before")
     return d.where(F.col("seconds") > factor * F.col("before")).select("step", "seconds", "before")
 
 

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from tesserae.functions import scalars as S
 from tesserae.operators import buckets as B
 from tesserae.operators import infer, losses, metrics, sampler, shared, telemetry, vq
-from tesserae.operators.ordering import group_row_numbers, rolling, row_numbers
+from tesserae.operators.ordering import group_row_numbers, rolling, rolling_mean, row_numbers
+from tesserae.plans.oracles import ORACLES
+from tesserae.plans.queries import QUERIES
 from tesserae.sources import catalog, checkpoints, config
 
 
@@ -90,6 +92,41 @@ def test_rolling_frames_longer_than_a_block(spark):
     assert got == {k: min(k, 25) for k in range(100)}
 
 
+@pytest.mark.parametrize("frame", [(-50, -1), (-49, 0), (-5, -2), (-200, -1)])
+def test_rolling_mean_adds_edges_and_whole_runs_in_order(spark, frame):
+    x = [None if i % 7 == 3 or 100 <= i < 110 else i * 7919 % 1009 / 100 for i in range(400)]
+    d = spark.createDataFrame(list(enumerate(x, 1)), "step bigint, v double").repartition(3)
+    got = {r.step: r.m for r in rolling_mean(d, "step", "v", frame, "m", block=72).collect()}
+    assert len(got) == 400
+    for i in range(400):
+        a, b, total = max(0, i + frame[0]), max(0, i + frame[1] + 1), 0.0
+        j, n = a, sum(v is not None for v in x[a:b])
+        while j < b:
+            size = 16 if j % 16 == 0 and j + 16 <= b else 1
+            part = 0.0
+            for v in x[j : j + size]:
+                part += v or 0.0
+            total, j = total + part, j + size
+        assert got[i + 1] == (total / n if n else None)
+
+
+def test_spikes_right_at_the_threshold_fall_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = np.random.default_rng(3)
+    cents = rng.integers(0, 1000, 6000).tolist()
+    for i in range(57, 6000, 57):
+        cents[i - 1] -= sum(cents[i - 50 : i]) % 10 - 10
+        cents[i] = sum(cents[i - 50 : i]) // 10
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE c AS SELECT unnest(?::BIGINT[]) AS cents, generate_subscripts(?::BIGINT[], 1) AS i", [cents, cents])
+    duck.sql("CREATE TABLE events AS SELECT i AS event_id, TIMESTAMP '2024-01-01' + to_seconds(i // 60) AS ts, 'a' AS event_type, CASE WHEN i % 400 > 0 THEN cents / 100 END AS value FROM c")
+    duck.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = {(r.step, r.seconds, r.before) for r in QUERIES["step_spikes"](spark, str(tmp_path)).collect()}
+    expected = set(duck.sql(ORACLES["step_spikes"]).fetchall())
+    assert 0 < len(expected & {(i + 1, cents[i] / 100, round(cents[i] / 500, 6)) for i in range(57, 6000, 57)}) < len(range(57, 6000, 57))
+    assert got == expected
+
+
 def test_shared_folder_is_asked_for_on_a_cluster():
     class Fake:
         master = "spark://host:7077"
