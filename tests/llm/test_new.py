@@ -9,6 +9,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -386,3 +387,53 @@ def test_op8_finds_every_repeat_inside_longer_lines():
     assert [k for k, _ in s.text(f"x {flat} y {flat} z")].count("Apache-2.0") == 2
     began = time.time()
     assert len(s.text("Released under the MIT License.\n" * 12_000)) == 12_000 and time.time() - began < 20
+
+
+def test_op10_encodes_whole_columns_and_as_single_words_would_be():
+    """Odd texts as bytes.split() cuts them, in any slices; and in less than two thirds of the time of a loop over words."""
+    rng = np.random.default_rng(5)
+    odd = [b"", b"  ", b"\x1c a\x1db\x85\xa0c\x0b\x0cd ", b"\xff\xfe x", bytes(range(256)), "\u2003é\u3000".encode(), b" a " * 50]
+    texts = odd + [b" ".join(b"w%d" % k for k in rng.zipf(1.3, 400) % 100_000) for _ in range(500)]
+    counts = {}
+    for t in texts:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    column = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 3)), pa.array([b"not this"] * 3 + texts, pa.binary())], ["doc_id", "text"]).slice(3)
+    got = {}
+    for b in op10._counted(iter([column, column.slice(0, 0)])):
+        for w, n in zip(*b.to_pydict().values(), strict=True):
+            got[w] = got.get(w, 0) + n
+    assert got == counts
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:2000]
+    of_ending = {}
+    for w, n in counts.items():
+        k = zlib.crc32(w[-2:]) % 128
+        of_ending[k] = of_ending.get(k, 0) + n
+    v = op10.Vocabulary([(w, counts[w]) for w in top], of_ending, 256)
+    known = v.known
+
+    def plainly(t):
+        ids, share, rest = [256] * op10.SIDE, 0.0, []
+        for w in t.split():
+            x = known.get(w)
+            if x is None:
+                x = (v.ending_class(w), -v.total[v.ending_class(w)])
+                rest.append(w)
+            ids.append(x[0])
+            share += x[1]
+        return np.array(ids, np.uint16).tobytes(), share, rest
+
+    def seconds(f):
+        took = []
+        for _ in range(5):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    want = [plainly(t) for t in texts]
+    for most in (1, 3000, 16 << 20):
+        out = [r for _, x in op10._pieces(column, 1, most) for r in zip(*(c.to_pylist() for c in v.encode(x)), strict=True)]
+        assert [(a, c) for a, _, c in out] == [(a, c) for a, _, c in want]
+        assert np.allclose([b for _, b, _ in out], [b for _, b, _ in want])
+    assert seconds(lambda: v.encode(column.column(1))) < seconds(lambda: [plainly(t) for t in texts]) / 1.5
