@@ -194,7 +194,10 @@ def gradient(flat: np.ndarray, ctx: np.ndarray, y: np.ndarray, g: int) -> np.nda
 
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """ids has SIDE pads (the number of classes) before and after each document; at are places in it."""
-    return np.take(ids, at[:, None] + [k for k in range(-SIDE, SIDE + 1) if k])
+    out = np.empty((len(at), 2 * SIDE), ids.dtype)
+    for i, k in enumerate(k for k in range(-SIDE, SIDE + 1) if k):
+        out[:, i] = ids[at + k]
+    return out
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
